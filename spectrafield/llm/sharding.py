@@ -3,7 +3,8 @@
 Rows of one group (equal texts in ``op1_sharding``) share a shard. Groups stand
 in the order of their digest; a shard is a contiguous run of groups. The
 smallest capacity under which a greedy left-to-right filling needs at most K
-shards is found by binary search, and the cuts are made there.
+shards is found by binary search; the cuts are made under that capacity, as
+near to equal sizes as it leaves them free to be.
 
 The driver never sees the groups. It works on *cells*, runs of groups with a
 common digest prefix, of which there are at most 16^4 at first. With cells as
@@ -15,7 +16,7 @@ more than one group; the search over what is left is then exact.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -65,6 +66,22 @@ def _open_cells(cells: list[tuple], starts: list[int], shards: int, low: int, hi
     return {i for i in found if cells[i][2] > 1}
 
 
+def _cuts(starts: list[int], capacity: int, shards: int) -> list[int]:
+    """Cell indexes where shards 1.. begin: as even as ``capacity`` and the cells allow."""
+    last, total = len(starts) - 1, starts[-1]
+    earliest = [last] * (shards + 1)  # a later shard may begin no earlier, or the rest would not fit
+    for k in range(shards - 1, 0, -1):
+        earliest[k] = bisect_left(starts, starts[earliest[k + 1]] - capacity)
+    cuts = [0]
+    for k in range(1, shards):
+        at = bisect_left(starts, total * k / shards)
+        if at and starts[at] - total * k / shards > total * k / shards - starts[at - 1]:
+            at -= 1
+        at = min(at, bisect_right(starts, starts[cuts[-1]] + capacity) - 1)
+        cuts.append(max(at, earliest[k], cuts[-1]))
+    return [i for i in cuts[1:] if i < last]
+
+
 def boundaries(keys: DataFrame, shards: int, first_digits: int = 4) -> list[str]:
     """Digests (or digest prefixes) at which shards 1.. begin, ascending.
 
@@ -87,8 +104,7 @@ def boundaries(keys: DataFrame, shards: int, first_digits: int = 4) -> list[str]
         low = max(-(-starts[-1] // shards), max((c[1] for c in cells if c[2] == 1), default=0))
         opened = _open_cells(cells, starts, shards, low, high)
         if not opened:
-            cuts = _greedy(starts, high, shards)
-            return [cells[i][0] for i in cuts[1:]]
+            return [cells[i][0] for i in _cuts(starts, high, shards)]
         finer = []
         for digits in sorted({len(cells[i][0]) for i in opened}):
             prefixes = [(cells[i][0],) for i in opened if len(cells[i][0]) == digits]
