@@ -9,9 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Read one of the input tables; only Spark's reader touches the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

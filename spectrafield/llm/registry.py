@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, sharding
+from . import chat, embeddings, fingerprints, language, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_packing": packing.op2_packing,
+        "op3_embeddings": embeddings.op3_embeddings,
+        "op4_chat": chat.op4_chat,
+        "op5_language": language.op5_language,
         "op9_fingerprints": fingerprints.op9_fingerprints,
     }
 
