@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, fingerprints, language, packing, sharding
+from . import chat, embeddings, fingerprints, language, packing, sharding, shingles
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_embeddings": embeddings.op3_embeddings,
         "op4_chat": chat.op4_chat,
         "op5_language": language.op5_language,
+        "op6_jaccard": shingles.op6_jaccard,
         "op9_fingerprints": fingerprints.op9_fingerprints,
     }
 
