@@ -11,6 +11,9 @@ and looking up their place is Spark's work again.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from itertools import pairwise
 
@@ -90,35 +93,98 @@ def _tables(bins: list) -> dict[int, tuple[np.ndarray, ...]]:
     return {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in rows.items()}
 
 
-def tokenizer(path: str):
-    if path not in _cache:
-        from tokenizers import Tokenizer
+#: Entries of one generation of a worker's lookups; two generations are kept.
+WORDS_KEPT, PIECES_KEPT = 250_000, 300_000
 
-        _cache[path] = (Tokenizer.from_file(path), {})
-    return _cache[path]
+# The pieces that the tokenizer's own splitting rule makes of a word.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: Characters at which Python's white space and the tokenizer's differ.
-_ODD = str.maketrans(dict.fromkeys([0x1C, 0x1D, 0x1E, 0x1F], "!"))
+class Lookup:
+    """A tokenizer behind lookups of words and of pieces.
 
+    Pieces never reach over white space, so ids of a word are looked up; those
+    of a new word are put together from its pieces, and only new pieces are
+    encoded, many at once, told apart by the tokens that end a piece. Words
+    whose lower case depends on more than each character, and tokenizers
+    without end tokens, are encoded as they are.
+    """
 
-def encode_ids(texts: list[str], path: str, keep: int = 400_000) -> list[bytes]:
-    """Little-endian uint32 ids of each text. Ids do not reach over white space, so words are looked up first."""
-    tool, known = tokenizer(path)
-    split = [None if x.translate(_ODD) != x else x.split() for x in texts]
-    new = list({w for s in split if s for w in s if w not in known})
-    if len(known) + len(new) > keep:
-        known.clear()
-        new = list({w for s in split if s for w in s})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, tool.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    get = known.__getitem__
-    return [
-        b"".join(map(get, s)) if s is not None else np.array(tool.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        for s, x in zip(split, texts, strict=True)
-    ]
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tool, self.split = Tokenizer.from_file(path), regex.compile(PIECE).findall
+        vocabulary = self.tool.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
+        self.whole = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Put ids of ``new`` words into the lookup."""
+        parts, wanted = {}, {}
+        for w in new:
+            if "\u0130" in w or "\u03a3" in w or any(x in w for x in self.whole):
+                self.words[w] = self.encode(w)
+                continue
+            plain = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower()
+            parts[w] = found = self.split(plain)
+            for p in found:
+                if p not in self.pieces:
+                    if p in self.old_pieces:
+                        self.pieces[p] = self.old_pieces[p]
+                    else:
+                        wanted[p] = None
+        wanted = list(wanted)
+        for at in range(0, len(wanted), 200):
+            some = wanted[at : at + 200]
+            ids = np.array(self.tool.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                raw, begin = ids.tobytes(), 0
+                for p, stop in zip(some, (stops * 4).tolist(), strict=True):
+                    self.pieces[p] = raw[begin:stop]
+                    begin = stop
+            else:
+                for p in some:
+                    self.pieces[p] = self.encode(p)
+        for w, found in parts.items():
+            self.words[w] = b"".join([self.pieces[p] for p in found])
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces, self.old_pieces = {}, self.pieces
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian uint32 ids of each text."""
+        # separators that only Python counts as white space
+        split = [None if _ODD.search(x) else x.split() for x in texts]
+        new = {}
+        for words in split:
+            for w in set(words or ()):
+                if w not in self.words:
+                    if w in self.old_words:
+                        self.words[w] = self.old_words[w]
+                    else:
+                        new[w] = None
+        self.learn(list(new))
+        get = self.words.__getitem__
+        out = [self.encode(x) if words is None else b"".join(map(get, words)) for x, words in zip(texts, split, strict=True)]
+        if len(self.words) > WORDS_KEPT:
+            self.words, self.old_words = {}, self.words
+        return out
+
+
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def lookup(path: str) -> Lookup:
+    if path not in _cache:
+        _cache[path] = Lookup(path)
+    return _cache[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -132,7 +198,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text:
                 part = batch.slice(lo, 256)
                 ids, texts = part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()]
                 out = []
-                for d, raw in zip(ids, encode_ids(texts, tokenizer_path), strict=True):
+                for d, raw in zip(ids, lookup(tokenizer_path).encode_many(texts), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), step)):
                         cut = raw[at : at + step]
