@@ -174,7 +174,8 @@ def jaccard_join(
     extent = member.groupBy("component").agg(F.count("*").alias("k"), F.sum("bytes").alias("size"))
     extent = extent.withColumn("blocks", F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")).select("component", "blocks")
     placed = member.join(extent, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    texts = docs.join(placed.withColumnRenamed("rep", "doc"), "doc")
+    # shuffled at every size: the clusters' members grow with the input
+    texts = docs.join(placed.withColumnRenamed("rep", "doc").hint("merge"), "doc")
     one = texts.select("component", "doc", "weight", "t", "blocks", "block").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sided = one.select(
         "component", F.least("block", "meets").alias("p"), F.greatest("block", "meets").alias("q"), (F.col("block") > F.col("meets")).alias("right"), "doc", "weight", "t"
