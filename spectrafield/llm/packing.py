@@ -94,7 +94,7 @@ def _tables(bins: list) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 #: Entries of one generation of a worker's lookups; two generations are kept.
-WORDS_KEPT, PIECES_KEPT = 250_000, 300_000
+WORDS_KEPT, PIECES_KEPT = 400_000, 400_000
 
 # The pieces that the tokenizer's own splitting rule makes of a word.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -162,17 +162,23 @@ class Lookup:
         """Little-endian uint32 ids of each text."""
         # separators that only Python counts as white space
         split = [None if _ODD.search(x) else x.split() for x in texts]
+        found = [None if words is None else list(map(self.words.get, words)) for words in split]
         new = {}
-        for words in split:
-            for w in set(words or ()):
-                if w not in self.words:
-                    if w in self.old_words:
-                        self.words[w] = self.old_words[w]
-                    else:
-                        new[w] = None
+        for words, ids in zip(split, found, strict=True):
+            if ids and None in ids:
+                new.update({w: None for w, raw in zip(words, ids, strict=True) if raw is None})
+        for w in [w for w in new if w in self.old_words]:
+            self.words[w] = self.old_words[w]
+            del new[w]
         self.learn(list(new))
-        get = self.words.__getitem__
-        out = [self.encode(x) if words is None else b"".join(map(get, words)) for x, words in zip(texts, split, strict=True)]
+        get, out = self.words.__getitem__, []
+        for x, words, ids in zip(texts, split, found, strict=True):
+            if words is None:
+                out.append(self.encode(x))
+            elif None in ids:
+                out.append(b"".join([get(w) if raw is None else raw for w, raw in zip(words, ids, strict=True)]))
+            else:
+                out.append(b"".join(ids))
         if len(self.words) > WORDS_KEPT:
             self.words, self.old_words = {}, self.words
         return out
