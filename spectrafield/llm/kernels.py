@@ -79,7 +79,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, _U)
     total = np.zeros(n + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * powers(POWER, n), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INVERSE, n)[starts]
+    h = (total[ends] - total[starts]) * powers(_INVERSE, n + 1)[starts]
     return mix(h + (ends - starts).astype(_U) * _U(MIX_B))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, fingerprints, language, mixing, packing, sharding, shingles
+from . import chat, embeddings, fingerprints, language, lines, mixing, packing, sharding, shingles
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_chat": chat.op4_chat,
         "op5_language": language.op5_language,
         "op6_jaccard": shingles.op6_jaccard,
+        "op7_lines": lines.op7_lines,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_mixing": mixing.op10_mixing,
     }
