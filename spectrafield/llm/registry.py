@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, fingerprints, language, lines, mixing, packing, sharding, shingles
+from . import chat, embeddings, fingerprints, language, lines, mixing, packing, scoring, sharding, shingles
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_language": language.op5_language,
         "op6_jaccard": shingles.op6_jaccard,
         "op7_lines": lines.op7_lines,
+        "op8_scoring": scoring.op8_scoring,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_mixing": mixing.op10_mixing,
     }
