@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import oracle
+from . import queries as q
+
 
 def queries() -> dict:
-    return {}
+    return q.queries()
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql()
