@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Staging, load
+from .kernels import tidy
 
 #: Hashed n-gram features.
 FEATURES = 1 << 13
@@ -135,7 +136,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
                     yield pa.RecordBatch.from_arrays([pa.array([y]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([f[at]], pa.list_(pa.float32()))], ["y", "at", "f"])
 
     found = []
-    for r in picked.select("y", "t").mapInArrow(run, "y string, at array<int>, f array<float>").toLocalIterator():
+    for r in picked.select("y", "t").mapInArrow(tidy(run), "y string, at array<int>, f array<float>").toLocalIterator():
         f = np.zeros(FEATURES, np.float32)
         f[np.array(r["at"], int)] = r["f"]
         found.append((f, r["y"]))
@@ -174,7 +175,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return base.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(doc_id: str, folds: int, fold: int):

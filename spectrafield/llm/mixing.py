@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Staging, load
-from .kernels import LOWER, span_hashes, utf8, words
+from .kernels import LOWER, span_hashes, tidy, utf8, words
 
 #: Hashed word features; byte frequencies follow them.
 FEATURES = 4096
@@ -88,7 +88,7 @@ def train(labelled: DataFrame, domains: list[str], text: str = "text", domain: s
                     yield pa.RecordBatch.from_arrays([pa.array([y]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([f[at]], pa.list_(pa.float32()))], ["y", "at", "f"])
 
     found = []
-    for r in picked.select("y", "t").mapInArrow(run, "y string, at array<int>, f array<float>").toLocalIterator():
+    for r in picked.select("y", "t").mapInArrow(tidy(run), "y string, at array<int>, f array<float>").toLocalIterator():
         f = np.zeros(WIDTH, np.float32)
         f[np.array(r["at"], int)] = r["f"]
         found.append((domains.index(r["y"]), f.tobytes()))
@@ -135,7 +135,7 @@ def solve(state: DataFrame, targets: np.ndarray, thin: list[bool], rounds: int =
                 gram += (p * live[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((total, gram.ravel()))], pa.list_(pa.float64()))], ["s"])
 
-        parts = state.select("n", "p").mapInArrow(run, "s array<double>")
+        parts = state.select("n", "p").mapInArrow(tidy(run), "s array<double>")
         exploded = parts.select(F.posexplode("s").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
         got = {r["at"]: r["v"] for r in exploded.collect()}  # k + k * k numbers
         flat = np.array([got.get(i, 0.0) for i in range(k + k * k)])
@@ -197,7 +197,7 @@ def mix_sources(
         for _, count, p in scored(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(list(p), pa.list_(pa.float64()))], ["n", "p"])
 
-    state = staging.table(docs.select(text).mapInArrow(measure, "n long, p array<double>"))
+    state = staging.table(docs.select(text).mapInArrow(tidy(measure), "n long, p array<double>"))
     history, _ = solve(state, weights, [d in thin for d in domains])
     staging.drop(state)
 
@@ -208,7 +208,7 @@ def mix_sources(
                 [*part.schema.names, "n_tokens", "posteriors", "rate"],
             )
 
-    out = base.mapInArrow(rate, f"{schema}, n_tokens long, posteriors array<double>, rate double")
+    out = base.mapInArrow(tidy(rate), f"{schema}, n_tokens long, posteriors array<double>, rate double")
     luck = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", F.floor(F.col("rate") + luck).cast("int"))
 

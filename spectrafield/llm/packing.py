@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Staging, load
+from .kernels import tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -94,7 +95,7 @@ def _tables(bins: list) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 #: Entries of one generation of a worker's lookups; two generations are kept.
-WORDS_KEPT, PIECES_KEPT = 400_000, 400_000
+WORDS_KEPT, PIECES_KEPT = 150_000, 100_000
 
 # The pieces that the tokenizer's own splitting rule makes of a word.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -258,7 +259,7 @@ def pack(cut: DataFrame, staging: Staging, capacity: int = CAPACITY) -> DataFram
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in ranked.drop("rank").dtypes)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"{schema}, sequence_id long, offset long")
 
 
 def best_fit(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import Staging, components, load
 from .embeddings import roots
-from .kernels import LOWER, POWER, mix, span_hashes, utf8, words
+from .kernels import LOWER, POWER, mix, span_hashes, tidy, utf8, words
 
 _U = np.uint64
 #: Words of a shingle, and the similarity from which two documents are linked.
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int, text: str, doc_i
                 )
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("t"))
-    return base.mapInArrow(run, "doc long, d1 long, d2 long, n long, bytes long, bands array<long>")
+    return base.mapInArrow(tidy(run), "doc long, d1 long, d2 long, n long, bytes long, bands array<long>")
 
 
 def set_links(sets: list[np.ndarray], split: int | None, similarity: float):
@@ -232,7 +232,7 @@ def jaccard_join(
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["rep", "links", "root"])
 
-    found = staging.table(sided.mapInArrow(run, "rep long, links long, root long"))
+    found = staging.table(sided.mapInArrow(tidy(run), "rep long, links long, root long"))
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), staging).withColumnRenamed("id", "rep")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(classes, "rep", "left")
     known = reps.join(linked, "rep", "left").select(
