@@ -163,15 +163,14 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         model = shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            found = [features(t) if t and model["langs"] else None for t in texts]
-            rows = [i for i, f in enumerate(found) if f is not None]
             lang, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            for lo in range(0, len(rows), 512):
-                part = rows[lo : lo + 512]
-                best, belief = decode(np.stack([found[i] for i in part]) @ model["w"] + model["b"], model)
-                for i, k, p in zip(part, best, belief, strict=True):
-                    lang[i], score[i] = model["langs"][k], p[k]
-                    unsure[i] = p[k] < AMBIGUOUS
+            for lo in range(0, len(texts), 512):
+                found = {i: f for i, t in enumerate(texts[lo : lo + 512], lo) if t and model["langs"] and (f := features(t)) is not None}
+                if found:
+                    best, belief = decode(np.stack(list(found.values())) @ model["w"] + model["b"], model)
+                    for i, k, p in zip(found, best, belief, strict=True):
+                        lang[i], score[i] = model["langs"][k], p[k]
+                        unsure[i] = p[k] < AMBIGUOUS
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
