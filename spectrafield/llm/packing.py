@@ -94,8 +94,8 @@ def _tables(bins: list) -> dict[int, tuple[np.ndarray, ...]]:
     return {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in rows.items()}
 
 
-#: Entries of one generation of a worker's lookups; two generations are kept.
-WORDS_KEPT, PIECES_KEPT = 150_000, 100_000
+#: Words and pieces of one generation of a worker's lookups; two generations are kept.
+KEPT = (400_000, 400_000)
 
 # The pieces that the tokenizer's own splitting rule makes of a word.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -111,7 +111,8 @@ class Lookup:
     without end tokens, are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: tuple[int, int] = KEPT):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import regex
         from tokenizers import Tokenizer
@@ -156,7 +157,7 @@ class Lookup:
                     self.pieces[p] = self.encode(p)
         for w, found in parts.items():
             self.words[w] = b"".join([self.pieces[p] for p in found])
-        if len(self.pieces) > PIECES_KEPT:
+        if len(self.pieces) > self.kept[1]:
             self.pieces, self.old_pieces = {}, self.pieces
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -180,7 +181,7 @@ class Lookup:
                 out.append(b"".join([get(w) if raw is None else raw for w, raw in zip(words, ids, strict=True)]))
             else:
                 out.append(b"".join(ids))
-        if len(self.words) > WORDS_KEPT:
+        if len(self.words) > self.kept[0]:
             self.words, self.old_words = {}, self.words
         return out
 
@@ -188,13 +189,14 @@ class Lookup:
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-def lookup(path: str) -> Lookup:
-    if path not in _cache:
-        _cache[path] = Lookup(path)
-    return _cache[path]
+def lookup(path: str, kept: tuple[int, int] = KEPT) -> Lookup:
+    if (path, kept) not in _cache:
+        _cache.clear()
+        _cache[path, kept] = Lookup(path, kept)
+    return _cache[path, kept]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", kept: tuple[int, int] = KEPT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; null texts are empty, which is one end token."""
     step = 4 * capacity
     end = np.array([END_ID], "<u4").tobytes()
@@ -205,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text:
                 part = batch.slice(lo, 256)
                 ids, texts = part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()]
                 out = []
-                for d, raw in zip(ids, lookup(tokenizer_path).encode_many(texts), strict=True):
+                for d, raw in zip(ids, lookup(tokenizer_path, kept).encode_many(texts), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), step)):
                         cut = raw[at : at + step]
@@ -262,13 +264,13 @@ def pack(cut: DataFrame, staging: Staging, capacity: int = CAPACITY) -> DataFram
     return ranked.mapInArrow(tidy(run), f"{schema}, sequence_id long, offset long")
 
 
-def best_fit(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def best_fit(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, kept: tuple[int, int] = KEPT) -> DataFrame:
     """Token pieces of ``docs`` (doc_id, text; other columns are ignored) packed into sequences."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(pieces(docs, tokenizer_path, capacity), Staging(docs.sparkSession, "pack"), capacity).select(
+    return pack(pieces(docs, tokenizer_path, capacity, kept=kept), Staging(docs.sparkSession, "pack"), capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
