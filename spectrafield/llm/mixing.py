@@ -71,12 +71,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(labelled: DataFrame, domains: list[str], text: str = "text", domain: str = "domain", sample: int = SAMPLE) -> dict:
-    """Classifier from at most ``sample`` distinct texts a domain; rows without text or domain teach nothing."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(domain).isin(domains)).select(F.col(domain).alias("y"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], staging: Staging, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> dict:
+    """Classifier from at most ``sample`` distinct texts a domain; rows without text or domain teach nothing.
+
+    ``labelled`` holds (doc_id, domain). The sample is the texts of lowest hash,
+    one document for each: labels meet ids and hashes, never texts, and by
+    shuffle at every size; only the texts chosen are fetched.
+    """
+    hashes = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("h"))
+    taught = labelled.where(F.col("domain").isin(domains)).select(F.col("doc_id").alias("i"), F.col("domain").alias("y"))
+    rows = staging.table(hashes.join(taught.hint("merge"), "i"))
     order = Window.partitionBy("y").orderBy("h")
-    chosen = rows.select("y", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("y", "h")
-    picked = rows.join(F.broadcast(chosen), ["y", "h"], "left_semi").groupBy("y", "h").agg(F.first("t").alias("t"))
+    chosen = rows.groupBy("y", "h").agg(F.min("i").alias("i")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("y", "h", "i")
+    texts = docs.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    # at most sample rows a domain are broadcast
+    picked = texts.join(F.broadcast(chosen), ["i", "h"]).groupBy("y", "h").agg(F.first("t").alias("t"))
 
     def run(batches):
         for batch in batches:
@@ -100,6 +109,7 @@ def train(labelled: DataFrame, domains: list[str], text: str = "text", domain: s
     known = np.array([counts.get(d, 0) for d in domains], float)
     if known.sum():
         model["b"] = model["b"] + np.log((known + 1e-3) / known.sum())
+    staging.drop(rows)
     return model
 
 
@@ -169,7 +179,7 @@ def mix_sources(
 ) -> DataFrame:
     """Add ``n_tokens``, ``posteriors`` (one number a domain, in the order of ``targets``), ``rate`` and ``copies``.
 
-    ``labelled`` has ``text`` and ``domain``. rate is the expected number of
+    ``labelled`` has ``doc_id`` and ``domain``. rate is the expected number of
     copies of a document in the mixture; copies rounds it up or down by a hash
     of id and text, so that the expectation holds. Null texts are empty; texts
     without words have no tokens and, as every text, a posterior. Repeated rows
@@ -179,7 +189,7 @@ def mix_sources(
     domains = list(targets)
     weights = np.array([targets[d] for d in domains]) / sum(targets.values())
     staging = Staging(docs.sparkSession, "mixing")
-    model = train(labelled, domains)
+    model = train(docs, labelled, domains, staging, text, doc_id)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: features times domains
     base = docs.drop("n_tokens", "posteriors", "rate", "copies")
     at = base.columns.index(text)
@@ -213,15 +223,15 @@ def mix_sources(
     return out.withColumn("copies", F.floor(F.col("rate") + luck).cast("int"))
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain) of documents with labels: toxic, else of high or low quality."""
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of labels: toxic, else of high or low quality."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
-    return docs.select("doc_id", "text").join(labels.select("doc_id", domain.alias("domain")), "doc_id").select("text", "domain")
+    return labels.select("doc_id", domain.alias("domain"))
 
 
 def op10_mixing(spark, sf_dir):
     """Rates of all documents for the target weights of quality domains."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = mix_sources(docs, labelled_documents(docs, load(spark, sf_dir, "labels")))
+    out = mix_sources(docs, domains_of(load(spark, sf_dir, "labels")))
     names = [F.round(F.col("posteriors")[i], 9).alias(f"p_{d}") for i, d in enumerate(TARGETS)]
     return out.select("doc_id", "source", "n_tokens", *names, "rate", "copies")
