@@ -83,3 +83,17 @@ def map_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
         F.count("*").alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.stddev_pop(value).alias("std"), F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("q")
     )
     return out.select(*by, "n", "least", "mean", "most", "std", F.col("q")[0].alias("p5"), F.col("q")[1].alias("p95"))
+
+
+def overlapping_tiles(height: int, width: int, tile: int, overlap: int, spark) -> DataFrame:
+    """(row, col): upper left corners of tiles; the last of a line is moved inside the raster."""
+    def starts(size: int) -> Column:
+        last = max(size - tile, 0)
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(last + tile - overlap - 1), F.lit(tile - overlap)), lambda s: F.least(s, F.lit(last))))
+
+    return spark.range(1).select(F.explode(starts(height)).alias("row"), F.lit(1).alias("one")).select("row", F.explode(starts(width)).alias("col"))
+
+
+def pass_statistics(passes: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n_passes, mean, std): predictions of several passes over the same pixels."""
+    return passes.groupBy(*by).agg(F.count(value).alias("n_passes"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

@@ -123,3 +123,25 @@ def huber(y: str, p: str, delta: float = 1.0) -> Column:
     """Mean Huber loss over the rows with a target."""
     e = F.abs(F.col(y) - F.col(p))
     return F.avg(F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta)))
+
+
+def partial_correlation(df: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
+    """(by, n, r, partial): r of x and y, and r of what a line on z leaves of both."""
+    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+    r = whole.groupBy(*by).agg(F.count("*").alias("n"), pearson_of(x, y).alias("r"), pearson_of(x, z).alias("xz"), pearson_of(y, z).alias("yz"))
+    free = (1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))
+    return r.select(*by, "n", "r", F.try_divide(F.col("r") - F.col("xz") * F.col("yz"), F.sqrt(F.when(free > 0, free))).alias("partial"))
+
+
+def linear_importance(paired: DataFrame, by: list[str]) -> DataFrame:
+    """(by, slope, importance): mean size of a feature's share slope * (x - mean) in a line's predictions."""
+    line = paired.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.avg("x").alias("_m"))
+    both = paired.join(line, by)
+    return both.groupBy(*by).agg(F.max("slope").alias("slope"), F.avg(F.abs(F.col("slope") * (F.col("x") - F.col("_m")))).alias("importance"))
+
+
+def target_scaler(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, mean, std) over the values present; a constant or missing target has std 1."""
+    fine = F.when(~F.isnan(value), F.col(value))
+    s = df.groupBy(*by).agg(F.count(fine).alias("n"), F.avg(fine).alias("mean"), F.stddev_pop(fine).alias("std"))
+    return s.withColumns({"mean": F.coalesce("mean", F.lit(0.0)), "std": F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)})

@@ -99,6 +99,17 @@ def _hann(place: str) -> str:
     return f"(0.5 - 0.5 * cos(2 * 3.141592653589793 * ({place} + 1) / 33))"
 
 
+def _corr(x: str, y: str) -> str:
+    return f"(covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0))"
+
+
+def _hash(parts: str) -> str:
+    return f"('0x' || substr(md5({parts}), 1, 8))::bigint"
+
+
+FOLD = "(" + _hash("point_id::varchar || '.42'") + " % 5)::int"
+
+
 def oracle_sql() -> dict[str, str]:
     norm_bands = "select row, col, band, round(value, 6) as value from nm"
     out = {
@@ -166,5 +177,15 @@ def oracle_sql() -> dict[str, str]:
         "nodata_masking": f"with {PIXELS} select row, col, round(case when not (b0 = 0 and b1 = 0 and b2 = 0 and b3 = 0 and b4 = 0) then 2 * b2 + b4 end, 6) prediction from px",
         "point_pixels": f"with {PIXELS}, {SITES}, s as (select site, floor((1000 - y) / 15)::int as row, floor(x / 15)::int as col from sites) select s.row, s.col, site, " + ", ".join(f"round({b}, 6) {b}" for b in BANDS) + " from s join px on px.row = s.row and px.col = s.col where s.row >= 0 and s.col >= 0",
         "date_lookup": "with k(k, sampling, priority) as (values ('1-URG', 'first', 0), ('HIGH', 'second', 1), ('LOW', 'third', 2), ('E', 'other', 3)) select o_orderpriority, arg_min(sampling, priority) sampling from (select distinct o_orderpriority from orders) left join k on contains(o_orderpriority, k) group by 1",
+        "partial_correlation": f"with {POINTS}, lo as (select date, size z, price y, 'b' feature, b x from pts union all select date, size, price, 'g', g from pts union all select date, size, price, 'r', r from pts union all select date, size, price, 'e', e from pts), c as (select date, feature, count(*) n, {_corr('x', 'y')} r, {_corr('x', 'z')} xz, {_corr('y', 'z')} yz from lo group by 1, 2) select date, feature, n, round(r, 6) r, round((r - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) partial from c",
+        "linear_importance": f"with {FEATURES}, l as (select date, feature, element, regr_slope(y, x) slope, avg(x) m from fp group by 1, 2, 3) select date, feature, element, round(max(slope), 5) slope, round(avg(abs(slope * (x - m))), 5) importance from fp join l using (date, feature, element) group by 1, 2, 3",
+        "target_scaler": f"with {POINTS}, s as (select date, count(e) filter (n_obs > 3) n, avg(e) filter (n_obs > 3) m, stddev_pop(e) filter (n_obs > 3) sd from pts group by 1) select date, n, round(coalesce(m, 0), 6) mean, round(case when sd > 0 then sd else 1 end, 6) std from s",
+        "mean_target_top20": f"with {LONG}, t as (select point_id, (max(target) + avg(v)) / 2 y from raw group by 1), g as (select band::int band, round({_corr('v', 'y')}, 6) r from raw join t using (point_id) group by 1) select band, r from g order by abs(r) desc, band limit 20",
+        "inflation_summary": f"with {LINE}, e as (select radius, v y, predicted p from ln), q as (select radius, 1 - sum((y-p)*(y-p)) / nullif(var_pop(y) * count(*), 0) r2 from e group by 1), g as (select round(b.r2 - q.r2, 6) inflation from q, q b where q.radius > 0 and b.radius = 0) select round(median(inflation), 4) middle, round(max(inflation), 4) most, count(*) filter (inflation > 0.01) n_over from g",
+        "kfold_line": f"with {POINTS}, f as (select {FOLD} fold, b x, e y from pts where date = 'N'), l as (select k.fold, regr_slope(y, x) a, regr_intercept(y, x) b from (select distinct fold from f) k join f on f.fold <> k.fold group by 1), pd as (select f.fold, y, a * x + b p from f join l using (fold)) select fold, {METRICS.format(k=5)} from pd group by 1",
+        "group_folds": f"with {POINTS} select {FOLD} fold, count(*) n, count(distinct point_id) points from pts group by 1",
+        "permutation_test": f"with {SITES}, c as (select site, u x, v y, unnest(range(1, 100)) p from sites), o as (select p, x, y, row_number() over (partition by p order by site) i, row_number() over (partition by p order by " + _hash("site::varchar || '.' || p::varchar") + f", site) j from c), w as (select a.p, round(power({_corr('a.x', 'b.y')}, 2), 9) drawn from o a join o b on a.p = b.p and a.i = b.j group by 1), ob as (select count(*) n, round(power({_corr('u', 'v')}, 2), 9) r2 from sites) select n, round(r2, 6) r2, count(*) n_permutations, round(avg((drawn >= r2)::int), 6) p from w, ob group by n, r2",
+        "overlapping_tiles": "with a as (select distinct least(s, 744)::int as row from (select unnest(range(0, 937, 192)) s)), b as (select distinct least(s, 444)::int as col from (select unnest(range(0, 637, 192)) s)) select row, col from a, b",
+        "pass_statistics": f"with {PIXELS}, ps as (select row, col, b4 * (1 + 0.1::double * k) as value from px, (select unnest(range(0, 3)) k) where b4 <> 0) select row, col, count(*) n_passes, round(avg(value), 10) mean, round(stddev_pop(value), 10) std from ps group by 1, 2",
     }
     return out

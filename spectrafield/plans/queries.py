@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indices, spectra
-from ..operators import raster, spatial, stats
+from ..operators import raster, spatial, stats, validation
 from ..sources import tables as src
 
 W = src.WAVELENGTHS
@@ -301,6 +301,65 @@ def date_lookup(spark, d):
     return met.groupBy("o_orderpriority").agg(F.min_by("sampling", "priority").alias("sampling"))
 
 
+def partial_correlation(spark, d):
+    """Bands against price, given the size of the point."""
+    df = src.band_points(spark, d)
+    long = df.unpivot(["point_id", "date", "size", "price"], ["b", "g", "r", "e"], "feature", "x")
+    return rounded(stats.partial_correlation(long, ["date", "feature"], "x", "price", "size"))
+
+
+def linear_importance(spark, d):
+    return rounded(stats.linear_importance(feature_pairs(spark, d), ["date", "feature", "element"]), 5)
+
+
+def target_scaler(spark, d):
+    df = src.band_points(spark, d).select("date", F.when(F.col("n_obs") > 3, F.col("e")).alias("value"))
+    return rounded(stats.target_scaler(df, ["date"], "value"))
+
+
+def mean_target_top20(spark, d):
+    """Bands of the spectrum by their correlation with the mean of the targets: the label and the mean level."""
+    df = src.spectra(spark, d).select("point_id", "spectrum", ((F.col("target") + spectra.mean(F.col("spectrum"))) / 2).alias("y"))
+    r = stats.pearson(df.select("y", F.posexplode("spectrum").alias("band", "x")), ["band"]).select("band", F.round("r", 6).alias("r"))
+    return r.orderBy(F.abs("r").desc(), "band").limit(20)
+
+
+def inflation_summary(spark, d):
+    """What folds at random promise over buffered folds: median, largest, and radii above 0.01."""
+    p = spatial.buffered_line(src.sites(spark, d), RADII)
+    m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted").select("radius", "r2")
+    base = m.where("radius = 0").select(F.col("r2").alias("base"))
+    gap = m.where("radius > 0").join(F.broadcast(base)).withColumn("inflation", F.round(F.col("base") - F.col("r2"), 6))
+    return rounded(gap.agg(F.median("inflation").alias("middle"), F.max("inflation").alias("most"), F.sum((F.col("inflation") > 0.01).cast("long")).alias("n_over")), 4)
+
+
+def kfold_line(spark, d):
+    df = src.band_points(spark, d).where("date = 'N'")
+    p = validation.kfold_line(df, "point_id", "b", "e")
+    return rounded(stats.regression_metrics(p, ["fold"], "y", "predicted").select("fold", "n", "r2", "rmse", "mae"), 5)
+
+
+def group_folds(spark, d):
+    """Folds by sampling point: all dates of a point fall into one."""
+    df = src.band_points(spark, d).select("point_id", "date", validation.fold_of("point_id").alias("fold"))
+    return df.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("point_id").alias("points"))
+
+
+def permutation_test(spark, d):
+    return rounded(validation.permutation_test(src.sites(spark, d), "site", "u", "v"))
+
+
+def overlapping_tiles(spark, d):
+    return raster.overlapping_tiles(1000, 700, 256, 64, spark)
+
+
+def pass_statistics(spark, d):
+    """Three passes with a shift each over the pixels."""
+    px = src.raster(spark, d).where("b4 <> 0")
+    passes = px.select("row", "col", F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), (F.col("b4") * (1 + 0.1 * k)).alias("value")) for k in range(3)])).alias("s"))
+    return rounded(raster.pass_statistics(passes.select("row", "col", "s.value"), ["row", "col"], "value"), 10)
+
+
 def queries() -> dict:
     return {
         "band_pivot": band_pivot,
@@ -362,4 +421,14 @@ def queries() -> dict:
         "nodata_masking": nodata_masking,
         "point_pixels": point_pixels,
         "date_lookup": date_lookup,
+        "partial_correlation": partial_correlation,
+        "linear_importance": linear_importance,
+        "target_scaler": target_scaler,
+        "mean_target_top20": mean_target_top20,
+        "inflation_summary": inflation_summary,
+        "kfold_line": kfold_line,
+        "group_folds": group_folds,
+        "permutation_test": permutation_test,
+        "overlapping_tiles": overlapping_tiles,
+        "pass_statistics": pass_statistics,
     }
