@@ -82,12 +82,15 @@ def field_paths(record: Column) -> Column:
     """Sorted nested field paths of a JSON object: ``a``, ``a.b``, ``a[].b``; two levels, as in every layout.
 
     An object's fields count also where their value is null; of an array the
-    first element speaks for all.
+    first element speaks for all. A string is a string, whatever its text looks
+    like: values are told by their JSON as written, in which strings have quotes.
     """
+    values = F.from_json(record, "map<string,variant>")
+
     def below(key: Column) -> Column:
-        inner = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("']")))
-        first = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("'][0]")))
-        listed = F.transform(F.json_object_keys(first), lambda k: F.concat(key, F.lit("[]."), k))
+        value = F.try_element_at(values, key)
+        inner, first = F.to_json(value), F.to_json(F.try_variant_get(value, "$[0]", "variant"))
+        listed = F.when(first.startswith("{"), F.transform(F.json_object_keys(first), lambda k: F.concat(key, F.lit("[]."), k)))
         nested = F.transform(F.json_object_keys(inner), lambda k: F.concat(key, F.lit("."), k))
         return F.when(inner.startswith("["), listed).when(inner.startswith("{"), nested)
 

@@ -39,6 +39,19 @@ def test_layouts(spark):
     assert got[4]["turns"][0]["text"] == "q\n\nx" and got[5]["turns"] is None
 
 
+def test_texts_that_look_like_json(spark):
+    texts = ["{}", '{"a": 1}', '[{"a": 1}]', '{"a": 1} and more']
+    records = [{"role": "assistant", "text": t} for t in texts] + [{"prompt": t, "response": t} for t in texts]
+    records += [{"instruction": t, "output": t} for t in texts] + [{"messages": [{"role": "assistant", "content": t}] * 2} for t in texts]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, record string")
+    got = {r["id"]: r for r in chat.canonical_turns(df).collect()}
+    assert [got[i]["layout"] for i in range(16)] == ["turn"] * 4 + ["prompt_response"] * 4 + ["instruction_only"] * 4 + ["messages"] * 4
+    for i in range(16):
+        assert {t["text"] for t in got[i]["turns"]} == {texts[i % 4]}, i
+    strings = spark.createDataFrame([(json.dumps({"messages": ['{"role": "user", "content": "q"}']}),)], "record string")
+    assert chat.canonical_turns(strings).first()["layout"] is None
+
+
 def test_mixture_meets_targets(spark):
     rng = random.Random(2)
     words = {"high": ["fine", "clear", "prose"], "low": ["junk", "click", "buy"], "toxic": ["vile", "rude", "foul"]}
