@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staging, components, load
@@ -78,14 +78,19 @@ def minhashes(s: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, bands: int, rows: int, size: int, text: str, doc_id: str) -> DataFrame:
-    """(doc, d1, d2, n, bytes, bands) of every document: set digest, set size, band hashes."""
+def text_digest(text: str) -> Column:
+    """64 bits that tell texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def sketches(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
+    """(doc, digest, d1, d2, n, bytes, bands) of every row of ``docs`` (doc, digest, t): set digest, set size, band hashes."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                s, offsets = shingle_sets(part.column(1), size)
+                s, offsets = shingle_sets(part.column(2), size)
                 n = np.diff(offsets)
                 m = minhashes(s, offsets, bands * rows)
                 key = np.zeros((len(n), bands), _U)
@@ -96,16 +101,15 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int, text: str, doc_i
                 np.cumsum(mix(s), out=sums[0, 1:])
                 np.cumsum(mix(s ^ _U(0xA5A5A5A55A5A5A5A)), out=sums[1, 1:])
                 d1, d2 = (x[offsets[1:]] - x[offsets[:-1]] for x in sums)
-                size_of = part.column(1).cast(pa.large_string())
+                size_of = part.column(2).cast(pa.large_string())
                 lengths = np.diff(utf8(size_of)[1])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * bands, bands, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(lengths), lists],
-                    ["doc", "d1", "d2", "n", "bytes", "bands"],
+                    [part.column(0), part.column(1), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(lengths), lists],
+                    ["doc", "digest", "d1", "d2", "n", "bytes", "bands"],
                 )
 
-    base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("t"))
-    return base.mapInArrow(tidy(run), "doc long, d1 long, d2 long, n long, bytes long, bands array<long>")
+    return docs.select("doc", "digest", "t").mapInArrow(tidy(run), "doc long, digest long, d1 long, d2 long, n long, bytes long, bands array<long>")
 
 
 def set_links(sets: list[np.ndarray], split: int | None, similarity: float):
@@ -144,55 +148,59 @@ def set_links(sets: list[np.ndarray], split: int | None, similarity: float):
 def jaccard_join(
     docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """(doc_id, class_id, n_links, kept), one row for every row of ``docs``.
+    """(doc_id, digest, class_id, class_digest, n_links, kept), one row for every row of ``docs``.
 
     n_links counts the other rows whose shingle sets are as similar as
-    ``similarity``; class_id is the smallest id reachable by links; kept marks
-    one row of every class, that of the smallest id. A text of fewer words than
-    a shingle has its words as its one shingle; null and blank texts have none,
-    link with nothing and are kept. Repeated rows are links of each other; rows
-    of one id share the verdict ``kept``. A null id counts as the smallest
-    long. Other columns are ignored; an empty table gives an empty result.
-    The candidates' recall at the threshold is ``recall``, more above it;
-    equal sets are always found.
+    ``similarity``; the class of a row, what links reach, is named by the least
+    (doc_id, digest) in it, class_id and class_digest; kept marks one row of
+    every class, one of that name. digest tells texts of one id apart. A text
+    of fewer words than a shingle has its words as its one shingle; null and
+    blank texts have none, link with nothing and are kept. Repeated rows are
+    links of each other. A null id counts as the smallest long. Other columns
+    are ignored; an empty table gives an empty result. The candidates' recall
+    at the threshold is ``recall``, more above it; equal sets are always found.
     """
     spark = docs.sparkSession
     staging = Staging(spark, "jaccard")
     bands, rows = bands_for(similarity, recall)
     least = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
-    docs = docs.select(least.alias("doc"), F.col(text).alias("t"))
-    sketch = staging.table(sketches(docs, bands, rows, size, "t", "doc"))
+    docs = docs.select(least.alias("doc"), text_digest(text).alias("digest"), F.col(text).alias("t"))
+    # rows and sets are numbered as they are staged, so that numbers hold whatever ids repeat
+    sketch = staging.table(sketches(docs, bands, rows, size).withColumn("row", F.monotonically_increasing_id()))
     full = sketch.where("n > 0")
-    reps = staging.table(full.groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("weight"), F.max("bytes").alias("bytes")))
-    banded = full.join(reps.select("d1", "d2", "n", F.col("rep").alias("doc")), ["d1", "d2", "n", "doc"], "left_semi")
-    keyed = banded.select(F.col("doc").alias("rep"), F.explode("bands").alias("key"))
+    place = F.struct("doc", "digest", "row")
+    sets = full.groupBy("d1", "d2", "n").agg(F.min(place).alias("first"), F.count("*").alias("weight"), F.max("bytes").alias("bytes"))
+    reps = staging.table(sets.withColumn("rep", F.monotonically_increasing_id()))
+    banded = full.select("row", "bands").join(reps.select(F.col("first.row").alias("row"), "rep"), "row")
+    keyed = banded.select("rep", F.explode("bands").alias("key"))
     lead = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("end")).where("lead <> end").select("key", "lead")
     near = keyed.join(lead, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     clusters = staging.table(components(near, staging).withColumnRenamed("id", "rep"))
     # blocks: as many as keep each side within rows and bytes
-    member = staging.table(clusters.join(reps.select("rep", "weight", "bytes"), "rep"))
+    member = staging.table(clusters.join(reps.select("rep", "first", "weight", "bytes"), "rep"))
     extent = member.groupBy("component").agg(F.count("*").alias("k"), F.sum("bytes").alias("size"))
     extent = extent.withColumn("blocks", F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")).select("component", "blocks")
     placed = member.join(extent, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     # shuffled at every size: the clusters' members grow with the input
-    texts = docs.join(placed.withColumnRenamed("rep", "doc").hint("merge"), "doc")
-    one = texts.select("component", "doc", "weight", "t", "blocks", "block").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = placed.select("first.doc", "first.digest", "rep", "weight", "component", "blocks", "block")
+    texts = docs.join(wanted.hint("merge"), ["doc", "digest"])
+    one = texts.select("component", "rep", "weight", "t", "blocks", "block").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sided = one.select(
-        "component", F.least("block", "meets").alias("p"), F.greatest("block", "meets").alias("q"), (F.col("block") > F.col("meets")).alias("right"), "doc", "weight", "t"
+        "component", F.least("block", "meets").alias("p"), F.greatest("block", "meets").alias("q"), (F.col("block") > F.col("meets")).alias("right"), "rep", "weight", "t"
     )
-    sided = sided.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "right", "doc")
+    sided = sided.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "right", "rep")
 
     def verify(group):
-        # group: lists of (doc, weight, set, right) of one block pair, two rows of one id count once
+        # group: lists of (rep, weight, set, right) of one block pair, repeated rows of one set count once
         same = group[0][4] == group[0][5]
-        docs_, weights, sets, right = [], [], [], 0
-        for doc, weight, s, side, _, _ in group:
-            if docs_ and docs_[-1] == doc:
+        reps_, weights, sets, right = [], [], [], 0
+        for rep, weight, s, side, _, _ in group:
+            if reps_ and reps_[-1] == rep:
                 continue
-            docs_.append(doc), weights.append(weight), sets.append(s)
+            reps_.append(rep), weights.append(weight), sets.append(s)
             right += not side
         split = None if same else right
-        ids, w = np.array(docs_, np.int64), np.array(weights, np.int64)
+        ids, w = np.array(reps_, np.int64), np.array(weights, np.int64)
         if len(ids) < 2 or split in (0, len(ids)):
             return None
         links, pairs = np.zeros(len(ids), np.int64), []
@@ -216,14 +224,14 @@ def jaccard_join(
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 s, offsets = shingle_sets(part.column("t"), size)
-                columns = [part.column(c).to_pylist() for c in ("component", "p", "q", "right", "doc", "weight")]
-                for r, (c, p, q, right, doc, weight) in enumerate(zip(*columns, strict=True)):
+                columns = [part.column(c).to_pylist() for c in ("component", "p", "q", "right", "rep", "weight")]
+                for r, (c, p, q, right, rep, weight) in enumerate(zip(*columns, strict=True)):
                     if (c, p, q) != key:
                         if len(group) > 1 and (out := verify(group)):
                             found.append(out)
                             held += len(out[0])
                         group, key = [], (c, p, q)
-                    group.append((doc, weight, s[offsets[r] : offsets[r + 1]].copy(), right, p, q))
+                    group.append((rep, weight, s[offsets[r] : offsets[r + 1]].copy(), right, p, q))
                 if held > 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["rep", "links", "root"])
                     found, held = [], 0
@@ -235,16 +243,30 @@ def jaccard_join(
     found = staging.table(sided.mapInArrow(tidy(run), "rep long, links long, root long"))
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), staging).withColumnRenamed("id", "rep")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(classes, "rep", "left")
-    known = reps.join(linked, "rep", "left").select(
-        "d1", "d2", "n", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("class_id")
+    joined = reps.join(linked, "rep", "left").withColumn("class", F.coalesce("component", "rep"))
+    named = joined.where("component is not null").groupBy("class").agg(F.min("first").alias("class_first"))
+    known = joined.join(named, "class", "left").select(
+        "d1", "d2", "n", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("class_first", "first").alias("name")
     )
     out = sketch.drop("bands").join(known, ["d1", "d2", "n"], "left")
+    name = F.coalesce("name", place)
     return out.select(
-        F.col("doc").alias("doc_id"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        (F.coalesce("class_id", "doc") == F.col("doc")).alias("kept"),
+        F.col("doc").alias("doc_id"), "digest", name["doc"].alias("class_id"), name["digest"].alias("class_digest"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (name["row"] == F.col("row")).alias("kept"),
     )
 
 
+def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class of ``jaccard_join``; null and blank texts stay as they are."""
+    solid = F.coalesce(F.col(text).rlike(r"[^ \t-\r]"), F.lit(False))
+    full = docs.where(solid)
+    kept = jaccard_join(full, text=text, doc_id=doc_id).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    keyed = full.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_digest": text_digest(text)})
+    # rows of one id and text are one row of their class
+    one = keyed.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    return one.unionByName(docs.where(~solid))
+
+
 def op6_jaccard(spark, sf_dir):
     """Near-duplicate classes of all documents by word shingles."""
     return jaccard_join(load(spark, sf_dir, "documents"))

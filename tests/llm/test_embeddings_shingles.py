@@ -70,3 +70,25 @@ def test_texts_match_all_pairs(spark):
     for i in range(len(texts)):
         assert (got[i]["class_id"], got[i]["n_links"], got[i]["kept"]) == (root[i], count[i], root[i] == i), i
     assert shingles.jaccard_join(df.limit(0)).count() == 0
+
+
+def test_ids_that_repeat(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(str(rng.randint(0, 5000)) for _ in range(100)) for _ in range(3))
+    near = lambda t: t + " new"
+    # null ids with near copies; one id on two texts, each with a near copy elsewhere; repeated rows
+    rows = [(None, a), (None, near(a)), (7, b), (7, c), (1, near(b)), (2, near(c)), (9, "other words than the rest"), (9, "other words than the rest"), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shingles.jaccard_join(df).collect()
+    assert len(got) == len(rows)
+    classes = {}
+    for r in got:
+        classes.setdefault((r["class_id"], r["class_digest"]), []).append(r)
+    full = [rs for rs in classes.values() if rs[0]["n_links"]]
+    assert [len(rs) for rs in full] == [2] * 4
+    assert all(sum(r["kept"] for r in rs) == 1 and all(r["n_links"] == 1 for r in rs) for rs in full)
+    assert sum(r["kept"] for r in got) == 6
+    out = [tuple(r) for r in shingles.drop_near(df).collect()]
+    assert sorted(out, key=str) == sorted(set(out), key=str) and len(out) == 6
+    assert {(1, near(b)), (2, near(c)), (9, "other words than the rest"), (None, None), (None, " ")} < set(out)
+    assert len({a, near(a)} & {t for _, t in out}) == 1
