@@ -21,16 +21,16 @@ def fold_of(key: str, folds: int = 5, seed: int = 42) -> Column:
     return F.pmod(hash_number(F.col(key).cast("string"), F.lit(str(seed))), F.lit(folds)).cast("int")
 
 
-def kfold_line(df: DataFrame, key: str, x: str, y: str, folds: int = 5) -> DataFrame:
-    """(key, fold, y, predicted): y by a line on x, fitted on the other folds."""
-    rows = df.select(F.col(key), fold_of(key, folds).alias("fold"), F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+def kfold_line(df: DataFrame, key: str, x: str, y: str, folds: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, key, fold, y, predicted): y by a line on x, fitted on the other folds of the same ``by``."""
+    rows = df.select(*by, F.col(key), fold_of(key, folds).alias("fold"), F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
     sums = {"n": F.count("*").cast("double"), "sx": F.sum("x"), "sy": F.sum("y"), "sxx": F.sum(F.col("x") * F.col("x")), "sxy": F.sum(F.col("x") * F.col("y"))}
-    per = rows.groupBy("fold").agg(*[c.alias(k) for k, c in sums.items()])  # one row a fold
-    total = per.agg(*[F.sum(k).alias(f"t_{k}") for k in sums])
-    rest = per.join(F.broadcast(total)).select("fold", *[(F.col(f"t_{k}") - F.col(k)).alias(k) for k in sums])
+    per = rows.groupBy(*by, "fold").agg(*[c.alias(k) for k, c in sums.items()])  # one row a group and fold
+    total = per.groupBy(*by).agg(*[F.sum(k).alias(f"t_{k}") for k in sums])
+    rest = per.join(F.broadcast(total), list(by) or None).select(*by, "fold", *[(F.col(f"t_{k}") - F.col(k)).alias(k) for k in sums])
     slope = F.coalesce(F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")), F.lit(0.0))
-    line = rest.select("fold", slope.alias("a"), F.try_divide(F.col("sy") - slope * F.col("sx"), "n").alias("b"))
-    return rows.join(F.broadcast(line), "fold").select(key, "fold", "y", (F.col("a") * F.col("x") + F.col("b")).alias("predicted"))
+    line = rest.select(*by, "fold", slope.alias("a"), F.try_divide(F.col("sy") - slope * F.col("sx"), "n").alias("b"))
+    return rows.join(F.broadcast(line), [*by, "fold"]).select(*by, key, "fold", "y", (F.col("a") * F.col("x") + F.col("b")).alias("predicted"))
 
 
 def permutation_test(points: DataFrame, key: str, x: str, y: str, permutations: int = 99) -> DataFrame:

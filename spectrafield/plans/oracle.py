@@ -183,6 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "mean_target_top20": f"with {LONG}, t as (select point_id, (max(target) + avg(v)) / 2 y from raw group by 1), g as (select band::int band, round({_corr('v', 'y')}, 6) r from raw join t using (point_id) group by 1) select band, r from g order by abs(r) desc, band limit 20",
         "inflation_summary": f"with {LINE}, e as (select radius, v y, predicted p from ln), q as (select radius, 1 - sum((y-p)*(y-p)) / nullif(var_pop(y) * count(*), 0) r2 from e group by 1), g as (select round(b.r2 - q.r2, 6) inflation from q, q b where q.radius > 0 and b.radius = 0) select round(median(inflation), 4) middle, round(max(inflation), 4) most, count(*) filter (inflation > 0.01) n_over from g",
         "kfold_line": f"with {POINTS}, f as (select {FOLD} fold, b x, e y from pts where date = 'N'), l as (select k.fold, regr_slope(y, x) a, regr_intercept(y, x) b from (select distinct fold from f) k join f on f.fold <> k.fold group by 1), pd as (select f.fold, y, a * x + b p from f join l using (fold)) select fold, {METRICS.format(k=5)} from pd group by 1",
+        "kfold_line_dates": f"with {POINTS}, f as (select date, {FOLD} fold, b x, e y from pts), l as (select k.date, k.fold, regr_slope(y, x) a, regr_intercept(y, x) b from (select distinct date, fold from f) k join f on f.date = k.date and f.fold <> k.fold group by 1, 2), pd as (select f.date, f.fold, y, a * x + b p from f join l using (date, fold)) select date, fold, {METRICS.format(k=5)} from pd group by 1, 2",
         "group_folds": f"with {POINTS} select {FOLD} fold, count(*) n, count(distinct point_id) points from pts group by 1",
         "permutation_test": f"with {SITES}, c as (select site, u x, v y, unnest(range(1, 100)) p from sites), o as (select p, x, y, row_number() over (partition by p order by site) i, row_number() over (partition by p order by " + _hash("site::varchar || '.' || p::varchar") + f", site) j from c), w as (select a.p, round(power({_corr('a.x', 'b.y')}, 2), 9) drawn from o a join o b on a.p = b.p and a.i = b.j group by 1), ob as (select count(*) n, round(power({_corr('u', 'v')}, 2), 9) r2 from sites) select n, round(r2, 6) r2, count(*) n_permutations, round(avg((drawn >= r2)::int), 6) p from w, ob group by n, r2",
         "overlapping_tiles": "with a as (select distinct least(s, 744)::int as row from (select unnest(range(0, 937, 192)) s)), b as (select distinct least(s, 444)::int as col from (select unnest(range(0, 637, 192)) s)) select row, col from a, b",

@@ -339,6 +339,12 @@ def kfold_line(spark, d):
     return rounded(stats.regression_metrics(p, ["fold"], "y", "predicted").select("fold", "n", "r2", "rmse", "mae"), 5)
 
 
+def kfold_line_dates(spark, d):
+    """The lines of every date, each date with folds of its own."""
+    p = validation.kfold_line(src.band_points(spark, d), "point_id", "b", "e", by=("date",))
+    return rounded(stats.regression_metrics(p, ["date", "fold"], "y", "predicted").select("date", "fold", "n", "r2", "rmse", "mae"), 5)
+
+
 def group_folds(spark, d):
     """Folds by sampling point: all dates of a point fall into one."""
     df = src.band_points(spark, d).select("point_id", "date", validation.fold_of("point_id").alias("fold"))
@@ -427,6 +433,7 @@ def queries() -> dict:
         "mean_target_top20": mean_target_top20,
         "inflation_summary": inflation_summary,
         "kfold_line": kfold_line,
+        "kfold_line_dates": kfold_line_dates,
         "group_folds": group_folds,
         "permutation_test": permutation_test,
         "overlapping_tiles": overlapping_tiles,
