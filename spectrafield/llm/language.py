@@ -129,22 +129,22 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
 
     def run(batches):
         for batch in batches:
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for y, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 f = features(t)
                 if f is not None:
                     at = np.flatnonzero(f)
-                    yield pa.RecordBatch.from_arrays([pa.array([y]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([f[at]], pa.list_(pa.float32()))], ["y", "at", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.array([y]), pa.array([h]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([f[at]], pa.list_(pa.float32()))], ["y", "h", "at", "f"])
 
     found = []
-    for r in picked.select("y", "t").mapInArrow(tidy(run), "y string, at array<int>, f array<float>").toLocalIterator():
+    for r in picked.select("y", "h", "t").mapInArrow(tidy(run), "y string, h long, at array<int>, f array<float>").toLocalIterator():
         f = np.zeros(FEATURES, np.float32)
         f[np.array(r["at"], int)] = r["f"]
-        found.append((f, r["y"]))
-    found.sort(key=lambda p: (p[1], p[0].tobytes()))
-    most = max(10, SAMPLE_ALL // max(1, len({y for _, y in found})))
+        found.append((f, r["y"], r["h"]))
+    found.sort(key=lambda p: p[1:])
+    most = max(10, SAMPLE_ALL // max(1, len({y for _, y, _ in found})))
     of: dict[str, list] = {}
-    for row in found:
-        of.setdefault(row[1], []).append(row)
+    for f, y, _ in found:
+        of.setdefault(y, []).append((f, y))
     return fit([row for rows in of.values() for row in rows[:most]])
 
 

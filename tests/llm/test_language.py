@@ -36,3 +36,13 @@ def test_codewords_are_apart():
     for n in (2, 4, 6, 12):
         code = language.codewords(n)
         assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 1
+
+
+def test_sample_is_cut_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ALL", 24)
+    monkeypatch.setattr(language, "fit", lambda rows: rows)
+    labelled = spark.createDataFrame(rows(150, 3), "doc_id long, text string, lang string, score int")
+    got = language.train(labelled)
+    hashed = {(r["lang"], r["h"]): r["text"] for r in labelled.selectExpr("lang", "xxhash64(text) h", "text").collect()}
+    want = [(language.features(hashed[k]).tobytes(), y) for y in sorted(WORDS) for k in sorted(k for k in hashed if k[0] == y)[:10]]
+    assert [(f.tobytes(), y) for f, y in got] == want
