@@ -1,10 +1,10 @@
 """N-gram Jaccard join: MinHash bands for candidates, full n-gram sets for the verdict.
 
-Documents with equal shingle sets are one class. Classes' band hashes are
-shuffled; classes that share a band hash form candidate clusters. A cluster's
-texts meet in blocks of bounded size, where the intersections of all full
-shingle sets are counted at once, by a sparse product, and only link counts and
-one root per document leave the block, never the pairs.
+Documents with equal shingle sets are one set of some weight. Sets' band hashes
+are shuffled. Sets with the same first partner live in blocks of bounded size;
+two blocks meet if some of their sets share a band hash. There the
+intersections of all full shingle sets are counted at once, by a sparse
+product, and only link counts and one root per set leave, never the pairs.
 """
 
 from __future__ import annotations
@@ -14,20 +14,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, components, load
+from .common import Staging, components, join_hot, load
 from .embeddings import roots
-from .kernels import LOWER, POWER, mix, span_hashes, tidy, utf8, words
+from .kernels import LOWER, POWER, mix, slices, span_hashes, tidy, utf8, words
 
 _U = np.uint64
 #: Words of a shingle, and the similarity from which two documents are linked.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9995
 #: Documents and bytes of one side of a block.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
+#: Bytes of text that a task takes apart at once.
+SLICE_BYTES = 2_000_000
+#: Stands for a null id inside; nulls come out as nulls.
+NO_ID = -(2**63)
 
 
 def bands_for(similarity: float, recall: float, most: int = 160) -> tuple[int, int]:
-    """(bands, rows): most rows, so fewest false candidates, that find a pair at ``similarity`` with ``recall``."""
-    best = (most, 1)
+    """(bands, rows): most rows, so fewest false candidates, that find a pair at ``similarity`` with ``recall``.
+
+    ``most`` is the number of hash functions; it is raised to what one row a band needs.
+    """
+    if not (0 < similarity <= 1 and 0 < recall < 1):
+        raise ValueError("similarity must lie in (0, 1], recall in (0, 1)")
+    alone = int(np.ceil(np.log1p(-recall) / np.log1p(-similarity))) if similarity < 1 else 1
+    best, most = (alone, 1), max(most, alone)
     for rows in range(1, 17):
         chance = similarity**rows
         bands = int(np.ceil(np.log1p(-recall) / np.log1p(-chance))) if chance < 1 else 1
@@ -88,8 +98,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch, 2, SLICE_BYTES):
                 s, offsets = shingle_sets(part.column(2), size)
                 n = np.diff(offsets)
                 m = minhashes(s, offsets, bands * rows)
@@ -156,14 +165,14 @@ def jaccard_join(
     every class, one of that name. digest tells texts of one id apart. A text
     of fewer words than a shingle has its words as its one shingle; null and
     blank texts have none, link with nothing and are kept. Repeated rows are
-    links of each other. A null id counts as the smallest long. Other columns
-    are ignored; an empty table gives an empty result. The candidates' recall
+    links of each other. A null id comes out as null, and before all others in
+    the naming of classes. Other columns are ignored; an empty table gives an empty result. The candidates' recall
     at the threshold is ``recall``, more above it; equal sets are always found.
     """
     spark = docs.sparkSession
     staging = Staging(spark, "jaccard")
     bands, rows = bands_for(similarity, recall)
-    least = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+    least = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     docs = docs.select(least.alias("doc"), text_digest(text).alias("digest"), F.col(text).alias("t"))
     # rows and sets are numbered as they are staged, so that numbers hold whatever ids repeat
     sketch = staging.table(sketches(docs, bands, rows, size).withColumn("row", F.monotonically_increasing_id()))
@@ -174,21 +183,24 @@ def jaccard_join(
     banded = full.select("row", "bands").join(reps.select(F.col("first.row").alias("row"), "rep"), "row")
     keyed = banded.select("rep", F.explode("bands").alias("key"))
     lead = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("end")).where("lead <> end").select("key", "lead")
-    near = keyed.join(lead, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    clusters = staging.table(components(near, staging).withColumnRenamed("id", "rep"))
-    # blocks: as many as keep each side within rows and bytes
-    member = staging.table(clusters.join(reps.select("rep", "first", "weight", "bytes"), "rep"))
-    extent = member.groupBy("component").agg(F.count("*").alias("k"), F.sum("bytes").alias("size"))
-    extent = extent.withColumn("blocks", F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")).select("component", "blocks")
-    placed = member.join(extent, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    # shuffled at every size: the clusters' members grow with the input
-    wanted = placed.select("first.doc", "first.digest", "rep", "weight", "component", "blocks", "block")
+    near = staging.table(keyed.join(lead, "key").select("key", "rep", "lead"))
+    # a set's block: its least partner's, in as many parts as keep each within rows and bytes
+    home = near.groupBy("rep").agg(F.min("lead").alias("lead")).join(reps.select("rep", "first", "weight", "bytes"), "rep")
+    extent = home.groupBy("lead").agg(F.count("*").alias("k"), F.sum("bytes").alias("size"))
+    parts = F.greatest(F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES), F.lit(1)).alias("parts")
+    found_rows = near.agg(F.count_distinct("rep")).first()[0]
+    placed = join_hot(home, extent.select("lead", "k", parts), ["lead"], "k", found_rows)
+    placed = staging.table(placed.withColumn("block", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), "parts"))).drop("lead", "bytes", "parts"))
+    # blocks that share a band hash meet; every block meets itself
+    met = near.join(placed.select("rep", "block"), "rep").groupBy("key").agg(F.collect_set("block").alias("q"))
+    met = met.withColumn("p", F.explode("q")).withColumn("q", F.explode("q")).where("p <= q").select("p", "q").distinct()
+    side = lambda at, right: met.select(F.col(at).alias("block"), F.struct("p", "q", F.lit(right).alias("right")).alias("meet"))
+    partners = side("p", False).unionByName(side("q", True).where("meet.p <> meet.q")).groupBy("block").agg(F.collect_list("meet").alias("meets"))
+    # shuffled at every size: the blocks' members grow with the input
+    wanted = placed.join(partners, "block").select("first.doc", "first.digest", "rep", "weight", "meets")
     texts = docs.join(wanted.hint("merge"), ["doc", "digest"])
-    one = texts.select("component", "rep", "weight", "t", "blocks", "block").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sided = one.select(
-        "component", F.least("block", "meets").alias("p"), F.greatest("block", "meets").alias("q"), (F.col("block") > F.col("meets")).alias("right"), "rep", "weight", "t"
-    )
-    sided = sided.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "right", "rep")
+    sided = texts.select("rep", "weight", "t", F.explode("meets").alias("m")).select("m.p", "m.q", "m.right", "rep", "weight", "t")
+    sided = sided.repartition("p", "q").sortWithinPartitions("p", "q", "right", "rep")
 
     def verify(group):
         # group: lists of (rep, weight, set, right) of one block pair, repeated rows of one set count once
@@ -221,16 +233,15 @@ def jaccard_join(
     def run(batches):
         group, key, found, held = [], None, [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, batch.schema.get_field_index("t"), SLICE_BYTES):
                 s, offsets = shingle_sets(part.column("t"), size)
-                columns = [part.column(c).to_pylist() for c in ("component", "p", "q", "right", "rep", "weight")]
-                for r, (c, p, q, right, rep, weight) in enumerate(zip(*columns, strict=True)):
-                    if (c, p, q) != key:
+                columns = [part.column(c).to_pylist() for c in ("p", "q", "right", "rep", "weight")]
+                for r, (p, q, right, rep, weight) in enumerate(zip(*columns, strict=True)):
+                    if (p, q) != key:
                         if len(group) > 1 and (out := verify(group)):
                             found.append(out)
                             held += len(out[0])
-                        group, key = [], (c, p, q)
+                        group, key = [], (p, q)
                     group.append((rep, weight, s[offsets[r] : offsets[r + 1]].copy(), right, p, q))
                 if held > 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["rep", "links", "root"])
@@ -246,12 +257,12 @@ def jaccard_join(
     joined = reps.join(linked, "rep", "left").withColumn("class", F.coalesce("component", "rep"))
     named = joined.where("component is not null").groupBy("class").agg(F.min("first").alias("class_first"))
     known = joined.join(named, "class", "left").select(
-        "d1", "d2", "n", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("class_first", "first").alias("name")
+        "d1", "d2", "n", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("class_first", "first").alias("name")
     )
-    out = sketch.drop("bands").join(known, ["d1", "d2", "n"], "left")
+    out = join_hot(sketch.drop("bands"), known, ["d1", "d2", "n"], "weight", sketch.count())
     name = F.coalesce("name", place)
     return out.select(
-        F.col("doc").alias("doc_id"), "digest", name["doc"].alias("class_id"), name["digest"].alias("class_digest"),
+        F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "digest", F.nullif(name["doc"], F.lit(NO_ID)).alias("class_id"), name["digest"].alias("class_digest"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (name["row"] == F.col("row")).alias("kept"),
     )
 
@@ -260,8 +271,9 @@ def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     """``docs`` with one row of each class of ``jaccard_join``; null and blank texts stay as they are."""
     solid = F.coalesce(F.col(text).rlike(r"[^ \t-\r]"), F.lit(False))
     full = docs.where(solid)
-    kept = jaccard_join(full, text=text, doc_id=doc_id).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = full.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_digest": text_digest(text)})
+    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    kept = jaccard_join(full, text=text, doc_id=doc_id).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("digest").alias("_digest"))
+    keyed = full.withColumns({"_id": number, "_digest": text_digest(text)})
     # rows of one id and text are one row of their class
     one = keyed.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
     return one.unionByName(docs.where(~solid))
