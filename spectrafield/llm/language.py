@@ -24,7 +24,7 @@ from .kernels import tidy
 FEATURES = 1 << 13
 #: Labelled documents of one language, and of all, that are learned from at most, chosen by a hash of their text.
 SAMPLE, SAMPLE_ALL = 250, 4000
-#: Characters of one slice of a long text; slices are summed, nothing is left out.
+#: Characters of one slice of a long text; slices share their edges and are summed, so that nothing is left out.
 SLICE = 1 << 20
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -38,31 +38,39 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def ngram_ids(text: str) -> np.ndarray | None:
-    """Feature numbers of the 1- to 3-grams of letters and word limits; None without a letter."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letters = letter_table()[np.minimum(points, 0x10FFFF)]
-    if not letters.any():
-        return None
-    x = np.where(letters, points, 0).astype(np.uint32)
-    x = np.concatenate(([0], x, [0])).astype(np.uint32)
+def ngram_ids(before: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Feature numbers of the 1- to 3-grams that end in ``points``; ``before`` are up to two code points ahead of them.
+
+    Code points are those of letters, and 0 for all else.
+    """
+    n = len(before)
+    x = np.concatenate((before, points)).astype(np.uint32)
     inside = (x[1:] > 0) | (x[:-1] > 0)
     two = (x[:-1] * np.uint32(0x9E3779B1)) ^ (x[1:] * np.uint32(0x85EBCA77))
     three = (two[:-1] * np.uint32(0xC2B2AE3D)) ^ (x[2:] * np.uint32(0x27D4EB2F))
-    one = x[x > 0] * np.uint32(0x165667B1)
-    parts = (one, two[inside] + np.uint32(0x7F4A7C15), three[inside[:-1] & inside[1:]] + np.uint32(0x3C6EF372))
+    one = x[n:][x[n:] > 0] * np.uint32(0x165667B1)
+    new = max(n - 1, 0)
+    parts = (one, two[new:][inside[new:]] + np.uint32(0x7F4A7C15), three[inside[:-1] & inside[1:]] + np.uint32(0x3C6EF372))
     return np.concatenate([(((p ^ (p >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(8)) % np.uint32(FEATURES) for p in parts])
 
 
 def features(text: str) -> np.ndarray | None:
-    """Relative n-gram frequencies of a whole text, long texts slice by slice."""
-    total = None
+    """Relative n-gram frequencies of letters and word limits in a whole text; None without a letter.
+
+    Long texts are read slice by slice, each with the last two characters of the one before.
+    """
+    text, total, some = text.lower(), np.zeros(FEATURES, np.int64), False
+    before = np.zeros(1, np.uint32)  # the limit ahead of the text
     for at in range(0, len(text), SLICE):
-        ids = ngram_ids(text[at : at + SLICE])
-        if ids is not None:
-            counts = np.bincount(ids, minlength=FEATURES)
-            total = counts if total is None else total + counts
-    return None if total is None else np.sqrt(total / total.sum()).astype(np.float32)
+        points = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")
+        letters = letter_table()[np.minimum(points, 0x10FFFF)]
+        some = some or bool(letters.any())
+        x = np.where(letters, points, 0)
+        if at + SLICE >= len(text):
+            x = np.concatenate((x, [0]))  # and the one behind it
+        total += np.bincount(ngram_ids(before, x), minlength=FEATURES)
+        before = np.concatenate((before, x))[-2:]
+    return np.sqrt(total / total.sum()).astype(np.float32) if some else None
 
 
 def codewords(n: int) -> np.ndarray:
