@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Staging, load
-from .kernels import LOWER, span_hashes, tidy, utf8, words
+from .kernels import LOWER, slices, span_hashes, tidy, utf8, words
 
 #: Hashed word features; byte frequencies follow them.
 FEATURES = 4096
@@ -29,6 +29,13 @@ SAMPLE = 500
 TARGETS = {"high": 0.84, "low": 0.11, "toxic": 0.05}
 
 
+def parts_of(batch: pa.RecordBatch, column: int):
+    """Slices of at most 128 rows and, but for longer texts, a megabyte of text."""
+    for part in slices(batch, column, 1_000_000):
+        for lo in range(0, part.num_rows, 128):
+            yield part.slice(lo, 128)
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Square roots of relative frequencies of hashed words and of bytes; words of every text."""
     data, offsets = utf8(column)
@@ -89,8 +96,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], staging: Sta
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for part in parts_of(batch, 1):
                 x, _ = features(part.column(1))
                 for y, f in zip(part.column(0).to_pylist(), x, strict=True):
                     at = np.flatnonzero(f)
@@ -121,12 +127,13 @@ def rates(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def solve(state: DataFrame, targets: np.ndarray, thin: list[bool], rounds: int = 30, tolerance: float = 1e-5) -> tuple[list[np.ndarray], np.ndarray]:
-    """(steps, wanted domain tokens) for ``state`` (n long, p array<double>).
+def solve(state: DataFrame, targets: np.ndarray, thin: list[bool], rounds: int = 200, tolerance: float = 1e-5) -> tuple[list[np.ndarray], np.ndarray, bool]:
+    """(steps, wanted domain tokens, whether they are met) for ``state`` (n long, p array<double>).
 
     The total is the smallest for which only domains marked in ``thin`` have to
     give up tokens. Steps are gradients in the metric of the domains' Gram
-    matrix; one that does not lessen the residual is halved.
+    matrix; one that does not lessen the residual is halved. Where no rates
+    meet the targets the descent ends at the least squares it has reached.
     """
     k = len(targets)
     spark = state.sparkSession
@@ -154,7 +161,7 @@ def solve(state: DataFrame, targets: np.ndarray, thin: list[bool], rounds: int =
     have, gram = sums([])
     total = have.sum()
     if total <= 0:
-        return [], np.zeros(k)
+        return [], np.zeros(k), True
     scale = max([h / (total * t) for h, t, free in zip(have, targets, thin, strict=True) if not free and t > 0], default=1.0)
     wanted = targets * total * scale
     history, step = [], 1.0
@@ -167,21 +174,23 @@ def solve(state: DataFrame, targets: np.ndarray, thin: list[bool], rounds: int =
         new, new_gram = sums(trial)
         if np.linalg.norm(new - wanted) < np.linalg.norm(miss):
             history, miss, gram, step = trial, new - wanted, new_gram, min(1.0, 2 * step)
-        elif step < 1e-3:
+        elif step < 1e-9:
             break
         else:
             step /= 2
-    return history, wanted
+    return history, wanted, bool(np.abs(miss).max() <= tolerance * wanted.sum())
 
 
 def mix_sources(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, thin: tuple[str, ...] = ("low", "toxic"), text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """Add ``n_tokens``, ``posteriors`` (one number a domain, in the order of ``targets``), ``rate`` and ``copies``.
+    """Add ``n_tokens``, ``posteriors`` (one number a domain, in the order of ``targets``), ``rate``, ``copies`` and ``targets_met``.
 
     ``labelled`` has ``doc_id`` and ``domain``. rate is the expected number of
     copies of a document in the mixture; copies rounds it up or down by a hash
-    of id and text, so that the expectation holds. Null texts are empty; texts
+    of id and text, so that the expectation holds. ``targets_met`` says, alike
+    in all rows, whether the expected tokens reach the targets within 1e-5 of
+    their sum; if not, rates are those of the descent's last step. Null texts are empty; texts
     without words have no tokens and, as every text, a posterior. Repeated rows
     are rated alike, one by one. Columns of these names are replaced. Without
     labelled rows all posteriors are even. An empty table gives an empty result.
@@ -191,14 +200,13 @@ def mix_sources(
     staging = Staging(docs.sparkSession, "mixing")
     model = train(docs, labelled, domains, staging, text, doc_id)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: features times domains
-    base = docs.drop("n_tokens", "posteriors", "rate", "copies")
+    base = docs.drop("n_tokens", "posteriors", "rate", "copies", "targets_met")
     at = base.columns.index(text)
     schema = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
 
     def scored(batches, column):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for part in parts_of(batch, column):
                 x, count = features(part.column(column))
                 p = softmax(x @ shared.value["w"] + shared.value["b"])
                 yield part, count, p
@@ -208,7 +216,7 @@ def mix_sources(
             yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(list(p), pa.list_(pa.float64()))], ["n", "p"])
 
     state = staging.table(docs.select(text).mapInArrow(tidy(measure), "n long, p array<double>"))
-    history, _ = solve(state, weights, [d in thin for d in domains])
+    history, _, met = solve(state, weights, [d in thin for d in domains])
     staging.drop(state)
 
     def rate(batches):
@@ -220,7 +228,7 @@ def mix_sources(
 
     out = base.mapInArrow(tidy(rate), f"{schema}, n_tokens long, posteriors array<double>, rate double")
     luck = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn("copies", F.floor(F.col("rate") + luck).cast("int"))
+    return out.withColumns({"copies": F.floor(F.col("rate") + luck).cast("int"), "targets_met": F.lit(met)})
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -234,4 +242,4 @@ def op10_mixing(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mix_sources(docs, domains_of(load(spark, sf_dir, "labels")))
     names = [F.round(F.col("posteriors")[i], 9).alias(f"p_{d}") for i, d in enumerate(TARGETS)]
-    return out.select("doc_id", "source", "n_tokens", *names, "rate", "copies")
+    return out.select("doc_id", "source", "n_tokens", *names, "rate", "copies", "targets_met")
