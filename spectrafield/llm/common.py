@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,14 +45,16 @@ class Staging:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)  # workers need the package for every function of it
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self.close)
 
     def table(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
+        """``df``, written and read again. zstd works on the heap; the default codec piles up direct buffers."""
         path = f"{self.root}/t{self.count}"
         self.count += 1
-        (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").parquet(path)
+        (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
@@ -67,6 +70,11 @@ class Staging:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
+    def settle(self) -> None:
+        """Let the driver's JVM find the shuffles that no plan reads any more: Spark then deletes their files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         try:
             self._delete(self.root)
@@ -74,6 +82,30 @@ class Staging:
             pass
 
 
+#: Keys that ``join_hot`` takes apart from the rest, at most.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has one row a key and in ``weight`` how many of the ``total`` rows have it.
+
+    Fewer than ``HOT`` keys can have more than ``total`` / ``HOT`` rows: these
+    meet their rows by broadcast, all others by shuffle, in which the rows that
+    are done, and those with a null among their keys, are dealt evenly.
+    """
+    values = [c for c in table.columns if c not in (*keys, weight)]
+    heavy = F.col(weight) * HOT > total
+    first = table.where(heavy).select(*keys, F.struct(*values).alias("_hot"))
+    whole = F.col("_hot").isNull()
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    dealt = F.when(whole, 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
+    out = rows.join(F.broadcast(first), keys, "left").withColumn("_dealt", dealt)
+    rest = table.where(~heavy).select(*keys, F.lit(0).cast("long").alias("_dealt"), F.struct(*values).alias("_cold"))
+    out = out.join(rest, [*keys, "_dealt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return out.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

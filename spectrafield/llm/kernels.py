@@ -43,17 +43,32 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _powers: dict[int, np.ndarray] = {}
+#: Powers of a base that are kept for the next call: more are made when a longer text needs them, and dropped again.
+POWERS_KEPT = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
+    """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(20, int(n).bit_length())
-        steps = np.full(size, base, dtype=_U)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
+    if have is not None and len(have) >= n:
+        return have[:n]
+    steps = np.full(max(POWERS_KEPT, n), base, dtype=_U)
+    steps[0] = 1
+    made = np.multiply.accumulate(steps)
+    if len(made) == POWERS_KEPT:
+        _powers[base] = made
+    return made[:n]
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int):
+    """Parts of a batch with about ``most`` bytes of text each, one row at least."""
+    sizes = np.cumsum(np.diff(utf8(batch.column(column))[1]))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,12 +110,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def tidy(run):
-    """``run`` over a task's batches, giving freed memory back at the end: workers live for many stages."""
+    """``run`` over a task's batches, giving memory back at the end: workers live for many stages.
+
+    Arrow allocates from the C library, which can be told to return what is free.
+    """
 
     def whole(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
+            _powers.clear()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)

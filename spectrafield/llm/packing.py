@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Staging, load
-from .kernels import tidy
+from .kernels import slices, tidy
 
 CAPACITY = 4096
 END_ID = 1
 #: Rows of one length that one ranking task orders.
 RANK_ROWS = 50_000
+#: Bytes of text that a task turns into tokens at once.
+SLICE_BYTES = 1_000_000
 _cache: dict = {}
 
 
@@ -203,8 +205,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, 1, SLICE_BYTES):
                 ids, texts = part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()]
                 out = []
                 for d, raw in zip(ids, lookup(tokenizer_path, kept).encode_many(texts), strict=True):
@@ -217,7 +218,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
