@@ -1,20 +1,24 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model.
-
-A word's context is the language that the text before it looks like. Every
-context has a restaurant of words; they share one parent, the restaurant of
-words without context, whose dishes come from a spelling model: bytes in
-restaurants of their last two bytes, which share the restaurants of the last
-byte as parents, these the restaurant without context, and that a uniform
-distribution. A table of a restaurant is a customer of its parent. Seating is
-sampled by Gibbs sweeps: the customers of a dish are seated anew, one by one,
-each by the Chinese-restaurant probabilities given all other dishes' tables;
-the predictive probabilities of the sweeps after the burn-in are averaged.
-
-Counting, seating and scoring of words is Spark's work. Documents are read
-once into blocks, which hold word numbers and the block's distinct words by
-context; only these meet the word table and come back with their numbers. The
-spelling model has at most 258 * 258 contexts of 257 symbols and the language
-table 65536 cells a language, whatever the input; nothing else is collected or
+"""Language-model scoring by a hierarchical Pitman-Yor model of word pairs.
+
+A word's context is the word before it, that of a text's first word the text
+end. Every context has a restaurant of words; all share one parent, the
+restaurant of words without context, whose dishes come from a spelling model:
+bytes in restaurants of their last two bytes, which share the restaurants of
+the last byte as parents, these the restaurant without context, and that a
+uniform distribution. A table of a restaurant is a customer of its parent.
+Seating is sampled by Gibbs sweeps: the customers of a dish are seated anew,
+one by one, each by the Chinese-restaurant probabilities given all other
+dishes' tables; the predictive probabilities of the sweeps after the burn-in
+are averaged.
+
+The work is a few exchanges of packed messages between three kinds of places.
+A block holds the tokens of some megabytes of documents, a range the words
+whose hashes start alike, a bucket the word pairs whose numbers hash alike. A
+place is a group of rows that Spark brings together; it never holds more than
+one message of each sender, and a message carries at least one word or pair, so
+that frequent words and pairs weigh as much as rare ones. Numbers of places grow
+with the text, their sizes do not. The spelling model has at most 258 * 258
+contexts of 257 symbols, whatever the input; nothing else is collected or
 broadcast.
 """
 
@@ -25,25 +29,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staging, load
-from .kernels import LOWER, mix, ragged, span_hashes, utf8, words
+from .kernels import LOWER, mix, ragged, slices, span_hashes, tidy, utf8, words
 from .language import held_out
-from .lines import slices
 
 _U = np.uint64
 #: Symbols of a spelling: bytes and the end of a word. Contexts have the start of a word besides.
 END, START, SYMBOLS, CONTEXTS = 256, 257, 257, 258
 #: Strength of all restaurants, discount where counts say nothing, sweeps and those that are not averaged.
-STRENGTH, DISCOUNT, SWEEPS, BURN_IN = 1.0, 0.5, 3, 1
-#: Bytes of text in a block, if its documents are not longer.
+STRENGTH, DISCOUNT, SWEEPS, BURN_IN = 1.0, 0.5, 4, 1
+#: Bytes of text in a block, if its documents are not longer, and for which there is a range and a bucket.
 BLOCK_BYTES = 8_000_000
-#: Languages that are told apart, the most frequent first; text of the others counts as that of any of them.
-LANGUAGES = 15
 #: Of additive smoothing, that the base score uses.
 ADDED = 0.1
+#: Places and kinds of messages.
+BLOCK, RANGE, BUCKET = 0, 1, 2
+TEXTS, ASKED, WORDS, ANSWER, WANTED, PAIRS, SEEN, SINGLES, TABLES, TOLD = range(10)
+MESSAGE = "place int, to long, kind int, sender long, n array<long>, x array<binary>"
 
 
 def uniforms(seed: np.ndarray, step: int) -> np.ndarray:
@@ -153,81 +159,103 @@ def sample_spelling(cell: np.ndarray, count: np.ndarray, tables: list | None, se
     return Spelling(row.astype(np.int32), np.log10(np.concatenate((p2, p1))).astype(np.float32)), [t2, t1, t0]
 
 
-def language_table(docs: DataFrame) -> np.ndarray:
-    """log probabilities of byte pairs by language, (languages, 65536), from ``docs`` (lang, t)."""
-    some = docs.where("lang is not null and t is not null")
-    langs = [r["lang"] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if len(langs) < 2:
-        return np.zeros((1, 1 << 16), np.float32)
-    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+def put(x: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers, of ``rising`` ones the steps, byte by byte and compressed."""
+    x = np.asarray(x).astype(_U)
+    if not len(x):
+        return b""
+    if rising:
+        x[1:] -= x[:-1].copy()
+    k = max(1, (int(x.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T)
+    return bytes([k]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def get(raw: bytes, rising: bool = False) -> np.ndarray:
+    """The numbers (uint64) that ``put`` packed."""
+    if not raw:
+        return np.zeros(0, _U)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    x = np.zeros((planes.shape[1], 8), np.uint8)
+    x[:, : raw[0]] = planes.T
+    x = x.view("<u8").reshape(-1)
+    return np.cumsum(x, dtype=_U) if rising else x
+
+
+def put_real(x: np.ndarray, kind: type = np.float32) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.asarray(x, kind).tobytes())
+
+
+def get_real(raw: bytes, kind: type = np.float32) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind).astype(np.float64)
+
+
+def put_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Byte spans: their lengths and their bytes."""
+    return [put(ends - starts), zstandard.ZstdCompressor(level=1).compress(data[ragged(starts, ends - starts)].tobytes())]
+
+
+def get_bytes(lengths: bytes, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes on end and their offsets."""
+    edges = np.concatenate(([0], np.cumsum(get(lengths).astype(np.int64))))
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8), edges
+
+
+def messages(rows: list[tuple]) -> pa.Table:
+    """Rows (place, to, kind, sender, numbers, packed) as a table."""
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+    names = ("place", "to", "kind", "sender", "n", "x")
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
 
-    def run(batches):
-        total = np.zeros(len(langs) << 16, np.int64)
-        for batch in batches:
-            for part in slices(batch, 1, BLOCK_BYTES):
-                data, offsets = utf8(part.column(1))
-                pair = byte_pairs(LOWER[data])
-                owner = np.repeat(part.column(0).to_numpy().astype(np.int64) << 16, np.diff(offsets))
-                total += np.bincount(owner + pair, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
-
-    rows = some.select(number.alias("lang"), "t").where("lang >= 0").mapInArrow(run, "cell long, n long")
-    found = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros((len(langs), 1 << 16))
-    count.reshape(-1)[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return np.log((count + 0.5) / (count.sum(1, keepdims=True) + 0.5 * (1 << 16))).astype(np.float32)
-
-
-def byte_pairs(data: np.ndarray) -> np.ndarray:
-    """Each byte with the one before it (the first: with a blank)."""
-    pair = data.astype(np.int64)
-    pair[1:] |= data[:-1].astype(np.int64) << 8
-    if len(pair):
-        pair[0] |= 0x20 << 8
-    return pair
-
-
-def contexts(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, text: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Context of the tokens that start at ``at``: 0 at a text's start, else 1 + the likeliest language of the text before."""
-    if len(table) < 2:
-        return (at > offsets[text]).astype(np.int64)
-    pair, best, out = byte_pairs(data), None, np.zeros(len(at), np.int64)
-    for k, row in enumerate(table):
-        total = np.concatenate(([0.0], np.cumsum(row[pair], dtype=np.float64)))
-        value = total[at] - total[offsets[text]]
-        out = np.where(value > best, k, out) if k else out
-        best = np.maximum(value, best) if k else value
-    return np.where(at > offsets[text], out + 1, 0)
-
-
-def folded(number: np.ndarray, text: np.ndarray) -> bytes:
-    """Numbers of each text as a multiset: sorted differences, byte by byte, which is small on disk and in shuffles."""
-    both = np.sort(text.astype(np.int64) << 32 | number)
-    step = both & 0xFFFFFFFF
-    step[1:] -= np.where(both[1:] >> 32 == both[:-1] >> 32, step[:-1].copy(), 0)
-    return np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def unfolded(raw, sizes: np.ndarray) -> np.ndarray:
-    """Numbers that ``folded`` put away, of texts with ``sizes`` of them."""
-    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
-    total = np.concatenate(([0], np.cumsum(step)))
-    first = np.cumsum(sizes) - sizes
-    return total[1:] - np.repeat(total[first], sizes)
-
-
-def blocks(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """One row a block of ``docs`` (doc, held, t): token numbers of its documents, distinct tokens, training counts.
-
-    A token is a word, or the empty word for a text's end, in its context.
-    """
-    names = ["block", "docs", "held", "sizes", "numbers", "words", "places", "counts"]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+def inbox(table: pa.Table) -> dict[int, list[tuple]]:
+    """Messages by kind, those of a kind by sender: (sender, numbers, packed)."""
+    out: dict[int, list[tuple]] = {}
+    rows = zip(*(table.column(c).to_pylist() for c in ("kind", "sender", "n", "x")), strict=True)
+    for kind, sender, n, x in sorted(rows, key=lambda r: (r[0], r[1])):
+        out.setdefault(kind, []).append((sender, n, x))
+    return out
+
+
+def joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def runs(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of the runs of equal values in ``x``."""
+    if not len(x):
+        return []
+    edges = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]))
+    return list(zip(x[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How words and pairs are numbered: a word is its place in its range times the ranges, plus the range."""
+
+    bits: int
+    buckets: int
+    span: int = 0  # above every word's number
+
+    def range_of(self, h: np.ndarray) -> np.ndarray:
+        return (h >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+
+    def by_range(self, words: np.ndarray) -> np.ndarray:
+        """Order of word numbers by range, then place."""
+        return np.lexsort((words >> self.bits, words & ((1 << self.bits) - 1)))
+
+    def bucket_of(self, pairs: np.ndarray) -> np.ndarray:
+        return (mix(pairs.astype(_U)) % _U(self.buckets)).astype(np.int64)
+
+
+def read(docs: DataFrame, layout: Layout) -> DataFrame:
+    """A block's tokens, and what it asks of the words' ranges, from ``docs`` (doc, held, t)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 2, BLOCK_BYTES):
+                block, rows = uuid.uuid4().int >> 65, []
                 data, offsets = utf8(part.column(2))
                 data = LOWER[data]
                 starts, ends, text = words(data, offsets)
@@ -235,214 +263,409 @@ def blocks(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 order = np.argsort(np.concatenate((text, np.arange(part.num_rows))), kind="stable")
                 starts, ends = np.concatenate((starts, offsets[1:]))[order], np.concatenate((ends, offsets[1:]))[order]
                 text = np.concatenate((text, np.arange(part.num_rows)))[order]
-                place = contexts(data, offsets, starts, text, shared.value)
                 h = span_hashes(data, starts, ends) if len(data) else np.zeros(len(starts), _U)
                 h[starts == ends] = 0
-                _, first, number = np.unique(mix(h + place.astype(_U)), return_index=True, return_inverse=True)
-                rank = np.argsort(-np.bincount(number), kind="stable")  # small numbers for frequent tokens
-                place_of = np.empty_like(rank)
-                place_of[rank] = np.arange(len(rank))
-                first, number = first[rank], place_of[number]
+                h, first, number, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(-count, kind="stable")  # small numbers for frequent words; ties by hash
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
                 held = np.array(part.column(1))
-                counts = np.bincount(number[~held[text]], minlength=len(first))
-                length = ends[first] - starts[first]
-                raw = data[ragged(starts[first], length)]
-                edges = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-                spelled = pa.StringArray.from_buffers(len(length), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw)))
-                one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([uuid.uuid4().int >> 65], pa.int64()), one(part.column(0), None), one(part.column(1), None),
-                        one(np.bincount(text, minlength=part.num_rows).astype(np.int64), pa.int64()),
-                        pa.array([folded(number, text)]), one(spelled, None),
-                        one(place[first].astype(np.int32), pa.int32()), one(counts, pa.int64()),
-                    ],
-                    names,
-                )
-
-    schema = "block long, docs array<long>, held array<boolean>, sizes array<long>, numbers binary, words array<string>, places array<int>, counts array<long>"
-    return docs.mapInArrow(run, schema)
-
-
-def spelling_counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Customers of the spelling cells: ``table`` (word, t) has t tables of every word. At most 258 * 258 * 257 cells."""
+                taught = np.bincount(number[~held[text]], minlength=len(h))
+                sizes = np.bincount(text, minlength=part.num_rows)
+                new = first[taught == 0]
+                packed = [put(rank[number]), put(count), put(sizes * 2 + held), *put_bytes(data, starts[new], ends[new]), put(np.flatnonzero(taught == 0), True)]
+                rows.append((BLOCK, block, TEXTS, block, part.column(0).to_pylist(), packed))
+                for q, lo, hi in runs(layout.range_of(h)):
+                    some = first[lo:hi][taught[lo:hi] > 0]
+                    rows.append((RANGE, q, ASKED, block, [], [put(h[lo:hi], True), put(taught[lo:hi]), *put_bytes(data, starts[some], ends[some])]))
+                yield from messages(rows).to_batches()
+
+    return docs.mapInArrow(tidy(run), MESSAGE)
+
+
+def meet(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def exchange(df: DataFrame, step, schema: str = MESSAGE) -> DataFrame:
+    """``step`` at every place of ``df``: its messages in, others out."""
+    return df.groupBy("place", "to").applyInArrow(step, schema)
+
+
+def number_words(table: pa.Table) -> pa.Table:
+    """A range counts its words and tells each block the counts and places of those asked for; words never taught have none."""
+    asked, at = inbox(table)[ASKED], table.column("to")[0].as_py()
+    h, n = [get(x[0], True) for _, _, x in asked], [get(x[1]).astype(np.int64) for _, _, x in asked]
+    distinct, where = np.unique(joined(h, _U), return_inverse=True)
+    count = np.bincount(where, joined(n), len(distinct)).astype(np.int64)
+    known = count > 0
+    place = np.cumsum(known) - 1
+    spelled = [get_bytes(x[2], x[3]) for _, _, x in asked]
+    shift = np.cumsum([0, *[len(d) for d, _ in spelled]])
+    data = joined([d for d, _ in spelled], np.uint8)
+    starts, ends = (joined([(e[:-1] if k == 0 else e[1:]) + s for (_, e), s in zip(spelled, shift, strict=False)]) for k in (0, 1))
+    _, first = np.unique(where[joined(n) > 0], return_index=True)
+    none = put(np.zeros(known.sum(), np.int64))
+    rows = [(RANGE, at, WORDS, at, [int(known.sum()), 0, 0, 0, 0], [put(count[known]), *put_bytes(data, starts[first], ends[first]), none, none, none, none, put(np.ones(known.sum(), np.int64))])]
+    cut = np.cumsum([0, *[len(x) for x in h]])
+    for (sender, _, _), lo, hi in zip(asked, cut, cut[1:], strict=False):
+        mine = where[lo:hi]
+        rows.append((BLOCK, sender, ANSWER, at, [], [put(count[mine]), put(place[mine][known[mine]], True)]))
+    return messages(rows)
+
+
+class View:
+    """A block's tokens with the numbers of their words and contexts, and its distinct pairs in the buckets' order."""
+
+    def __init__(self, box: dict, layout: Layout):
+        (_, self.docs, x), = box[TEXTS]
+        answers = box.get(ANSWER, [])
+        self.count = joined([get(a[0]).astype(np.int64) for _, _, a in answers])  # by hash
+        places = [(get(a[1], True).astype(np.int64) << layout.bits) | q for q, _, a in answers]
+        word = np.full(len(self.count), -1)
+        word[self.count > 0] = joined(places)
+        self.hashed = np.argsort(-get(x[1]).astype(np.int64), kind="stable")  # of a number its place by hash
+        self.word = word[self.hashed]
+        self.number = get(x[0]).astype(np.int64)
+        both = get(x[2]).astype(np.int64)
+        self.sizes, self.held = both >> 1, (both & 1).astype(bool)
+        self.owner = np.repeat(np.arange(len(both)), self.sizes)
+        first = np.cumsum(self.sizes) - self.sizes
+        self.before = np.concatenate(([0], self.number[:-1]))
+        self.before[first] = int(np.flatnonzero(self.hashed == 0)[0])  # the end, whose hash is least
+        self.new, self.untaught = (x[3], x[4]), get(x[5], True).astype(np.int64)
+        w, u = self.word[self.number], self.word[self.before]
+        self.known = (w >= 0) & (u >= 0)
+        pair, where = np.unique(u[self.known] * layout.span + w[self.known], return_inverse=True)
+        bucket = layout.bucket_of(pair)
+        order = np.argsort(bucket, kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        self.pair, self.bucket, self.where = pair[order], bucket[order], back[where]
+
+
+def ask_pairs(layout: Layout):
+    """A block sends its pairs to the buckets, and the ranges what words it will want to hear of."""
+
+    def step(table: pa.Table) -> pa.Table:
+        view, block = View(inbox(table), layout), table.column("to")[0].as_py()
+        taught = np.bincount(view.where[~view.held[view.owner][view.known]], minlength=len(view.pair))
+        rows = [(BUCKET, b, ASKED, block, [], [put(view.pair[lo:hi], True), put(taught[lo:hi])]) for b, lo, hi in runs(view.bucket)]
+        mine = view.word[view.word >= 0]
+        mine = mine[layout.by_range(mine)]
+        rows += [(RANGE, q, WANTED, block, [], [put(mine[lo:hi] >> layout.bits, True)]) for q, lo, hi in runs(mine & ((1 << layout.bits) - 1))]
+        return messages(rows)
+
+    return step
+
+
+def tables_of(pair: np.ndarray, t: np.ndarray, layout: Layout, kind: int, sender: int) -> list[tuple]:
+    """What a bucket tells the ranges of its pairs' tables: by word, those of its own restaurant and those that serve it."""
+    word, where = np.unique(np.concatenate((pair // layout.span, pair % layout.span)), return_inverse=True)
+    own = np.bincount(where[: len(pair)], t, len(word)).astype(np.int64)
+    served = np.bincount(where[len(pair) :], t, len(word)).astype(np.int64)
+    order = layout.by_range(word)
+    word, own, served = word[order], own[order], served[order]
+    return [(RANGE, q, kind, sender, [], [put(word[lo:hi] >> layout.bits, True), put(own[lo:hi]), put(served[lo:hi])]) for q, lo, hi in runs(word & ((1 << layout.bits) - 1))]
+
+
+def count_pairs(layout: Layout):
+    """A bucket counts its pairs. Pairs seen once have one table for good; of the others each has one at first."""
+
+    def step(table: pa.Table) -> pa.Table:
+        if table.column("place")[0].as_py() == RANGE:
+            return table
+        asked, at = inbox(table)[ASKED], table.column("to")[0].as_py()
+        each = [get(x[0], True).astype(np.int64) for _, _, x in asked]
+        pair, where = np.unique(joined(each), return_inverse=True)
+        count = np.bincount(where, joined([get(x[1]).astype(np.int64) for _, _, x in asked]), len(pair)).astype(np.int64)
+        several = count >= 2
+        place = np.cumsum(several) - 1
+        n = int(several.sum())
+        rows = [(BUCKET, at, PAIRS, at, [int((count == 1).sum()), int((count == 2).sum())], [put(pair[several], True), put(count[several]), put(np.ones(n, np.int64)), put(np.zeros(n, np.int64))])]
+        cut = np.cumsum([0, *[len(x) for x in each]])
+        for (sender, _, _), lo, hi in zip(asked, cut, cut[1:], strict=False):
+            mine = where[lo:hi]
+            rows.append((BUCKET, at, SEEN, sender, [], [put(np.minimum(count[mine], 2)), put(place[mine][several[mine]], True)]))
+        one = pair[count == 1]
+        rows += tables_of(one, np.ones(len(one)), layout, SINGLES, at) + tables_of(pair[several], np.ones(n), layout, TABLES, at)
+        return messages(rows)
+
+    return step
+
+
+@dataclass
+class Totals:
+    """Customers and tables of the restaurant without context, discounts of it and of the contexts."""
+
+    customers: int
+    tables: int
+    discount: float
+    pairs: float
+
+    def share(self) -> float:
+        """Of the spelling model."""
+        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
+
+    def word(self, served: np.ndarray, t: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Probability of words without context."""
+        return (served - self.discount * t) / (STRENGTH + self.customers) + self.share() * spelled
+
+    def backed(self, own: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Share of the restaurant without context in contexts with ``own`` tables and ``count`` customers."""
+        return (STRENGTH + self.pairs * own) / (STRENGTH + count)
+
+
+class Words:
+    """State of a range: counts, spellings, tables of pairs seen once and more often, own tables, samples."""
+
+    def __init__(self, box: dict):
+        (_, self.n, self.x), = box[WORDS]
+        self.count = get(self.x[0]).astype(np.int64)
+        self.once, self.once_served, self.own, self.served, self.t = (get(r).astype(np.int64) for r in self.x[3:8])
+
+    def spelled(self, spelling: Spelling) -> np.ndarray:
+        data, edges = get_bytes(*self.x[1:3])
+        return 10.0 ** spelling.log10(data, edges[:-1], edges[1:])
+
+    def row(self, at: int, samples: list[bytes]) -> tuple:
+        served = self.once_served + self.served
+        n = [len(self.count), int(served.sum()), int(self.t.sum()), int((served == 1).sum()), int((served == 2).sum())]
+        return (RANGE, at, WORDS, at, n, [*self.x[:3], *map(put, (self.once, self.once_served, self.own, self.served, self.t)), *samples])
+
+
+def seat_words(totals: Totals | None, spelling: Spelling | None, sweep: int, keep: bool):
+    """A range takes up the pairs' tables and seats them, its words' customers; at first (no ``totals``) one table a word."""
+
+    def step(table: pa.Table) -> pa.Table:
+        box, at = inbox(table), table.column("to")[0].as_py()
+        w = Words(box)
+        for kind, names in ((SINGLES, ("once", "once_served")), (TABLES, ("own", "served"))):
+            if kind in box:
+                place = joined([get(x[0], True).astype(np.int64) for _, _, x in box[kind]])
+                for k, name in enumerate(names, 1):
+                    setattr(w, name, np.bincount(place, joined([get(x[k]).astype(np.int64) for _, _, x in box[kind]]), len(w.count)).astype(np.int64))
+        samples = list(w.x[8:])
+        if totals is not None:
+            data, edges = get_bytes(*w.x[1:3])
+            spelled = w.spelled(spelling)
+            served = w.once_served + w.served
+            w.t = seat(served, spelled, np.maximum(totals.tables - w.t, 0), totals.discount, STRENGTH, span_hashes(data, edges[:-1], edges[1:]) + _U(sweep))
+            if keep:
+                samples += [put(w.once + w.own), put(served), put(w.t), put_real(spelled, np.float64)]
+        return messages([w.row(at, samples)])
+
+    return step
+
+
+def tell_buckets(totals: Totals, spelling: Spelling):
+    """A range tells buckets the probabilities of their pairs' words, and the tables of these words' restaurants."""
+
+    def step(table: pa.Table) -> pa.Table:
+        box, at = inbox(table), table.column("to")[0].as_py()
+        if TABLES not in box:
+            return messages([])
+        w = Words(box)
+        p, own = totals.word(w.once_served + w.served, w.t, w.spelled(spelling)), w.once + w.own
+        rows = []
+        for sender, _, x in box[TABLES]:
+            place = get(x[0], True).astype(np.int64)
+            rows.append((BUCKET, sender, TOLD, at, [], [put_real(p[place]), put(own[place])]))
+        return messages(rows)
+
+    return step
+
+
+def seat_pairs(layout: Layout, totals: Totals, sweep: int, keep: bool):
+    """A bucket seats the customers of its pairs, given the words' probabilities and the other tables of the contexts."""
+
+    def step(table: pa.Table) -> pa.Table:
+        box, at = inbox(table), table.column("to")[0].as_py()
+        (_, n, x), = box[PAIRS]
+        pair, count, t, total = get(x[0], True).astype(np.int64), *(get(r).astype(np.int64) for r in x[1:4])
+        word = np.unique(np.concatenate((pair // layout.span, pair % layout.span)))
+        order = layout.by_range(word)
+        p, own = np.zeros(len(word)), np.zeros(len(word), np.int64)
+        p[order] = joined([get_real(r[0]) for _, _, r in box.get(TOLD, [])], np.float64)
+        own[order] = joined([get(r[1]).astype(np.int64) for _, _, r in box.get(TOLD, [])])
+        u, w = np.searchsorted(word, pair // layout.span), np.searchsorted(word, pair % layout.span)
+        t = seat(count, p[w], own[u] - t, totals.pairs, STRENGTH, mix(pair.astype(_U)) + _U(sweep))
+        rows = [(BUCKET, at, PAIRS, at, n, [x[0], x[1], put(t), put(total + t if keep else total)])]
+        return messages(rows + tables_of(pair, t, layout, TABLES, at))
+
+    return step
+
+
+def tell_blocks(samples: list[Totals]):
+    """A range tells blocks, for every sample, their words' probabilities and the shares that their restaurants pass on."""
+
+    def step(table: pa.Table) -> pa.Table:
+        box, at = inbox(table), table.column("to")[0].as_py()
+        if WANTED not in box:
+            return messages([])
+        w, values = Words(box), []
+        for s, totals in enumerate(samples):
+            own, served, t = (get(r).astype(np.int64) for r in w.x[8 + 4 * s : 11 + 4 * s])
+            values += [totals.word(served, t, get_real(w.x[11 + 4 * s], np.float64)), totals.backed(own, w.count)]
+        return messages([(BLOCK, sender, WORDS, at, [], [put_real(v[get(x[0], True).astype(np.int64)]) for v in values]) for sender, _, x in box[WANTED]])
+
+    return step
+
+
+def tell_pairs(samples: int):
+    """A bucket tells blocks their pairs' counts and mean tables."""
+
+    def step(table: pa.Table) -> pa.Table:
+        box, at = inbox(table), table.column("to")[0].as_py()
+        (_, _, x), = box[PAIRS]
+        several, mean = get(x[1]).astype(np.int64), get(x[3]).astype(np.int64) / max(samples, 1)
+        rows = []
+        for sender, _, r in box[SEEN]:
+            count, place = get(r[0]).astype(np.int64), get(r[1], True).astype(np.int64)
+            tables = np.minimum(count, 1).astype(np.float64)
+            tables[count == 2], count[count == 2] = mean[place], several[place]
+            rows.append((BLOCK, sender, PAIRS, at, [], [put(count), put_real(tables)]))
+        return messages(rows)
+
+    return step
+
+
+def score_block(layout: Layout, samples: list[tuple[Totals, Spelling]], total: int, distinct: int):
+    """Scores of a block's documents."""
+
+    def step(table: pa.Table) -> pa.Table:
+        box = inbox(table)
+        view = View(box, layout)
+        w, u = view.number, view.before
+        count = view.count[view.hashed]
+        known = view.word >= 0
+        order = np.flatnonzero(known)
+        order = order[layout.by_range(view.word[order])]
+        p, back = np.zeros((len(samples), len(known))), np.ones((len(samples), len(known)))
+        for s in range(len(samples)):
+            for k, out in enumerate((p, back)):
+                out[s, order] = joined([get_real(x[2 * s + k]) for _, _, x in box.get(WORDS, [])], np.float64)
+        value = np.zeros(len(w))
+        for s in range(len(samples)):
+            value += back[s, u] * p[s, w] / len(samples)
+        seen = joined([get(x[0]).astype(np.int64) for _, _, x in box.get(PAIRS, [])])
+        tables = joined([get_real(x[1]) for _, _, x in box.get(PAIRS, [])], np.float64)
+        here = np.flatnonzero(view.known)
+        value[here] += (seen - samples[0][0].pairs * tables)[view.where] / (STRENGTH + count[u[here]])
+        # words never taught stay in logarithms: their spellings may be of any length
+        new = np.flatnonzero(~known)
+        logs = np.zeros(len(w))
+        logs[known[w]] = np.log10(value[known[w]])
+        if len(new):
+            data, edges = get_bytes(*view.new)
+            at = np.searchsorted(view.untaught, view.hashed[new])
+            some = np.flatnonzero(~known[w])
+            spot = np.searchsorted(new, w[some])
+            each = [np.log10(back[s, u[some]]) + np.log10(t.share()) + sp.log10(data, edges[:-1][at], edges[1:][at])[spot] for s, (t, sp) in enumerate(samples)]
+            logs[some] = np.logaddexp.reduce(np.stack(each) * np.log(10), axis=0) / np.log(10) - np.log10(len(samples))
+        plain = np.log10((count + ADDED) / (total + ADDED * (distinct + 1)))
+        sums = [np.bincount(view.owner, x, len(view.sizes)) for x in ((count > 0)[w].astype(float), plain[w], logs)]
+        return pa.table(
+            {
+                "doc_id": pa.array(view.docs, pa.int64()), "held_out": view.held, "n_tokens": view.sizes, "n_known": sums[0].astype(np.int64), "train_tokens": np.full(len(view.sizes), total, np.int64),
+                "base_score": sums[1], "score": sums[2], "perplexity": 10.0 ** np.minimum(-sums[2] / view.sizes, 300),
+            }
+        )
+
+    return step
+
+
+def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Customers of the spelling cells: every table of a word in ``words`` (the ranges' states). At most 258 * 258 * 257 cells."""
 
     def run(batches):
         held, n = {}, 0
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            symbol, context, owner = symbols(data, offsets[:-1], offsets[1:])
-            cell, where = np.unique(context * SYMBOLS + symbol, return_inverse=True)
-            count = np.bincount(where, weights=batch.column(1).to_numpy()[owner])
-            for k, v in zip(cell.tolist(), count.tolist(), strict=True):
-                held[k] = held.get(k, 0) + v
+            for x in batch.column(0).to_pylist():
+                data, edges = get_bytes(x[1], x[2])
+                symbol, context, owner = symbols(data, edges[:-1], edges[1:])
+                cell, where = np.unique(context * SYMBOLS + symbol, return_inverse=True)
+                count = np.bincount(where, get(x[7]).astype(np.int64)[owner], len(cell))
+                for k, v in zip(cell.tolist(), count.tolist(), strict=True):
+                    held[k] = held.get(k, 0) + v
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([int(v) for v in held.values()], pa.int64())], ["cell", "n"])
 
-    found = table.select("word", "t").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = words.select("x").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, count = found.column("cell").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(cell)
     return cell[order], count[order]
 
 
-@dataclass
-class Seats:
-    """What a sample of the seating holds besides the words' own tables."""
-
-    spelling: Spelling
-    tables: np.ndarray  # by context
-    parent: int  # tables of the restaurant without context
-    discounts: tuple[float, float]
-
-    def parent_share(self) -> float:
-        """Of the spelling model in the restaurant without context."""
-        return (STRENGTH + self.discounts[1] * self.parent) / (STRENGTH + self.tables.sum())
-
-    def share(self, customers: np.ndarray) -> np.ndarray:
-        """Of the restaurant without context in each context."""
-        return (STRENGTH + self.discounts[0] * self.tables) / (STRENGTH + customers)
-
-    def without_context(self, served: np.ndarray, t: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        return np.maximum(served - self.discounts[1] * t, 0) / (STRENGTH + self.tables.sum()) + self.parent_share() * spelled
-
-
-def _lists(column: pa.Array, width: int) -> np.ndarray:
-    """A column of lists of ``width`` numbers as a matrix."""
-    return column.flatten().to_numpy().reshape(-1, width)
-
-
-def _column(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
-    n, width = matrix.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(matrix.reshape(-1), kind))
-
-
-def score(
-    docs: DataFrame, held: str = "held_out", text: str = "text", doc_id: str = "doc_id", lang: str | None = "lang", sweeps: int = SWEEPS, burn_in: int = BURN_IN
-) -> DataFrame:
+def score(docs: DataFrame, held: str = "held_out", text: str = "text", doc_id: str = "doc_id", sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), one row a row of ``docs``.
 
-    Learns from the rows whose boolean column ``held`` is not true; ``lang``,
-    if there is such a column, is read of these alone. Tokens are the words
-    between ASCII white space with A-Z in lower case, then one end. Null texts
-    are empty: an end alone. Without training rows every probability comes
-    from the spelling model's uniform base. Repeated rows count and are scored
-    one by one. Other columns are ignored; an empty table gives an empty result.
+    Learns from the texts of the rows whose boolean column ``held`` is not true.
+    Tokens are the words between ASCII white space with A-Z in lower case, then
+    one end; words are told apart by 64 bits. Null texts are empty: an end
+    alone. Without training rows every probability comes from the spelling
+    model's uniform base. Repeated rows count and are scored one by one; rows
+    of one id, and of none, are rows of their own. Other columns are ignored;
+    an empty table gives an empty result.
     """
+    if not 0 <= burn_in < sweeps:
+        raise ValueError("burn_in must lie in 0 .. sweeps - 1")
     spark = docs.sparkSession
     staging = Staging(spark, "scoring")
-    base = docs.select(
-        F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(held), F.lit(False)).alias("held"), F.col(text).alias("t"),
-        (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"),
-    )
-    table = language_table(base.where("not held").select("lang", "t"))
-    k = len(table) + 1
-    block = staging.table(blocks(base.select("doc", "held", "t"), table))
-    each = block.select(F.explode(F.arrays_zip("words", "places", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.places").alias("place"), F.col("x.counts").alias("n")).where("n > 0")
-    counted = each.groupBy("word").agg(*[F.sum(F.when(F.col("place") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(k)])
-    known = counted.select(
-        "word", F.array(*[f"c{i}" for i in range(k)]).alias("c"), F.array(*[F.signum(f"c{i}").cast("long") for i in range(k)]).alias("by"), F.lit(1).cast("long").alias("t"),
-        F.array().cast("array<double>").alias("spelled"), F.array().cast("array<long>").alias("samples"),
-    )
-    known = staging.table(known)
-
-    def totals(table):
-        served = sum(F.col("by")[i] for i in range(k))
-        row = table.agg(
-            *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(k)], *[F.sum(F.col("by")[i]).alias(f"t{i}") for i in range(k)], F.sum("t").alias("t"), F.count("*").alias("v"),
-            *[F.sum(sum((F.col("c")[i] == x).cast("int") for i in range(k))).alias(f"n{x}") for x in (1, 2)], *[F.sum((served == x).cast("int")).alias(f"m{x}") for x in (1, 2)],
-        ).first()
-        share = lambda one, two: float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one and two else DISCOUNT
-        customers, tables = (np.array([row[f"{x}{i}"] or 0 for i in range(k)]) for x in "ct")
-        return customers, tables, row["t"] or 0, row["v"], (share(row["n1"], row["n2"]), share(row["m1"], row["m2"]))
-
-    customers, tables, parent, distinct, discounts = totals(known)
-    total, seats, samples = int(customers.sum()), None, []
+    base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(held), F.lit(False)).alias("held"), F.col(text).alias("t"))
+    size = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    places = -(-size // BLOCK_BYTES)
+    layout = Layout(max(0, int(places - 1).bit_length()) if places else 0, max(1, places))
+    first = staging.table(read(base, layout))
+    blocks = first.where(F.col("place") == BLOCK)
+    answers = staging.table(exchange(first.where(F.col("place") == RANGE), number_words))
+    state, answers = answers.where(F.col("place") == RANGE), answers.where(F.col("place") == BLOCK)
+    widest, distinct = state.agg(F.max(F.col("n")[0]), F.sum(F.col("n")[0])).first()
+    layout = Layout(layout.bits, layout.buckets, max(1, widest or 0) << layout.bits)
+    counted = staging.table(exchange(exchange(meet(blocks, answers), ask_pairs(layout)), count_pairs(layout)))
+    of = lambda df, place, kind: df.where((F.col("place") == place) & (F.col("kind") == kind))
+    pairs, seen = of(counted, BUCKET, PAIRS), of(counted, BUCKET, SEEN)
+    wanted, tables, once = (of(counted, RANGE, k) for k in (WANTED, TABLES, SINGLES))
+    ones, twos = pairs.agg(F.sum(F.col("n")[0]), F.sum(F.col("n")[1])).first()
+    share = lambda one, two: float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one and two else DISCOUNT
+    of_pairs = share(ones or 0, twos or 0)
+    total = int(sum(r["c"] or 0 for r in state.select("x").mapInArrow(tidy(_sum_counts), "c long").collect()))  # a number a task
+
+    def totals(words: DataFrame) -> Totals:
+        customers, seated, one, two = (v or 0 for v in words.agg(*[F.sum(F.col("n")[k]) for k in range(1, 5)]).first())
+        return Totals(customers, seated, share(one, two), of_pairs)
+
+    state = staging.table(exchange(meet(state, once, tables), seat_words(None, None, 0, False)))
+    staging.settle()
+    now, seats, samples = totals(state), None, []
     for sweep in range(sweeps):
-        cell, count = spelling_counts(known)
-        spelling, found = sample_spelling(cell, count, seats if seats and len(seats[0]) == len(cell) else None, sweep)
-        seats = found
-        now = Seats(spelling, tables, parent, discounts)
-        shared = spark.sparkContext.broadcast(now)
         keep = sweep >= burn_in
-
-        def run(batches, shared=shared, keep=keep, sweep=sweep):
-            now = shared.value
-            for batch in batches:
-                data, offsets = utf8(batch.column(0))
-                c, by, t = _lists(batch.column(1), k), _lists(batch.column(2), k), batch.column(3).to_numpy()
-                spelled = 10.0 ** now.spelling.log10(data, offsets[:-1], offsets[1:])
-                mark = span_hashes(data, offsets[:-1], offsets[1:]) + _U(sweep)
-                p = now.without_context(by.sum(1), t, spelled)
-                by = np.stack([seat(c[:, i], p, now.tables[i] - by[:, i], now.discounts[0], STRENGTH, mix(mark + _U(i + 1))) for i in range(k)], 1)
-                t = seat(by.sum(1), spelled, now.parent - t, now.discounts[1], STRENGTH, mark)
-                before, kept = batch.column(4), batch.column(5)
-                if keep:
-                    done = len(before.flatten()) // max(len(t), 1)
-                    before = _column(np.column_stack((_lists(before, done) if done else np.zeros((len(t), 0)), spelled)), pa.float64())
-                    kept = _column(np.column_stack((_lists(kept, done * (k + 1)) if done else np.zeros((len(t), 0), np.int64), by, t)), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _column(by, pa.int64()), pa.array(t), before, kept], ["word", "c", "by", "t", "spelled", "samples"])
-
-        following = staging.table(known.mapInArrow(run, known.schema))
-        _, tables, parent, _, discounts = totals(following)
+        cell, count = spelling_counts(state)
+        spelling, seats = sample_spelling(cell, count, seats if seats and len(seats[0]) == len(cell) else None, sweep)
+        told = exchange(meet(state, tables), tell_buckets(now, spelling))
+        seated = staging.table(exchange(meet(told, pairs), seat_pairs(layout, now, sweep, keep)))
+        pairs, tables = of(seated, BUCKET, PAIRS), of(seated, RANGE, TABLES)
+        state = staging.table(exchange(meet(state, tables), seat_words(now, spelling, sweep, keep)))
+        now = totals(state)
         if keep:
-            samples.append(Seats(spelling, tables, parent, now.discounts))
-        staging.drop(known)
-        known = following
-    shared = spark.sparkContext.broadcast(samples)
+            samples.append((now, spelling))
+        staging.settle()
+    words_told = exchange(meet(state, wanted), tell_blocks([t for t, _ in samples]))
+    pairs_told = exchange(meet(pairs, seen), tell_pairs(len(samples)))
+    return exchange(
+        meet(blocks, answers, words_told, pairs_told), score_block(layout, samples, total, distinct or 0),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double",
+    )
 
-    def average(batches):
-        for batch in batches:
-            c, n = _lists(batch.column(1), k), batch.num_rows
-            if not n:
-                continue
-            spelled, held_by = _lists(batch.column(4), len(samples)), _lists(batch.column(5), len(samples) * (k + 1)).reshape(n, len(samples), k + 1)
-            p = np.zeros((n, k))
-            for i, s in enumerate(shared.value):
-                by = held_by[:, i, :k]
-                without = s.without_context(by.sum(1), held_by[:, i, k], spelled[:, i])
-                p += np.maximum(c - s.discounts[0] * by, 0) / (STRENGTH + customers) + s.share(customers) * without[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.sum(1)), _column(np.log10(p / len(samples)).astype(np.float32), pa.float32())], ["word", "c", "lp"])
-
-    known = known.mapInArrow(average, "word string, c long, lp array<float>")
-
-    def fill(batches):
-        for batch in batches:
-            place, lp = batch.column(3).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False).copy()
-            new = np.flatnonzero(np.array(batch.column(4).is_null()))
-            if len(new):
-                data, offsets = utf8(batch.column(2).take(pa.array(new)))
-                p = sum((s.share(customers)[place[new]] * s.parent_share() * 10.0 ** s.spelling.log10(data, offsets[:-1], offsets[1:])) for s in shared.value)
-                lp[new] = np.log10(np.maximum(p / len(samples), 1e-300))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4).fill_null(0), pa.array(lp.astype(np.float32))], ["block", "number", "c", "lp"])
-
-    asked = block.select("block", F.posexplode(F.arrays_zip("words", "places")).alias("number", "x")).select("block", "number", F.col("x.words").alias("word"), F.col("x.places").alias("place"))
-    met = asked.join(known, "word", "left").select("block", "number", "word", "place", "c", F.col("lp")[F.col("place")].alias("lp"))
-    told = met.mapInArrow(fill, "block long, number int, c long, lp float")
-
-    def add(left, right):
-        number = right.column("number").to_numpy()
-        c, lp = np.zeros(len(number), np.int64), np.zeros(len(number))
-        c[number], lp[number] = right.column("c").to_numpy(), right.column("lp").to_numpy()
-        plain = np.log10((c + ADDED) / (total + ADDED * (distinct + 1)))
-        row = {n: left.column(n).combine_chunks()[0] for n in ("docs", "held", "sizes", "numbers")}
-        tokens = row["sizes"].values.to_numpy()
-        ids = unfolded(row["numbers"].as_buffer(), tokens)
-        owner = np.repeat(np.arange(len(tokens)), tokens)
-        sums = [np.bincount(owner, weights=x[ids], minlength=len(tokens)) for x in ((c > 0).astype(float), plain, lp)]
-        return pa.table(
-            {
-                "doc_id": row["docs"].values, "held_out": row["held"].values, "n_tokens": tokens, "n_known": sums[0].astype(np.int64), "train_tokens": np.full(len(tokens), total, np.int64),
-                "base_score": sums[1], "score": sums[2], "perplexity": 10.0 ** np.minimum(-sums[2] / tokens, 300),
-            }
-        )
 
-    ids = block.select("block", "docs", "held", "sizes", "numbers")
-    return ids.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    )
+def _sum_counts(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(sum(int(get(x[0]).sum()) for x in batch.column(0).to_pylist()))], pa.int64())], ["c"])
 
 
 def op8_scoring(spark, sf_dir):
     """Scores of all documents under a model of nine tenths of them."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 10, 0).alias("held_out"))
-    return score(docs)
+    return score(load(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 10, 0).alias("held_out")))

@@ -62,3 +62,34 @@ def test_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean")
     assert scoring.score(df).count() == 1
     assert scoring.score(df.where("false")).count() == 0
+
+
+def test_packing_of_numbers():
+    for x in ([], [0], [5, 3, 2**63, 2**64 - 1, 0], list(range(1000))):
+        x = np.array(x, np.uint64)
+        assert (scoring.get(scoring.put(x)) == x).all()
+        assert (scoring.get(scoring.put(np.sort(x), True), True) == np.sort(x)).all()
+
+
+def test_word_order_length_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 2000)  # many blocks, ranges and buckets
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[(s + k) % 60] for k in range(12)) for s in rng.integers(0, 60, 300)]
+    twice = " ".join(rng.permutation(words))
+    rows = [(i, t, False) for i, t in enumerate(chain)] + [(400, twice, False), (401, twice, False), (402, " ".join(rng.permutation(words)), False)]
+    rows += [(500, "w1 w2 w3 w4 w5", True), (501, "w5 w4 w3 w2 w1", True)] + [(600 + n, "x" * n, True) for n in (200, 500, 2000)]
+    got = {r["doc_id"]: r for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert len(got) == len(rows)
+    assert got[500]["score"] > got[501]["score"] + 4 and abs(got[500]["base_score"] - got[501]["base_score"]) < 1e-9
+    assert got[400]["perplexity"] < got[402]["perplexity"] and abs(got[400]["score"] - got[401]["score"]) < 1e-9
+    assert got[2600]["score"] < got[1100]["score"] - 1000 and got[1100]["score"] < got[800]["score"] - 200
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+
+
+def test_one_block_or_many_give_one_base(spark, monkeypatch):
+    rows = [(i % 7, f"A b{i % 5} c", i % 3 == 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    whole = sorted((r["doc_id"], r["n_known"], r["base_score"]) for r in scoring.score(df).collect())
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", 40)
+    assert whole == sorted((r["doc_id"], r["n_known"], r["base_score"]) for r in scoring.score(df).collect())
