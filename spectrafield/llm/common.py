@@ -50,11 +50,12 @@ class Staging:
         self.count = 0
         atexit.register(self.close)
 
-    def table(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
-        """``df``, written and read again. zstd works on the heap; the default codec piles up direct buffers."""
+    def table(self, df: DataFrame, partitions: int | None = None, by: str | None = None) -> DataFrame:
+        """``df``, written and read again, in a folder for each value of ``by`` that ``drop_part`` can remove. zstd works on the heap; the default codec piles up direct buffers."""
         path = f"{self.root}/t{self.count}"
         self.count += 1
-        (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        out = (df if partitions is None else df.coalesce(partitions)).write.mode("overwrite").option("compression", "zstd")
+        (out if by is None else out.partitionBy(by)).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_path = path
         return out
@@ -63,6 +64,9 @@ class Staging:
         for t in tables:
             self._delete(t._staged_path)
 
+    def drop_part(self, table: DataFrame, by: str, value: int) -> None:
+        self._delete(f"{table._staged_path}/{by}={value}")
+
     def _delete(self, path: str) -> None:
         jvm, context = self.spark._jvm, self.spark.sparkContext
         if jvm is None or context._jsc is None:

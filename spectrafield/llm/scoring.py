@@ -48,7 +48,9 @@ BLOCK_BYTES = 8_000_000
 ADDED = 0.1
 #: Places and kinds of messages.
 BLOCK, RANGE, BUCKET = 0, 1, 2
-TEXTS, ASKED, WORDS, ANSWER, WANTED, PAIRS, SEEN, SINGLES, TABLES, TOLD = range(10)
+TEXTS, ASKED, WORDS, ANSWER, WANTED, PAIRS, SEEN, SINGLES, TABLES, TOLD, SAMPLE = range(11)
+#: Steps of log10 in which blocks are told probabilities.
+FINE = 1 << 14
 MESSAGE = "place int, to long, kind int, sender long, n array<long>, x array<binary>"
 
 
@@ -182,12 +184,12 @@ def get(raw: bytes, rising: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=_U) if rising else x
 
 
-def put_real(x: np.ndarray, kind: type = np.float32) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.asarray(x, kind).tobytes())
+def put_real(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.asarray(x, np.float32).tobytes())
 
 
-def get_real(raw: bytes, kind: type = np.float32) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind).astype(np.float64)
+def get_real(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.float32).astype(np.float64)
 
 
 def put_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -420,7 +422,7 @@ class Totals:
 
 
 class Words:
-    """State of a range: counts, spellings, tables of pairs seen once and more often, own tables, samples."""
+    """State of a range: counts, spellings, tables of pairs seen once and more often, own tables."""
 
     def __init__(self, box: dict):
         (_, self.n, self.x), = box[WORDS]
@@ -431,10 +433,10 @@ class Words:
         data, edges = get_bytes(*self.x[1:3])
         return 10.0 ** spelling.log10(data, edges[:-1], edges[1:])
 
-    def row(self, at: int, samples: list[bytes]) -> tuple:
+    def row(self, at: int) -> tuple:
         served = self.once_served + self.served
         n = [len(self.count), int(served.sum()), int(self.t.sum()), int((served == 1).sum()), int((served == 2).sum())]
-        return (RANGE, at, WORDS, at, n, [*self.x[:3], *map(put, (self.once, self.once_served, self.own, self.served, self.t)), *samples])
+        return (RANGE, at, WORDS, at, n, [*self.x[:3], *map(put, (self.once, self.once_served, self.own, self.served, self.t))])
 
 
 def seat_words(totals: Totals | None, spelling: Spelling | None, sweep: int, keep: bool):
@@ -448,15 +450,15 @@ def seat_words(totals: Totals | None, spelling: Spelling | None, sweep: int, kee
                 place = joined([get(x[0], True).astype(np.int64) for _, _, x in box[kind]])
                 for k, name in enumerate(names, 1):
                     setattr(w, name, np.bincount(place, joined([get(x[k]).astype(np.int64) for _, _, x in box[kind]]), len(w.count)).astype(np.int64))
-        samples = list(w.x[8:])
+        rows = []
         if totals is not None:
             data, edges = get_bytes(*w.x[1:3])
             spelled = w.spelled(spelling)
             served = w.once_served + w.served
             w.t = seat(served, spelled, np.maximum(totals.tables - w.t, 0), totals.discount, STRENGTH, span_hashes(data, edges[:-1], edges[1:]) + _U(sweep))
             if keep:
-                samples += [put(w.once + w.own), put(served), put(w.t), put_real(spelled, np.float64)]
-        return messages([w.row(at, samples)])
+                rows.append((RANGE, at, SAMPLE, sweep, [], [put(w.once + w.own), put(served), put(w.t), put_real(spelled)]))
+        return messages([w.row(at), *rows])
 
     return step
 
@@ -500,17 +502,17 @@ def seat_pairs(layout: Layout, totals: Totals, sweep: int, keep: bool):
 
 
 def tell_blocks(samples: list[Totals]):
-    """A range tells blocks, for every sample, their words' probabilities and the shares that their restaurants pass on."""
+    """A range tells blocks, for every sample, their words' probabilities and the tables of these words' restaurants."""
 
     def step(table: pa.Table) -> pa.Table:
         box, at = inbox(table), table.column("to")[0].as_py()
         if WANTED not in box:
             return messages([])
-        w, values = Words(box), []
-        for s, totals in enumerate(samples):
-            own, served, t = (get(r).astype(np.int64) for r in w.x[8 + 4 * s : 11 + 4 * s])
-            values += [totals.word(served, t, get_real(w.x[11 + 4 * s], np.float64)), totals.backed(own, w.count)]
-        return messages([(BLOCK, sender, WORDS, at, [], [put_real(v[get(x[0], True).astype(np.int64)]) for v in values]) for sender, _, x in box[WANTED]])
+        values = []
+        for (_, _, x), totals in zip(box[SAMPLE], samples, strict=True):
+            own, served, t = (get(r).astype(np.int64) for r in x[:3])
+            values += [np.rint(-np.log10(totals.word(served, t, get_real(x[3]))) * FINE), own]
+        return messages([(BLOCK, sender, WORDS, at, [], [put(v[get(x[0], True).astype(np.int64)]) for v in values]) for sender, _, x in box[WANTED]])
 
     return step
 
@@ -546,8 +548,8 @@ def score_block(layout: Layout, samples: list[tuple[Totals, Spelling]], total: i
         order = order[layout.by_range(view.word[order])]
         p, back = np.zeros((len(samples), len(known))), np.ones((len(samples), len(known)))
         for s in range(len(samples)):
-            for k, out in enumerate((p, back)):
-                out[s, order] = joined([get_real(x[2 * s + k]) for _, _, x in box.get(WORDS, [])], np.float64)
+            told = [joined([get(x[2 * s + k]) for _, _, x in box.get(WORDS, [])], _U).astype(np.float64) for k in (0, 1)]
+            p[s, order], back[s, order] = 10.0 ** (-told[0] / FINE), samples[s][0].backed(told[1], count[order])
         value = np.zeros(len(w))
         for s in range(len(samples)):
             value += back[s, u] * p[s, w] / len(samples)
@@ -619,9 +621,10 @@ def score(docs: DataFrame, held: str = "held_out", text: str = "text", doc_id: s
     size = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     places = -(-size // BLOCK_BYTES)
     layout = Layout(max(0, int(places - 1).bit_length()) if places else 0, max(1, places))
-    first = staging.table(read(base, layout))
+    first = staging.table(read(base, layout), by="place")
     blocks = first.where(F.col("place") == BLOCK)
     answers = staging.table(exchange(first.where(F.col("place") == RANGE), number_words))
+    staging.drop_part(first, "place", RANGE)
     state, answers = answers.where(F.col("place") == RANGE), answers.where(F.col("place") == BLOCK)
     widest, distinct = state.agg(F.max(F.col("n")[0]), F.sum(F.col("n")[0])).first()
     layout = Layout(layout.bits, layout.buckets, max(1, widest or 0) << layout.bits)
@@ -640,7 +643,7 @@ def score(docs: DataFrame, held: str = "held_out", text: str = "text", doc_id: s
 
     state = staging.table(exchange(meet(state, once, tables), seat_words(None, None, 0, False)))
     staging.settle()
-    now, seats, samples = totals(state), None, []
+    now, seats, samples, drawn, old = totals(state), None, [], [], []
     for sweep in range(sweeps):
         keep = sweep >= burn_in
         cell, count = spelling_counts(state)
@@ -648,12 +651,17 @@ def score(docs: DataFrame, held: str = "held_out", text: str = "text", doc_id: s
         told = exchange(meet(state, tables), tell_buckets(now, spelling))
         seated = staging.table(exchange(meet(told, pairs), seat_pairs(layout, now, sweep, keep)))
         pairs, tables = of(seated, BUCKET, PAIRS), of(seated, RANGE, TABLES)
-        state = staging.table(exchange(meet(state, tables), seat_words(now, spelling, sweep, keep)))
+        whole = staging.table(exchange(meet(state, tables), seat_words(now, spelling, sweep, keep)), by="kind")
+        state = whole.where(F.col("kind") == WORDS)
         now = totals(state)
         if keep:
             samples.append((now, spelling))
+            drawn.append(whole.where(F.col("kind") == SAMPLE))
+        for table in old:
+            table()
+        old = [lambda t=seated: staging.drop(t), lambda t=whole: staging.drop_part(t, "kind", WORDS)]
         staging.settle()
-    words_told = exchange(meet(state, wanted), tell_blocks([t for t, _ in samples]))
+    words_told = exchange(meet(*drawn, wanted), tell_blocks([t for t, _ in samples]))
     pairs_told = exchange(meet(pairs, seen), tell_pairs(len(samples)))
     return exchange(
         meet(blocks, answers, words_told, pairs_told), score_block(layout, samples, total, distinct or 0),
