@@ -1,9 +1,10 @@
 """Chat formatting: schema fingerprints choose declarative mappings to canonical turns.
 
 A record is a JSON object of any of the registered layouts. The nested field
-paths of a record, hashed, are its schema fingerprint; the fingerprint picks a
-mapping, which says where prompt, instruction, messages and answers lie. All of
-it, and the template, are SQL expressions.
+paths of a record, to any depth and over all elements of its arrays, hashed, are
+its schema fingerprint; the fingerprint picks a mapping, which says where
+prompt, instruction, messages and answers lie. All of it, and the template, are
+SQL expressions.
 
 Template of a turn: ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings
 inside roles and texts are escaped by a backslash after their first character;
@@ -13,6 +14,7 @@ restores the text.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,11 +64,15 @@ def _messages(field: str, role: str, text: str) -> str:
     return f"transform(r.{field}, m -> named_struct('role', m.{role}, 'text', m.{text}))"
 
 
+# Names that roles have in the layout of ``from`` and ``value``; all others keep their roles.
+ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+_ROLE_NAMES = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in ROLES.items()) + ")"
+
 # The layouts in use.
 MAPPINGS = (
     Mapping("turn", "role string, text string", ("role", "text"), "array(named_struct('role', r.role, 'text', r.text))"),
     Mapping("messages", "messages array<struct<role:string,content:string>>", ("messages[].content", "messages[].role"), _messages("messages", "role", "content")),
-    Mapping("conversation", "conversations array<struct<`from`:string,value:string>>", ("conversations[].from", "conversations[].value"), _messages("conversations", "`from`", "value")),
+    Mapping("conversation", "conversations array<struct<`from`:string,value:string>>", ("conversations[].from", "conversations[].value"), "transform(r.conversations, m -> named_struct('role', coalesce(try_element_at(" + _ROLE_NAMES + ", m.`from`), m.`from`), 'text', m.value))"),
     Mapping("prompt", "prompt string, completion string", ("completion", "prompt"), "array(named_struct('role', 'user', 'text', r.prompt), named_struct('role', 'assistant', 'text', r.completion))"),
     Mapping("prompt_response", "prompt string, response string", ("prompt", "response"), "array(named_struct('role', 'user', 'text', r.prompt), named_struct('role', 'assistant', 'text', r.response))"),
     Mapping("prompt_system", "system string, prompt string, response string", ("prompt", "response", "system"), "array(named_struct('role', 'system', 'text', r.system), named_struct('role', 'user', 'text', r.prompt), named_struct('role', 'assistant', 'text', r.response))"),
@@ -74,60 +80,64 @@ MAPPINGS = (
     Mapping("instruction_only", "instruction string, output string", ("instruction", "output"), "array(named_struct('role', 'user', 'text', r.instruction), named_struct('role', 'assistant', 'text', r.output))"),
 )
 
-# Names of roles in other layouts.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+# Names of the types of JSON values that have no fields.
+SCALARS = r": (?:STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|VARIANT|DECIMAL\(\d+,\d+\))(?=[,>])"
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object: ``a``, ``a.b``, ``a[].b``; two levels, as in every layout.
+    """Nested field paths of a JSON object as one string, ``OBJECT<a, b: ARRAY<OBJECT<c>>>``; null for all else.
 
-    An object's fields count also where their value is null; of an array the
-    first element speaks for all. A string is a string, whatever its text looks
-    like: values are told by their JSON as written, in which strings have quotes.
+    Fields stand in the order of their names. Those of an array's elements are
+    united; fields count also where their value is null. A string is a string,
+    whatever its text looks like.
     """
-    values = F.from_json(record, "map<string,variant>")
+    shape = F.schema_of_variant(F.try_parse_json(record))
+    return F.when(shape.startswith("OBJECT<"), F.regexp_replace(shape, SCALARS, ""))
 
-    def below(key: Column) -> Column:
-        value = F.try_element_at(values, key)
-        inner, first = F.to_json(value), F.to_json(F.try_variant_get(value, "$[0]", "variant"))
-        listed = F.when(first.startswith("{"), F.transform(F.json_object_keys(first), lambda k: F.concat(key, F.lit("[]."), k)))
-        nested = F.transform(F.json_object_keys(inner), lambda k: F.concat(key, F.lit("."), k))
-        return F.when(inner.startswith("["), listed).when(inner.startswith("{"), nested)
 
-    keys = F.json_object_keys(record)
-    return F.array_sort(F.flatten(F.transform(keys, lambda k: F.coalesce(below(k), F.array(k)))))
+def schema_fingerprint(record: Column) -> Column:
+    """xxHash64 of the field paths; null where the record is no JSON object."""
+    paths = field_paths(record)
+    return F.when(paths.isNotNull(), F.xxhash64(paths))
 
 
-def schema_fingerprint(record: Column) -> Column:
-    """xxHash64 of the sorted field paths; null where the record is no JSON object."""
-    return F.when(F.json_object_keys(record).isNotNull(), F.xxhash64(F.array_join(field_paths(record), "\n")))
+def _shape(paths: list[str]) -> str:
+    """Field paths as ``field_paths`` writes them."""
+    inside: dict[str, list[str]] = {}
+    for p in paths:
+        head, _, rest = p.partition(".")
+        inside.setdefault(head, []).extend([rest] if rest else [])
+    fields = []
+    for head in sorted(inside, key=lambda h: h.removesuffix("[]")):
+        name, below = head.removesuffix("[]"), f": {_shape(inside[head])}" if inside[head] else ""
+        fields.append(f"{name}: ARRAY<{below[2:]}>" if head.endswith("[]") else name + below)
+    return f"OBJECT<{', '.join(fields)}>"
 
 
-def _fingerprint_of(paths: tuple[str, ...]) -> Column:
-    return F.xxhash64(F.lit("\n".join(sorted(paths))))
+def _fingerprints_of(m: Mapping) -> list[Column]:
+    """Of a layout, and of the same with an empty list."""
+    whole = _shape(list(m.paths))
+    empty = re.sub(r"ARRAY<OBJECT<[^>]*>>", "ARRAY<VOID>", whole)
+    return [F.xxhash64(F.lit(x)) for x in sorted({whole, empty})]
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """Add ``layout`` and ``turns`` (array of role and text) read from the JSON column ``record``.
 
     Records whose fingerprint no mapping has get layout and turns null. Roles
-    of other layouts take their canonical names; null roles and texts are empty.
+    stay as they are, but where a layout has names of its own for them; null
+    roles and texts are empty. Repeated records are mapped one by one; other
+    columns stay, and columns named like the new ones are replaced.
     """
     print_, layout, turns = F.col("_print"), F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     out = records.drop("layout", "turns").withColumn("_print", schema_fingerprint(F.col(record)))
     for m in MAPPINGS:
-        same = print_ == _fingerprint_of(m.paths)
+        same = print_.isin(*_fingerprints_of(m))
         out = out.withColumn("r", F.when(same, F.from_json(record, m.schema)))
         layout = F.when(same, F.lit(m.name)).otherwise(layout)
         out = out.withColumn(f"_t_{m.name}", F.expr(m.turns)).drop("r")
         turns = F.when(same, F.col(f"_t_{m.name}")).otherwise(turns)
-    names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    clean = F.transform(
-        turns,
-        lambda t: F.struct(
-            F.coalesce(F.try_element_at(names, t["role"]), t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")
-        ),
-    )
+    clean = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     return out.withColumns({"layout": layout, "turns": clean}).drop("_print", *[f"_t_{m.name}" for m in MAPPINGS])
 
 
@@ -145,12 +155,32 @@ def segments(turns: Column) -> Column:
 
 
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
-    """Add ``segments`` and their concatenation ``formatted``.
+    """Add ``segments``, their concatenation ``formatted`` and the loss mask ``loss``.
 
-    A record of no turns gives an empty string; null turns give null.
+    The mask lists what carries loss: the number of the turn from 0, and
+    start (from 1) and length within its piece, all that lies before its end
+    mark. A record of no turns gives an empty string and mask; null turns give null.
     """
-    out = df.drop("segments", "formatted").withColumn("segments", segments(F.col(turns)))
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    out = df.drop("segments", "formatted", "loss").withColumn("segments", segments(F.col(turns)))
+    size = lambda i: F.length(F.get("segments", i)["text"])
+    spans = F.transform(turns, lambda t, i: F.struct(i.alias("turn"), (size(3 * i) + 1).alias("start"), size(3 * i + 1).alias("chars"), F.get("segments", 3 * i + 1)["loss"].alias("loss")))
+    return out.withColumns(
+        {
+            "formatted": F.array_join(F.transform("segments", lambda s: s["text"]), ""),
+            "loss": F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["turn"].alias("turn"), s["start"].alias("start"), s["chars"].alias("chars"))),
+        }
+    )
+
+
+def pieces_of(formatted: Column) -> Column:
+    """A formatted string's turns without their end marks, and what follows the last of these."""
+    return F.split(formatted, r"<\|im_end\|>\n")
+
+
+def read_loss(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask, as they were before the template."""
+    pieces = pieces_of(formatted)
+    return F.transform(loss, lambda s: unescape(F.substring(F.get(pieces, s["turn"]), s["start"], s["chars"])))
 
 
 def read_back(formatted: Column) -> Column:
@@ -162,7 +192,7 @@ def read_back(formatted: Column) -> Column:
         role = F.regexp_replace(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"\\\\", r"\\")
         return F.struct(unescape(role).alias("role"), unescape(F.substring(body, cut + 1, F.length(body))).alias("text"))
 
-    pieces = F.split(formatted, r"<\|im_end\|>\n")
+    pieces = pieces_of(formatted)
     return F.transform(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), turn)
 
 
@@ -171,15 +201,15 @@ def op4_chat(spark, sf_dir):
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], rows.schema))
-    # every turn is a record of its own; layouts are told per record, before conversations meet
-    records = rows.withColumn("record", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}))
+    # every turn is a record of its own, in one of two layouts that its hash chooses; told before conversations meet
+    turn = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    listed = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), {"ignoreNullFields": "false"})
+    records = rows.withColumn("record", F.when(F.xxhash64("conv_id", "turn") % 2 == 0, turn).otherwise(listed))
     turns = canonical_turns(records)
     turns = turns.select("conv_id", F.struct("turn", F.xxhash64("role", "text").alias("tie"), F.col("turns")[0].alias("t")).alias("x"))
     whole = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias("turns"))
-    done = format_turns(whole).select("conv_id", "formatted", "segments")
-    done = done.withColumn("back", read_back(F.col("formatted")))
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    done = done.withColumn("loss", F.array_join(loss, ""))
+    done = format_turns(whole).select("conv_id", "formatted", "loss")
+    done = done.withColumns({"back": read_back(F.col("formatted")), "loss": F.array_join(read_loss(F.col("formatted"), F.col("loss")), "")})
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

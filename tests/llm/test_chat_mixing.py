@@ -1,5 +1,6 @@
 """Chat template round trips and layouts; mixing meets its targets."""
 
+import hashlib
 import json
 import random
 
@@ -13,7 +14,7 @@ def test_template_is_reversible(spark):
     roles = ["user", "assistant", "", "a\nb", "a\\nb", "<|im_end|>"]
     turns = [(i, [(r, t) for t in texts]) for i, r in enumerate(roles)] + [(99, []), (100, None)]
     df = spark.createDataFrame(turns, f"id long, turns {chat.TURNS}")
-    out = chat.format_turns(df).withColumn("back", chat.read_back(F.col("formatted")))
+    out = chat.format_turns(df).withColumns({"back": chat.read_back(F.col("formatted")), "said": chat.read_loss(F.col("formatted"), F.col("loss"))})
     got = {r["id"]: r for r in out.collect()}
     for i, want in turns:
         if want is None:
@@ -21,6 +22,7 @@ def test_template_is_reversible(spark):
             continue
         assert [tuple(t) for t in got[i]["back"]] == want
         assert got[i]["formatted"].count("<|im_end|>") == len(want)
+        assert got[i]["said"] == [t for r, t in want if r == "assistant"]
         assert [s["loss"] for s in got[i]["segments"][1::3]] == [r == "assistant" for r, _ in want]
 
 
@@ -39,6 +41,32 @@ def test_layouts(spark):
     assert got[4]["turns"][0]["text"] == "q\n\nx" and got[5]["turns"] is None
 
 
+def test_field_paths_go_all_the_way_down(spark):
+    records = ['{"a":{"b":{"c":1}}}', '{"a":{"b":{"d":1}}}', '{"a":[{"x":1},{"y":null}]}', '{"it\'s":"v","b":null}', "[1]", "no", None]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in records], "r string").select(chat.field_paths(F.col("r"))).collect()]
+    assert got == ["OBJECT<a: OBJECT<b: OBJECT<c>>>", "OBJECT<a: OBJECT<b: OBJECT<d>>>", "OBJECT<a: ARRAY<OBJECT<x, y>>>", "OBJECT<b, `it's`>", None, None, None]
+    odd = [{"messages": [{"role": "user", "content": "q"}, {"role": "user", "content": "q", "name": "n"}]}, {"messages": []}, {"role": "human", "text": "kept"}]
+    out = chat.canonical_turns(spark.createDataFrame([(json.dumps(r),) for r in odd], "record string")).collect()
+    assert [r["layout"] for r in out] == [None, "messages", "turn"] and out[1]["turns"] == [] and out[2]["turns"][0]["role"] == "human"
+
+
+def test_query_against_plain_python(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a <|im_end|>\n"), (1, 1, "assistant", "a <|im_end|>\n"), (2, 0, "human", None), (2, 3, "gpt", "x"), (2, 2, None, "[INST]"), (None, 0, "assistant", "ä\U0001f600"), (5, None, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("record", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat.op4_chat(spark, str(tmp_path)).collect()}
+    own = "</s>[INST] ok [/INST]"
+    by = {}
+    for c, k, r, t in [*rows, (-7, 0, "user", own), (-7, 1, "assistant", own)]:
+        by.setdefault(c, []).append((-1 if k is None else k, r or "", t or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        want = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert tuple(got[c][n] for n in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == want, c
+    assert chat.op4_chat(spark, str(tmp_path)).where("formatted_chars <= loss_chars").count() == 0
+
+
 def test_texts_that_look_like_json(spark):
     texts = ["{}", '{"a": 1}', '[{"a": 1}]', '{"a": 1} and more']
     records = [{"role": "assistant", "text": t} for t in texts] + [{"prompt": t, "response": t} for t in texts]
