@@ -45,7 +45,7 @@ _TCARI: Formula = lambda d: f"3 * ((e - r) - 0.2 * (e - g) * {d('e', 'r')})"  #
 _MCARI: Formula = lambda d: f"({_CHL}) * {d('e', 'r')}"
 _MSAVI = "(2 * n + 1) * (2 * n + 1) - 8 * (n - r)"
 
-#: Zero denominators and negative roots give NULL.
+# Zero denominators and negative roots give NULL.
 EXACT: dict[str, tuple[int, Formula]] = {
     "ndvi": (1, nd("n", "r")),
     "ndre": (1, nd("n", "e")),
@@ -108,7 +108,7 @@ _ECHL = f"({_CHL}) * {_erat('e', 'r')}"
 _ECCC = f"({_end('n', 'e')}) / ({_end('n', 'r')} + {EPS})"
 _EARI = f"(1 / ((g + {EPS}) + {EPS})) - (1 / ((e + {EPS}) + {EPS}))"
 
-#: A small constant in every denominator; values are clipped to -10 .. 10 and never missing.
+# A small constant in every denominator; values are clipped to -10 .. 10 and never missing.
 PADDED: dict[str, str] = {
     "ndvi": _end("n", "r"),
     "gndvi": _end("n", "g"),
@@ -182,7 +182,7 @@ def with_channel_indices(df: DataFrame) -> DataFrame:
     return df.withColumns({k: clipped(F.expr(EXACT[k][1](spark_divide)), 5.0) for k in CHANNELS})
 
 
-#: Narrow-band indices: (group, wavelengths, formula over w<nm>).
+# Narrow-band indices, (group, wavelengths, formula over w<nm>).
 NARROW: dict[str, tuple[str, tuple[int, ...], Formula]] = {
     "mnd705": ("chl", (750, 705, 445), lambda d: d("w750 - w705", "w750 + w705 - 2 * w445")),
     "vog1": ("chl", (740, 720), lambda d: d("w740", "w720")),

@@ -15,42 +15,37 @@ MODELS = ("spherical", "exponential", "gaussian")
 RADII = [0.0, 20.0, 30.0, 50.0, 75.0, 100.0]
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Report view: doubles rounded, all else as it is."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 def band_pivot(spark, d):
     obs = src.observations(spark, d).where("channel <= 5")
-    wide = obs.groupBy("point_id").pivot("channel", [1, 2, 3, 4, 5]).agg(F.round(F.sum("value") / F.count("value") / 100.0, 6))
+    wide = obs.groupBy("point_id").pivot("channel", [1, 2, 3, 4, 5]).agg((F.sum("value") / F.count("value") / 100.0))
     return wide.toDF("point_id", *[f"ch{i}" for i in range(1, 6)])
 
 
 def hyper_aggregate_min_bands(spark, d):
-    per = src.observations(spark, d).where("value <> 0").groupBy("point_id", "channel").agg(F.round(F.sum("value") / F.count("*") / 100.0, 6).alias("value"), F.count("*").alias("n_sets"))
+    per = src.observations(spark, d).where("value <> 0").groupBy("point_id", "channel").agg((F.sum("value") / F.count("*") / 100.0).alias("value"), F.count("*").alias("n_sets"))
     gate = per.groupBy("point_id").agg(F.count("*").alias("n_bands")).where("n_bands >= 6")
     return per.join(gate, "point_id")
 
 
 def sets_per_point(spark, d):
     per = src.observations(spark, d).groupBy("point_id", "channel").agg(F.count("*").alias("n"))
-    return rounded(per.groupBy("point_id").agg(F.avg("n").alias("mean_sets"), F.min("n").alias("least"), F.median("n").alias("median"), F.max("n").alias("most")))
+    return per.groupBy("point_id").agg(F.avg("n").alias("mean_sets"), F.min("n").alias("least"), F.median("n").alias("median"), F.max("n").alias("most"))
 
 
 def _tier(tier: int):
     def run(spark, d):
         df = indices.with_indices(src.band_points(spark, d), (tier,))
-        return rounded(df.select("point_id", "date", *[i.name for i in indices.registry() if i.tier == tier]))
+        return df.select("point_id", "date", *[i.name for i in indices.registry() if i.tier == tier])
 
     return run
 
 
 def ms_indices_eps_family(spark, d):
-    return rounded(indices.with_padded_indices(src.band_points(spark, d)).select("point_id", "date", *indices.PADDED))
+    return indices.with_padded_indices(src.band_points(spark, d)).select("point_id", "date", *indices.PADDED)
 
 
 def ms_indices_channels(spark, d):
-    return rounded(indices.with_channel_indices(src.band_points(spark, d)).select("point_id", "date", *indices.CHANNELS))
+    return indices.with_channel_indices(src.band_points(spark, d)).select("point_id", "date", *indices.CHANNELS)
 
 
 def index_catalogue(spark, d):
@@ -59,11 +54,11 @@ def index_catalogue(spark, d):
 
 def hyper_indices_all(spark, d):
     df = indices.with_narrow_indices(src.spectra(spark, d), W)
-    return rounded(df.select("point_id", *indices.NARROW, "rep"), 4)
+    return df.select("point_id", *indices.NARROW, "rep")
 
 
-def _bands(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select("point_id", F.posexplode("s").alias("band", "value")).select("point_id", "band", F.round("value", digits).alias("value"))
+def _bands(df: DataFrame) -> DataFrame:
+    return df.select("point_id", F.posexplode("s").alias("band", "value"))
 
 
 def _array(make):
@@ -72,7 +67,7 @@ def _array(make):
 
 def spectral_shape(spark, d):
     df = src.spectra(spark, d)
-    return rounded(df.select("point_id", *[c.alias(k) for k, c in spectra.shape_features(F.col("spectrum"), W).items()]), 5)
+    return df.select("point_id", *[c.alias(k) for k, c in spectra.shape_features(F.col("spectrum"), W).items()])
 
 
 def feature_pairs(spark, d) -> DataFrame:
@@ -85,11 +80,11 @@ def feature_pairs(spark, d) -> DataFrame:
 
 
 def pearson_matrix(spark, d):
-    return rounded(stats.pearson(feature_pairs(spark, d), ["date", "feature", "element"]))
+    return stats.pearson(feature_pairs(spark, d), ["date", "feature", "element"])
 
 
 def spearman_matrix(spark, d):
-    return rounded(stats.spearman(feature_pairs(spark, d), ["date", "feature", "element"]))
+    return stats.spearman(feature_pairs(spark, d), ["date", "feature", "element"])
 
 
 def _site_values(spark, d):
@@ -97,11 +92,11 @@ def _site_values(spark, d):
 
 
 def kendall_tau(spark, d):
-    return rounded(stats.kendall(_site_values(spark, d)))
+    return stats.kendall(_site_values(spark, d))
 
 
 def distance_correlation(spark, d):
-    return rounded(stats.distance_correlation(_site_values(spark, d)))
+    return stats.distance_correlation(_site_values(spark, d))
 
 
 def correlogram(spark, d):
@@ -109,7 +104,7 @@ def correlogram(spark, d):
     both = df.select(F.lit("raw").alias("variant"), "spectrum", F.col("target").alias("y")).unionByName(
         df.select(F.lit("snv").alias("variant"), spectra.snv(F.col("spectrum")).alias("spectrum"), F.col("target").alias("y"))
     )
-    return rounded(stats.pearson(both.select("variant", "y", F.posexplode("spectrum").alias("band", "x")), ["variant", "band"]))
+    return stats.pearson(both.select("variant", "y", F.posexplode("spectrum").alias("band", "x")), ["variant", "band"])
 
 
 def top3_per_element(spark, d):
@@ -125,7 +120,7 @@ def best_index_per_element(spark, d):
 
 def corr_heatmap_pivot(spark, d):
     r = stats.pearson(feature_pairs(spark, d), ["date", "feature", "element"])
-    wide = r.groupBy("feature", "date").pivot("element", ["price", "size"]).agg(F.round(F.avg("r"), 6))
+    wide = r.groupBy("feature", "date").pivot("element", ["price", "size"]).agg((F.avg("r")))
     return wide.withColumn("strongest", F.greatest(F.abs("price"), F.abs("size")))
 
 
@@ -137,7 +132,7 @@ def significance_labels(spark, d):
 
 def category_ladder(spark, d):
     r = stats.pearson(feature_pairs(spark, d), ["date", "feature", "element"])
-    df = r.select("date", "feature", "element", F.round("r2", 6).alias("r2"), F.when(F.col("date") != "N", F.round(F.abs("r"), 6)).alias("p"))
+    df = r.select("date", "feature", "element", ("r2").alias("r2"), F.when(F.col("date") != "N", (F.abs("r"))).alias("p"))
     return df.withColumn("category", stats.category(F.col("r2"), F.col("p")))
 
 
@@ -149,36 +144,36 @@ def iqr_outlier_filter(spark, d):
 
 def zscore_features(spark, d):
     df = src.band_points(spark, d).select("point_id", "date", F.col("r").alias("value"))
-    return rounded(df.select("point_id", "date", stats.zscores(df, ["date"], "value").alias("z")))
+    return df.select("point_id", "date", stats.zscores(df, ["date"], "value").alias("z"))
 
 
 def constant_feature_filter(spark, d):
     df = src.band_points(spark, d).withColumn("fixed", F.lit(1.0))
     long = stats.long_form(df, ["point_id", "date"], ["b", "g", "r", "e", "n", "fixed"], "feature", "value")
-    return rounded(long.groupBy("feature").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("std")).where("std > 1e-8"))
+    return long.groupBy("feature").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("std")).where("std > 1e-8")
 
 
 def median_impute(spark, d):
     df = src.band_points(spark, d).select("point_id", "date", F.when(F.col("n_obs") > 3, F.col("r")).alias("value"))
     middle = df.groupBy("date").agg(F.percentile("value", F.lit(0.5)).alias("middle"))
-    return rounded(df.join(F.broadcast(middle), "date").select("point_id", "date", F.coalesce("value", "middle", F.lit(0.0)).alias("value")))
+    return df.join(F.broadcast(middle), "date").select("point_id", "date", F.coalesce("value", "middle", F.lit(0.0)).alias("value"))
 
 
 def semivariogram(spark, d):
-    return rounded(spatial.semivariogram(src.sites(spark, d)))
+    return spatial.semivariogram(src.sites(spark, d))
 
 
 def variogram_models_eval(spark, d):
     h = spark.range(0, 61).select((F.col("id") * 5.0).alias("h"))
-    return rounded(h.select("h", *[spatial.variogram_value(m, F.col("h"), 0.1, 1.0, 120.0).alias(m) for m in MODELS]))
+    return h.select("h", *[spatial.variogram_value(m, F.col("h"), 0.1, 1.0, 120.0).alias(m) for m in MODELS])
 
 
 def morans_i(spark, d):
-    return rounded(spatial.morans_i(src.sites(spark, d), 4))
+    return spatial.morans_i(src.sites(spark, d), 4)
 
 
 def knn_edges(spark, d):
-    return rounded(spatial.knn(src.sites(spark, d), 4))
+    return spatial.knn(src.sites(spark, d), 4)
 
 
 def buffered_train_counts(spark, d):
@@ -186,30 +181,30 @@ def buffered_train_counts(spark, d):
 
 
 def buffered_loo_mean(spark, d):
-    return rounded(spatial.buffered_mean(src.sites(spark, d), [50.0]), 4)
+    return spatial.buffered_mean(src.sites(spark, d), [50.0])
 
 
 def buffered_loo_simple_regression(spark, d):
-    return rounded(spatial.buffered_line(src.sites(spark, d), [50.0]), 4)
+    return spatial.buffered_line(src.sites(spark, d), [50.0])
 
 
 def buffer_sweep(spark, d):
     p = spatial.buffered_mean(src.sites(spark, d), RADII)
     m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted")
-    return rounded(m.select("radius", "n", "r2", "rmse", "mae"), 4)
+    return m.select("radius", "n", "r2", "rmse", "mae")
 
 
 def random_vs_buffered_inflation(spark, d):
     p = spatial.buffered_line(src.sites(spark, d), [0.0, 50.0])
     m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted")
     wide = m.groupBy().agg(F.max(F.when(F.col("radius") == 0, F.col("r2"))).alias("r2_random"), F.max(F.when(F.col("radius") == 50, F.col("r2"))).alias("r2_buffered"))
-    return rounded(wide.withColumn("inflation", F.col("r2_random") - F.col("r2_buffered")), 4)
+    return wide.withColumn("inflation", F.col("r2_random") - F.col("r2_buffered"))
 
 
 def buffer_recommendation(spark, d):
     far = spatial.all_pairs(src.sites(spark, d), ["site", "x", "y", "u"]).where("d > 0")
     per = far.groupBy(F.col("u1").cast("int").alias("element")).agg(F.percentile("d", F.lit(0.5)).alias("middle"))
-    return rounded(per.select("element", "middle", F.least(F.lit(100), F.greatest(F.lit(20), F.coalesce(F.col("middle"), F.lit(50.0)).cast("int"))).alias("buffer")))
+    return per.select("element", "middle", F.least(F.lit(100), F.greatest(F.lit(20), F.coalesce(F.col("middle"), F.lit(50.0)).cast("int"))).alias("buffer"))
 
 
 def _predicted(spark, d):
@@ -217,19 +212,19 @@ def _predicted(spark, d):
 
 
 def regression_metrics(spark, d):
-    return rounded(stats.regression_metrics(_predicted(spark, d), ["l_returnflag"]))
+    return stats.regression_metrics(_predicted(spark, d), ["l_returnflag"])
 
 
 def baseline_mean_r2(spark, d):
     df = _predicted(spark, d)
     means = df.groupBy("l_returnflag").agg(F.avg("y").alias("m"))
     joined = df.drop("p").join(F.broadcast(means), "l_returnflag").withColumnRenamed("m", "p")
-    return stats.regression_metrics(joined, ["l_returnflag"]).select("l_returnflag", "n", (F.round("r2", 6) + 0.0).alias("r2"), F.round("rmse", 6).alias("rmse"))
+    return stats.regression_metrics(joined, ["l_returnflag"]).select("l_returnflag", "n", (F.round("r2", 6) + 0.0).alias("r2"), "rmse")
 
 
 def masked_huber_loss(spark, d):
     df = _predicted(spark, d).withColumn("y", F.when(F.col("y") > 20, F.col("y")))
-    return rounded(df.groupBy("l_returnflag").agg(stats.huber("y", "p", 5.0).alias("loss"), F.count("y").alias("n")))
+    return df.groupBy("l_returnflag").agg(stats.huber("y", "p", 5.0).alias("loss"), F.count("y").alias("n"))
 
 
 def mixup_partner_weights(spark, d):
@@ -239,58 +234,58 @@ def mixup_partner_weights(spark, d):
     band = gap.agg((F.percentile("gap", F.lit(0.5)) / 2).alias("bw"))
     w = gap.join(F.broadcast(band)).withColumn("w", F.exp(-F.col("gap") * F.col("gap") / (2 * F.col("bw") * F.col("bw"))))
     total = w.groupBy("i").agg(F.sum("w").alias("total"))
-    return rounded(w.join(total, "i").select("i", "j", (F.col("w") / F.col("total")).alias("weight")), 7)
+    return w.join(total, "i").select("i", "j", (F.col("w") / F.col("total")).alias("weight"))
 
 
 def band_stats_p2_p98(spark, d):
-    return rounded(raster.band_stats(src.raster(spark, d), BANDS))
+    return raster.band_stats(src.raster(spark, d), BANDS)
 
 
 def normalised_pixels(spark, d):
-    return rounded(raster.normalised(src.raster(spark, d), BANDS))
+    return raster.normalised(src.raster(spark, d), BANDS)
 
 
 def rgb_stretch(spark, d):
     n = raster.normalised(src.raster(spark, d), ["b2", "b1", "b0"])
-    wide = n.groupBy("row", "col").pivot("band", ["b2", "b1", "b0"]).agg(F.round(F.first("value") * 255, 3))
+    wide = n.groupBy("row", "col").pivot("band", ["b2", "b1", "b0"]).agg((F.first("value") * 255))
     return wide.toDF("row", "col", "red", "green", "blue")
 
 
 def tile_grid_stats(spark, d):
     t = raster.tiles(src.raster(spark, d), 32)
-    return rounded(t.groupBy("tile_r", "tile_c").agg(F.count("*").alias("n"), F.avg("b4").alias("mean"), F.min("b4").alias("least"), F.max("b4").alias("most")))
+    return t.groupBy("tile_r", "tile_c").agg(F.count("*").alias("n"), F.avg("b4").alias("mean"), F.min("b4").alias("least"), F.max("b4").alias("most"))
 
 
 def _window(window: int):
-    return lambda spark, d: rounded(raster.window_stats(src.raster(spark, d), "b2", window))
+    return lambda spark, d: raster.window_stats(src.raster(spark, d), "b2", window)
 
 
 def glcm_features(spark, d):
     px = src.raster(spark, d).select("row", "col", F.least(F.lit(15), F.floor(F.col("b4") / 0.005 * 15)).cast("int").alias("level"))
-    return rounded(raster.glcm(px, "level", 32))
+    return raster.glcm(px, "level", 32)
 
 
 def tile_blend(spark, d):
-    return rounded(raster.blend(src.raster(spark, d).select("row", "col", "b4"), "b4", 32, 8))
+    return raster.blend(src.raster(spark, d).select("row", "col", "b4"), "b4", 32, 8)
 
 
 def map_stats(spark, d):
     px = src.raster(spark, d)
     long = px.unpivot([], BANDS, "band", "value").where("value <> 0")
-    return rounded(raster.map_stats(long, ["band"], "value"))
+    return raster.map_stats(long, ["band"], "value")
 
 
 def nodata_masking(spark, d):
     px = src.raster(spark, d)
     valid = ~((F.col("b0") == 0) & (F.col("b1") == 0) & (F.col("b2") == 0) & (F.col("b3") == 0) & (F.col("b4") == 0))
-    return rounded(px.select("row", "col", F.when(valid, 2.0 * F.col("b2") + F.col("b4")).alias("prediction")))
+    return px.select("row", "col", F.when(valid, 2.0 * F.col("b2") + F.col("b4")).alias("prediction"))
 
 
 def point_pixels(spark, d):
     """Points by an affine transform on the pixel table."""
     s = src.sites(spark, d).select("site", F.floor((1000.0 - F.col("y")) / 15.0).cast("int").alias("row"), F.floor((F.col("x") - 0.0) / 15.0).cast("int").alias("col"))
     px = src.raster(spark, d)
-    return rounded(s.where("row >= 0 and col >= 0").join(px, ["row", "col"]))
+    return s.where("row >= 0 and col >= 0").join(px, ["row", "col"])
 
 
 def date_lookup(spark, d):
@@ -305,16 +300,16 @@ def partial_correlation(spark, d):
     """Bands against price, given the size of the point."""
     df = src.band_points(spark, d)
     long = df.unpivot(["point_id", "date", "size", "price"], ["b", "g", "r", "e"], "feature", "x")
-    return rounded(stats.partial_correlation(long, ["date", "feature"], "x", "price", "size"))
+    return stats.partial_correlation(long, ["date", "feature"], "x", "price", "size")
 
 
 def linear_importance(spark, d):
-    return rounded(stats.linear_importance(feature_pairs(spark, d), ["date", "feature", "element"]), 5)
+    return stats.linear_importance(feature_pairs(spark, d), ["date", "feature", "element"])
 
 
 def target_scaler(spark, d):
     df = src.band_points(spark, d).select("date", F.when(F.col("n_obs") > 3, F.col("e")).alias("value"))
-    return rounded(stats.target_scaler(df, ["date"], "value"))
+    return stats.target_scaler(df, ["date"], "value")
 
 
 def mean_target_top20(spark, d):
@@ -329,20 +324,20 @@ def inflation_summary(spark, d):
     p = spatial.buffered_line(src.sites(spark, d), RADII)
     m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted").select("radius", "r2")
     base = m.where("radius = 0").select(F.col("r2").alias("base"))
-    gap = m.where("radius > 0").join(F.broadcast(base)).withColumn("inflation", F.round(F.col("base") - F.col("r2"), 6))
-    return rounded(gap.agg(F.median("inflation").alias("middle"), F.max("inflation").alias("most"), F.sum((F.col("inflation") > 0.01).cast("long")).alias("n_over")), 4)
+    gap = m.where("radius > 0").join(F.broadcast(base)).withColumn("inflation", (F.col("base") - F.col("r2")))
+    return gap.agg(F.median("inflation").alias("middle"), F.max("inflation").alias("most"), F.sum((F.col("inflation") > 0.01).cast("long")).alias("n_over"))
 
 
 def kfold_line(spark, d):
     df = src.band_points(spark, d).where("date = 'N'")
     p = validation.kfold_line(df, "point_id", "b", "e")
-    return rounded(stats.regression_metrics(p, ["fold"], "y", "predicted").select("fold", "n", "r2", "rmse", "mae"), 5)
+    return stats.regression_metrics(p, ["fold"], "y", "predicted").select("fold", "n", "r2", "rmse", "mae")
 
 
 def kfold_line_dates(spark, d):
     """The lines of every date, each date with folds of its own."""
     p = validation.kfold_line(src.band_points(spark, d), "point_id", "b", "e", by=("date",))
-    return rounded(stats.regression_metrics(p, ["date", "fold"], "y", "predicted").select("date", "fold", "n", "r2", "rmse", "mae"), 5)
+    return stats.regression_metrics(p, ["date", "fold"], "y", "predicted").select("date", "fold", "n", "r2", "rmse", "mae")
 
 
 def group_folds(spark, d):
@@ -352,7 +347,7 @@ def group_folds(spark, d):
 
 
 def permutation_test(spark, d):
-    return rounded(validation.permutation_test(src.sites(spark, d), "site", "u", "v"))
+    return validation.permutation_test(src.sites(spark, d), "site", "u", "v")
 
 
 def overlapping_tiles(spark, d):
@@ -363,7 +358,7 @@ def pass_statistics(spark, d):
     """Three passes with a shift each over the pixels."""
     px = src.raster(spark, d).where("b4 <> 0")
     passes = px.select("row", "col", F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), (F.col("b4") * (1 + 0.1 * k)).alias("value")) for k in range(3)])).alias("s"))
-    return rounded(raster.pass_statistics(passes.select("row", "col", "s.value"), ["row", "col"], "value"), 10)
+    return raster.pass_statistics(passes.select("row", "col", "s.value"), ["row", "col"], "value")
 
 
 def queries() -> dict:

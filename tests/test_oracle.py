@@ -7,19 +7,17 @@ import duckdb
 import pytest
 from spectrafield.plans import catalog
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
 def canonical(columns, rows):
+    """Rows by their exact columns, then by numbers; NaN counts as missing."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-
-    def value(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
-            return ""
-        return f"{v:.4f}" if isinstance(v, float) else str(v)
-
-    return [columns[i] for i in order], sorted([value(r[i]) for i in order] for r in rows)
+    clean = lambda v: None if isinstance(v, float) and math.isnan(v) else v
+    rows = [[clean(r[i]) for i in order] for r in rows]
+    key = lambda r: ([str(v) for v in r if not isinstance(v, float)], [round(v, 6) for v in r if isinstance(v, float)])
+    return [columns[i] for i in order], sorted(rows, key=key)
 
 
 @pytest.fixture(scope="module")
@@ -44,12 +42,9 @@ def test_matches_sql(spark, duck, name):
     assert len(got[1]) == len(want[1])
 
     def same(a, b):
-        if a == b:
-            return True
-        try:
-            return abs(float(a) - float(b)) <= 2e-4
-        except ValueError:
-            return False
+        if isinstance(a, float) or isinstance(b, float):
+            return a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
+        return a == b or str(a) == str(b)
 
     bad = [(a, b) for a, b in zip(got[1], want[1]) if not all(map(same, a, b))]
     assert not bad, bad[:2]
