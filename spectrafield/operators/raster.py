@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,47 @@ def stencil(pixels: DataFrame, half: int, value: str) -> DataFrame:
     return moved.select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "value")
 
 
-def window_stats(pixels: DataFrame, value: str, window: int) -> DataFrame:
-    """(row, col, n, mean, std, median, p25, p75, cv) of the valid pixels (> 0) around each pixel; edges are clipped."""
-    around = stencil(pixels.where(F.col(value) > 0), window // 2, value)
-    stats = around.groupBy("row", "col").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    )
-    out = stats.join(pixels.select("row", "col"), ["row", "col"], "left_semi")
-    return out.select("row", "col", "n", "mean", "std", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), F.try_divide("std", "mean").alias("cv"))
+#: Side of the tiles that neighbourhoods are computed in.
+TILE = 64
+
+
+def window_stats(pixels: DataFrame, value: str, window: int, tile: int = TILE) -> DataFrame:
+    """(row, col, n, mean, std, median, p25, p75, cv) of the valid pixels (> 0) around each pixel; edges are clipped.
+
+    Pixels are dealt to tiles, those near an edge to the neighbours too, and a
+    tile's windows are one sliding view: a pixel is shuffled (1 + (window - 1) /
+    tile)^2 times on average, not window^2 times. Pixels without a valid
+    neighbour have no row.
+    """
+    half = window // 2
+    span = lambda c: F.sequence(F.floor((F.col(c) - half) / tile).cast("int"), F.floor((F.col(c) + half) / tile).cast("int"))
+    dealt = pixels.select("row", "col", F.col(value).cast("double").alias("value")).withColumn("tr", F.explode(span("row"))).withColumn("tc", F.explode(span("col")))
+
+    def step(key, table):
+        r0, c0 = (k.as_py() * tile - half for k in key)
+        row, col = table.column("row").to_numpy() - r0, table.column("col").to_numpy() - c0
+        grid, there = np.full((tile + 2 * half,) * 2, np.nan), np.zeros((tile + 2 * half,) * 2, bool)
+        v = table.column("value").to_numpy(zero_copy_only=False)
+        grid[row, col], there[row, col] = np.where(v > 0, v, np.nan), True
+        inner = there[half : half + tile, half : half + tile]
+        views = np.lib.stride_tricks.sliding_window_view(grid, (window, window))[inner].reshape(-1, window * window)
+        views = np.sort(views, axis=1)  # missing values come last
+        n = np.isfinite(views).sum(1)
+        i, j = np.nonzero(inner)
+        some = n > 0
+        views, n, i, j = views[some], n[some], i[some] + r0 + half, j[some] + c0 + half
+        mean = np.nansum(views, axis=1) / n
+        std = np.sqrt(np.nansum((views - mean[:, None]) ** 2, axis=1) / n)
+
+        def quantile(q):
+            at = q * (n - 1)
+            low = np.floor(at).astype(int)
+            rows = np.arange(len(n))
+            return views[rows, low] + (at - low) * (views[rows, np.minimum(low + 1, n - 1)] - views[rows, low])
+
+        return pa.table({"row": i.astype(np.int32), "col": j.astype(np.int32), "n": n.astype(np.int64), "mean": mean, "std": std, "median": quantile(0.5), "p25": quantile(0.25), "p75": quantile(0.75), "cv": std / mean})
+
+    return dealt.groupBy("tr", "tc").applyInArrow(step, "row int, col int, n long, mean double, std double, median double, p25 double, p75 double, cv double")
 
 
 def glcm(pixels: DataFrame, level: str, size: int, distance: int = 1) -> DataFrame:
@@ -60,6 +95,41 @@ def glcm(pixels: DataFrame, level: str, size: int, distance: int = 1) -> DataFra
     )
 
 
+def glcm_texture(pixels: DataFrame, level: str, size: int, distances: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(tile_r, tile_c, property, mean, std) over distances and angles: each of these has its own symmetric counts.
+
+    Correlation is 1 where all levels are equal.
+    """
+    a = tiles(pixels, size).select("tile_r", "tile_c", "row", "col", F.col(level).alias("i"))
+    steps = [(d, k, r, c) for d in distances for k, (r, c) in enumerate([(0, d), (d, d), (d, 0), (d, -d)])]
+    offsets = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for d, k, r, c in steps])
+    moved = a.withColumn("o", F.explode(offsets)).select("tile_r", "tile_c", "o.d", "o.k", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), F.col("i").alias("j"))
+    keys = ["tile_r", "tile_c", "d", "k"]
+    met = a.join(moved, ["tile_r", "tile_c", "row", "col"])
+    both = met.select(*keys, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p")).groupBy(*keys, "p.i", "p.j").agg(F.count("*").alias("w"))
+    w, gap, total = F.col("w"), F.abs(F.col("i") - F.col("j")), F.sum("w")
+    mean = F.sum(w * F.col("i")) / total
+    spread = F.sum(w * F.col("i") * F.col("i")) / total - mean * mean
+    shared = F.sum(w * F.col("i") * F.col("j")) / total - mean * mean
+    asm = F.sum(w * w) / (total * total)
+    each = both.groupBy(*keys).agg(
+        (F.sum(w * gap * gap) / total).alias("contrast"), (F.sum(w * gap) / total).alias("dissimilarity"), (F.sum(w / (1.0 + gap * gap)) / total).alias("homogeneity"),
+        asm.alias("asm"), F.sqrt(asm).alias("energy"), F.when(spread < 1e-9, 1.0).otherwise(shared / spread).alias("correlation"),
+    )
+    long = each.unpivot(keys, ["contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation"], "property", "value")
+    return long.groupBy("tile_r", "tile_c", "property").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def clamped_window(points: DataFrame, pixels: DataFrame, value: str, window: int, height: int, width: int) -> DataFrame:
+    """(site, n, mean, std, least, most): whole windows around ``points`` (site, row, col), moved inside the raster at its edges."""
+    half = window // 2
+    start = lambda c, size: F.least(F.greatest(F.col(c) - half, F.lit(0)), F.lit(size - window))
+    cells = points.select("site", F.explode(F.sequence(start("row", height), start("row", height) + window - 1)).alias("row"), start("col", width).alias("c0"))
+    cells = cells.select("site", "row", F.explode(F.sequence(F.col("c0"), F.col("c0") + window - 1)).alias("col"))
+    v = F.when(F.col(value) > 0, F.col(value))
+    return cells.join(pixels, ["row", "col"]).groupBy("site").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
 def hann(place: Column, size: int) -> Column:
     """Raised cosine over 0 .. size - 1, never 0."""
     return 0.5 - 0.5 * F.cos(2 * 3.141592653589793 * (place + 1) / (size + 1))

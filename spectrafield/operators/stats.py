@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.distributions import normal_two_sided
+
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     """Unpivot; missing and non-finite values go."""
@@ -55,6 +57,62 @@ def kendall(values: DataFrame, key: str = "id") -> DataFrame:
     return out.select("n_pairs", F.try_divide("s", F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
 
 
+def kendall_p(values: DataFrame) -> DataFrame:
+    """(n_pairs, tau, z, p) for ``values`` (id, x, y): two-sided, by the normal limit with ties in either column."""
+    tau = kendall(values)
+
+    def ties(c):
+        k = F.col("k")
+        counts = values.groupBy(c).agg(F.count("*").cast("double").alias("k"))
+        return counts.agg(F.sum(k * (k - 1)).alias(f"{c}1"), F.sum(k * (k - 1) * (k - 2)).alias(f"{c}2"), F.sum(k * (k - 1) * (2 * k + 5)).alias(f"{c}3"), F.sum(k).alias(f"{c}n"))
+
+    one = tau.join(ties("x")).join(ties("y"))
+    n = F.col("xn")
+    plain = n * (n - 1) / 2
+    s = F.col("tau") * F.sqrt((plain - F.col("x1") / 2) * (plain - F.col("y1") / 2))
+    spread = (n * (n - 1) * (2 * n + 5) - F.col("x3") - F.col("y3")) / 18 + F.col("x1") * F.col("y1") / (2 * n * (n - 1)) + F.col("x2") * F.col("y2") / (9 * n * (n - 1) * (n - 2))
+    return one.select("n_pairs", "tau", F.try_divide(s, F.sqrt(spread)).alias("z")).withColumn("p", normal_two_sided(F.col("z")))
+
+
+def hsic(values: DataFrame) -> DataFrame:
+    """One row (n, hsic) for ``values`` (id, x, y): biased statistic, Gaussian kernels as wide as the median distance.
+
+    Pairs of one group are compared, so the group's size bounds the work; ids are distinct.
+    """
+    a, b = values.select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1")), values.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    gaps = a.join(b, F.col("i") < F.col("j")).select(F.abs(F.col("x1") - F.col("x2")).alias("dx"), F.abs(F.col("y1") - F.col("y2")).alias("dy"))
+    width = gaps.agg(F.percentile("dx", F.lit(0.5)).alias("bx"), F.percentile("dy", F.lit(0.5)).alias("by"))
+    kernel = lambda d, w: F.exp(-d * d / (2 * F.col(w) * F.col(w)))
+    k = gaps.join(F.broadcast(width)).select(kernel(F.col("dx"), "bx").alias("kx"), kernel(F.col("dy"), "by").alias("ky"))
+    both = a.join(b, F.col("i") != F.col("j")).join(F.broadcast(width)).select("i", kernel(F.col("x1") - F.col("x2"), "bx").alias("kx"), kernel(F.col("y1") - F.col("y2"), "by").alias("ky"))
+    rows = both.groupBy("i").agg((F.sum("kx") + 1).alias("rx"), (F.sum("ky") + 1).alias("ry"))
+    # a pair with itself has kernel 1; the mean of the centred product follows from rows and totals
+    of_rows = rows.agg(F.count("*").alias("n"), F.sum(F.col("rx") * F.col("ry")).alias("rr"), F.sum("rx").alias("tx"), F.sum("ry").alias("ty"))
+    one = of_rows.join(k.agg((2 * F.sum(F.col("kx") * F.col("ky"))).alias("kk")))
+    n = F.col("n").cast("double")
+    return one.select("n", ((F.col("kk") + n) / (n * n) - 2 * F.col("rr") / (n * n * n) + F.col("tx") * F.col("ty") / (n * n * n * n)).alias("hsic"))
+
+
+def partial_given(df: DataFrame, by: list[str], x: str, y: str, given: list[str]) -> DataFrame:
+    """(by, n, r, partial): r of x and y and of what a plane on all columns ``given`` leaves of both, by recursion over these."""
+    names = [x, y, *given]
+    whole = df
+    for c in names:
+        whole = whole.where(F.col(c).isNotNull())
+    pair = lambda a, b: f"r_{min(names.index(a), names.index(b))}_{max(names.index(a), names.index(b))}"
+    r = whole.groupBy(*by).agg(F.count("*").alias("n"), *[pearson_of(a, b).alias(pair(a, b)) for i, a in enumerate(names) for b in names[i + 1 :]])
+
+    def left(a, b, over):
+        if not over:
+            return F.col(pair(a, b))
+        z, rest = over[-1], over[:-1]
+        ab, az, bz = left(a, b, rest), left(a, z, rest), left(b, z, rest)
+        free = (1 - az * az) * (1 - bz * bz)
+        return F.try_divide(ab - az * bz, F.sqrt(F.when(free > 0, free)))
+
+    return r.select(*by, "n", F.col(pair(x, y)).alias("r"), left(x, y, given).alias("partial"))
+
+
 def distance_correlation(values: DataFrame, key: str = "id") -> DataFrame:
     """One row (n, dcor): root of the distance covariance over the root of both distance variances."""
     a, b = values.select(F.col(key).alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1")), values.select(F.col(key).alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))

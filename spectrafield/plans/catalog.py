@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import oracle
+from . import inference, oracle
 from . import queries as q
 
 
 def queries() -> dict:
-    return q.queries()
+    return q.queries() | inference.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return oracle.oracle_sql() | inference.oracle_sql()
