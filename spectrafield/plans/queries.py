@@ -132,7 +132,7 @@ def significance_labels(spark, d):
 
 def category_ladder(spark, d):
     r = stats.pearson(feature_pairs(spark, d), ["date", "feature", "element"])
-    df = r.select("date", "feature", "element", ("r2").alias("r2"), F.when(F.col("date") != "N", (F.abs("r"))).alias("p"))
+    df = r.select("date", "feature", "element", "r2", F.when(F.col("date") != "N", F.abs("r")).alias("p"))
     return df.withColumn("category", stats.category(F.col("r2"), F.col("p")))
 
 
