@@ -106,6 +106,8 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, to
     dealt = F.when(whole, 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
     out = rows.join(F.broadcast(first), keys, "left").withColumn("_dealt", dealt)
     rest = table.where(~heavy).select(*keys, F.lit(0).cast("long").alias("_dealt"), F.struct(*values).alias("_cold"))
+    # without this the table's own partitioning by its keys would be taken over, and the dealing lost
+    rest = rest.repartition(*keys, "_dealt")
     out = out.join(rest, [*keys, "_dealt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return out.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])
 
