@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,3 +148,49 @@ def shape_features(values: Column, wavelengths: list[float]) -> dict[str, Column
         "water_depth": edges - F.array_min(water),
         "nir_vis_ratio": F.try_divide(trapezoid(infrared, step), trapezoid(visible, step)),
     }
+
+
+def continuum_removed(values: Column, wavelengths: list[float]) -> Column:
+    """Spectra over the line through the corners of their convex hull, upper and lower ones.
+
+    A band is a corner if every slope towards it from the left is above, or every one below,
+    all slopes from it to the right. Where the line is 0 the value stays; so do
+    straight spectra and those with missing or non-finite values or of another length.
+    """
+    w = np.array(wavelengths)
+    n = len(w)
+    gaps = w[None, :] - w[:, None] + np.eye(n)
+    left, right = np.tril(np.ones((n, n), bool), -1).T, np.triu(np.ones((n, n), bool), 1)
+
+    def one(v: np.ndarray) -> np.ndarray:
+        slope = (v[None, :] - v[:, None]) / gaps  # from the row's band to the column's
+        low, high = np.where(left, slope, np.inf).min(0), np.where(left, slope, -np.inf).max(0)
+        least, most = np.where(right, slope, np.inf).min(1), np.where(right, slope, -np.inf).max(1)
+        corner = (low > most) | (high < least)
+        corner[[0, -1]] = True
+        if corner.sum() == 2:
+            return v
+        line = np.interp(w, w[corner], v[corner])
+        return v / np.where(line == 0, 1.0, line)
+
+    @F.pandas_udf("array<double>")
+    def removed(spectra: pd.Series) -> pd.Series:
+        def safe(v):
+            if v is None:
+                return None
+            v = np.asarray(v, float)
+            return one(v) if len(v) == n and np.isfinite(v).all() else v
+
+        return spectra.map(safe)
+
+    usable = (F.size(values) == n) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(usable, removed(values)).otherwise(values)  # Arrow would turn a NaN into a null
+
+
+def chlorophyll_depth(values: Column, wavelengths: list[float]) -> Column:
+    """(depth, relative) of the absorption at 680 nm under the line from 550 to 750 nm."""
+    at = lambda x: int(np.argmin(np.abs(np.array(wavelengths) - x)))
+    a, b, c = at(550), at(680), at(750)
+    part = (680.0 - wavelengths[a]) / (wavelengths[c] - wavelengths[a])
+    line = values[a] + (values[c] - values[a]) * part
+    return F.struct((line - values[b]).alias("depth"), ((line - values[b]) / (line + 1e-8)).alias("relative"))

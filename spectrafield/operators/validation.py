@@ -6,6 +6,8 @@ totals less the fold's own sums: one grouped pass serves all folds.
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,3 +50,45 @@ def permutation_test(points: DataFrame, key: str, x: str, y: str, permutations:
     observed = rows.agg(F.count("*").alias("n"), r2().alias("r2"))
     drawn = shuffled.groupBy("p").agg(r2().alias("drawn"))
     return drawn.join(F.broadcast(observed)).groupBy("n", "r2").agg(F.count("*").alias("n_permutations"), F.avg((F.col("drawn") >= F.col("r2")).cast("double")).alias("p"))
+
+
+def permutation_targets(points: DataFrame, key: str, target: str, x: str, y: str, permutations: int = 199) -> DataFrame:
+    """(target, n, r2, n_permutations, p) for long targets, each dealt anew on its own.
+
+    p is (1 + permutations that reach the observed r2) / (1 + permutations), so
+    it is never 0. A target's permutation is one group.
+    """
+    rows = points.select(F.col(target).alias(target), F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
+    copies = rows.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    group = Window.partitionBy(target, "p")
+    drawn_at = hash_number(F.col("k").cast("string"), F.col("p").cast("string"), F.col(target))
+    placed = copies.select(target, "p", "x", "y", F.row_number().over(group.orderBy("k")).alias("i"), F.row_number().over(group.orderBy(drawn_at, "k")).alias("j"))
+    shuffled = placed.select(target, "p", "i", "x").join(placed.select(target, "p", F.col("j").alias("i"), "y"), [target, "p", "i"])
+    r2 = F.round(F.pow(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), 2), 9)
+    observed = rows.groupBy(target).agg(F.count("*").alias("n"), r2.alias("r2"))
+    drawn = shuffled.groupBy(target, "p").agg(r2.alias("drawn"))
+    reached = F.sum((F.col("drawn") >= F.col("r2")).cast("int"))
+    return drawn.join(observed, target).groupBy(target, "n", "r2").agg(F.count("*").alias("n_permutations"), ((reached + 1) / (F.count("*") + 1.0)).alias("p"))
+
+
+def with_noise(df: DataFrame, by: list[str], keys: list[str], value: str, share: float = 0.02) -> DataFrame:
+    """``df`` and ``noisy``: the value plus normal noise of ``share`` of its deviation within ``by``.
+
+    The noise follows from a hash of the keys, so that a lost task draws the same again.
+    """
+    spread = df.groupBy(*by).agg(F.stddev_pop(value).alias("_s"))
+    even = lambda tag: (hash_number(*[F.col(k).cast("string") for k in keys], F.lit(tag)) + 0.5) / 4294967296.0
+    normal = F.sqrt(F.lit(-2.0) * F.log(even("u"))) * F.cos(F.lit(2.0) * F.pi() * even("v"))
+    return df.join(spread, by).select(*df.columns, (F.col(value) + F.lit(share) * F.col("_s") * normal).alias("noisy"))
+
+
+def spatial_folds(points: DataFrame, key: str, x: str = "x", y: str = "y", folds: int = 5, seed: int = 42) -> DataFrame:
+    """(key, fold, holdout): folds are clusters of neighbouring points; the one farthest from the points' centre is the holdout."""
+    rows = points.select(F.col(key), F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    placed = rows.select("*", F.col("_x").cast("double").alias("a"), F.col("_y").cast("double").alias("b"))
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="at").transform(placed)
+    model = KMeans(k=folds, seed=seed, featuresCol="at", predictionCol="fold").fit(vectors)
+    middle = rows.agg(F.avg("_x").alias("mx"), F.avg("_y").alias("my")).first()
+    centres = model.clusterCenters()
+    far = max(range(len(centres)), key=lambda i: (centres[i][0] - middle["mx"]) ** 2 + (centres[i][1] - middle["my"]) ** 2)
+    return model.transform(vectors).select(key, "fold", (F.col("fold") == far).alias("holdout"))

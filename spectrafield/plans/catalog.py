@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import inference, oracle
+from . import inference, multivariate, oracle
 from . import queries as q
 
 
 def queries() -> dict:
-    return q.queries() | inference.queries()
+    return q.queries() | inference.queries() | multivariate.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql() | inference.oracle_sql()
+    return oracle.oracle_sql() | inference.oracle_sql() | multivariate.oracle_sql()
