@@ -43,3 +43,15 @@ def correlation_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation of n pairs: t with n - 2 degrees of freedom; 0 where |r| is 1."""
     left = 1 - r * r
     return F.when(n < 3, None).when(left <= 0, F.lit(0.0)).otherwise(t_two_sided(r * F.sqrt((n - 2) / left), (n - 2).cast("long")))
+
+
+def normal_below(z: Column) -> Column:
+    """P(Z <= z)."""
+    return F.when(z < 0, normal_two_sided(z) / 2).otherwise(1 - normal_two_sided(z) / 2)
+
+
+def normal_quantile(p: Column) -> Column:
+    """z of P(Z <= z) = p, by Newton's steps from 0, which never pass the root; p is kept within 1e-10 of 0 and 1."""
+    near = F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), p))
+    step = lambda z, _: z + (near - normal_below(z)) * F.exp(z * z / 2) * math.sqrt(2 * math.pi)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.lit(0.0), step)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -167,3 +169,45 @@ def overlapping_tiles(height: int, width: int, tile: int, overlap: int, spark) -
 def pass_statistics(passes: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n_passes, mean, std): predictions of several passes over the same pixels."""
     return passes.groupBy(*by).agg(F.count(value).alias("n_passes"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def circle_samples(radius: float, points: int) -> list[tuple[int, int, int, float]]:
+    """(point, row step, column step, weight): the pixels around each place of a circle, weighted by nearness."""
+    found = []
+    for p in range(points):
+        r, c = round(-radius * math.sin(2 * math.pi * p / points), 5), round(radius * math.cos(2 * math.pi * p / points), 5)
+        r0, c0 = math.floor(r), math.floor(c)
+        for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            weight = (1 - abs(r - r0 - dr)) * (1 - abs(c - c0 - dc))
+            if weight > 0:
+                found.append((p, r0 + dr, c0 + dc, weight))
+    return found
+
+
+def binary_patterns(pixels: DataFrame, value: str, size: int = 32, radius: float = 2, points: int = 16, bins: int = 8) -> DataFrame:
+    """(tile_r, tile_c, bin, density): histogram of uniform local binary patterns of each tile.
+
+    A pixel's pattern tells which places of the circle are at least as bright;
+    with two changes or fewer along it the pattern is their number, else
+    points + 1. Outside a tile, and where pixels are missing, it is dark (0).
+    """
+    samples = circle_samples(radius, points)
+    pad = math.ceil(radius) + 1
+
+    def step(key, table):
+        r0, c0 = (k.as_py() * size for k in key)
+        i, j = table.column("row").to_numpy() - r0 + pad, table.column("col").to_numpy() - c0 + pad
+        grid = np.zeros((size + 2 * pad,) * 2)
+        grid[i, j] = np.nan_to_num(table.column("value").to_numpy(zero_copy_only=False))
+        ring = np.zeros((points, len(i)))
+        for p, dr, dc, weight in samples:
+            ring[p] += weight * grid[i + dr, j + dc]
+        bright = ring - grid[i, j] >= -1e-9
+        changes = (bright[1:] != bright[:-1]).sum(0)
+        code = np.where(changes <= 2, bright.sum(0), points + 1)
+        counts = np.bincount(code * bins // (points + 2), minlength=bins)
+        n = bins
+        return pa.table({"tile_r": pa.array([key[0].as_py()] * n, pa.int32()), "tile_c": pa.array([key[1].as_py()] * n, pa.int32()), "bin": pa.array(range(n), pa.int32()), "density": counts * bins / (len(i) * (points + 2))})
+
+    dealt = tiles(pixels.select("row", "col", F.col(value).cast("double").alias("value")), size)
+    return dealt.groupBy("tile_r", "tile_c").applyInArrow(step, "tile_r int, tile_c int, bin int, density double")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import spectra
 from ..operators import multivariate as mv
-from ..operators import validation
+from ..operators import raster, validation
 from ..sources import tables as src
-from . import oracle
+from . import inference, oracle
 
 
 def _spectral(spark, d):
@@ -88,8 +90,18 @@ def spatial_folds(spark, d):
     return validation.spatial_folds(src.sites(spark, d), "site")
 
 
+def bootstrap_interval(spark, d):
+    """Interval of the R2 of the ridge outside buffers."""
+    return validation.bootstrap_r2(inference.ridge_two(spark, d).withColumn("model", F.lit("ridge")), "site", "v", "predicted", ["model"])
+
+
+def binary_patterns(spark, d):
+    px = src.raster(spark, d).select("row", "col", F.least(F.lit(63), F.floor(F.col("b4") / 0.005 * 63)).cast("int").alias("level"))
+    return raster.binary_patterns(px, "level", 32)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (vip, pls_predictions, spa_bands, pca_components, canonical, mutual_information, mi_ranking, continuum, chlorophyll, noisy_spectra, permutation_targets, spatial_folds)}
+    return {f.__name__: f for f in (bootstrap_interval, binary_patterns, vip, pls_predictions, spa_bands, pca_components, canonical, mutual_information, mi_ranking, continuum, chlorophyll, noisy_spectra, permutation_targets, spatial_folds)}
 
 
 #: Two latent components by their scores, step by step.
@@ -100,6 +112,16 @@ LATENT = oracle.LONG + """, z as (select point_id, band, (v - avg(v) over (parti
  t2 as (select point_id, sum(z * w) t from z2 join w2 using (band) group by 1), q2 as (select sum(y * t) / sum(t * t) q, sum(t * t) tt from t2 join ty using (point_id))"""
 
 
+def _circle():
+    """Places of 16 points on a circle of radius 2, each between four pixels."""
+    for p in range(16):
+        r, c = round(-2 * math.sin(math.pi * p / 8), 5), round(2 * math.cos(math.pi * p / 8), 5)
+        fr, fc = r - math.floor(r), c - math.floor(c)
+        for dr, wr in ((0, 1 - fr), (1, fr)):
+            for dc, wc in ((0, 1 - fc), (1, fc)):
+                yield p, math.floor(r) + dr, math.floor(c) + dc, wr * wc
+
+
 def oracle_sql() -> dict[str, str]:
     h = oracle._hash
     even = lambda tag: "((" + h(f"point_id::varchar || '.' || band::varchar || '.{tag}'") + ") + 0.5::double) / 4294967296.0::double"
@@ -112,7 +134,25 @@ def oracle_sql() -> dict[str, str]:
  mi as (select feature, target, count(*) n, greatest(0, {psi('count(*)')} + {psi('5')} - avg(pa + pb)) mi from (select *, {psi('na')} pa, {psi('nb')} pb from ct) group by 1, 2)"""
     gram = ", g as (select a.band i, b.band j, sum(a.v * b.v) g from raw a join raw b using (point_id) group by 1, 2)"
     step = lambda n, chosen: f", g{n + 1} as (select a.i, a.j, a.g - b.g * c.g / d.g g from g{n or ''} a join g{n or ''} b on b.i = a.i and b.j = (select band from c{n}) join g{n or ''} c on c.i = a.j and c.j = (select band from c{n}) join g{n or ''} d on d.i = (select band from c{n}) and d.j = d.i), c{n + 1} as (select i band from g{n + 1} where i = j and i not in ({chosen}) order by g desc, i limit 1)"
+    density = lambda x: f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi())"
+    below = lambda z: f"(0.5::double + {inference._simpson(density('@'), z, 2000)})"
+    bound = lambda tail: f"{below(f'(z + (z + ({tail})) / (1 - acceleration * (z + ({tail}))))')} * 1999"
+    at = lambda x: f"b[floor({x})::int + 1] + ({x} - floor({x})) * (b[least(floor({x})::int + 2, 2000)] - b[floor({x})::int + 1])"
+    circle = ", ".join(f"({p}, {dr}, {dc}, {w!r}::double)" for p, dr, dc, w in _circle())
     return {
+        "bootstrap_interval": f"""with recursive rg as ({inference.oracle_sql()["ridge_two"]}), d as (select v y, predicted p, row_number() over (order by site) - 1 i, count(*) over () n from rg where predicted is not null),
+ r as (select count(*) n, 1 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)) r2 from d, (select avg(y) m from d)),
+ jr as (select o.i, count(*) n, avg(d.y) m from d o join d on d.i <> o.i group by 1), jk as (select o.i, 1 - sum((d.y - d.p) * (d.y - d.p)) / sum((d.y - o.m) * (d.y - o.m)) j from jr o join d on d.i <> o.i group by 1),
+ ac as (select sum(power(m - j, 3)) / (6 * power(sum((m - j) * (m - j)), 1.5) + 1e-12) acceleration from jk, (select avg(j) m from jk)),
+ dr as (select k draw, t.y, t.p from (select unnest(range(1, 2001)) k) cross join d s join d t on t.i = {h("k::varchar || '.' || s.i::varchar")} % s.n) , bo as (select draw, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) b from dr group by 1),
+ ba as (select list_sort(list(b)) b, count(*) filter (b < r2 - 1e-12) / 2000.0::double as below from bo, r),
+ nw(k, z) as (select 0, 0.0::double union all select k + 1, z + (below - {below('z')}) / ({density('z')}) from nw, ba where k < 12), f as (select n, r2, below, acceleration, b, z from r, ac, ba, nw where k = 12),
+ bn as (select *, {bound('-1.9599639845400536::double')} lo, {bound('1.9599639845400536::double')} hi from f) select 'ridge' model, n, r2, below, acceleration, {at('lo')} low, {at('hi')} high from bn""",
+        "binary_patterns": f"""with {oracle.PIXELS}, lv as (select row, col, row // 32 tr, col // 32 tc, least(63, floor(b4 / 0.005 * 63))::int l from px), o(p, dr, dc, w) as (values {circle}),
+ ri as (select a.tr, a.tc, a.row, a.col, p, sum(w * coalesce(b.l, 0)) - max(a.l) >= -1e-9 bright from lv a cross join o left join lv b on b.row = a.row + dr and b.col = a.col + dc and b.tr = a.tr and b.tc = a.tc group by 1, 2, 3, 4, 5),
+ nx as (select *, lead(bright) over (partition by row, col order by p) after from ri), co as (select tr, tc, row, col, case when count(*) filter (bright <> after) <= 2 then count(*) filter (bright) else 17 end code from nx group by 1, 2, 3, 4),
+ n as (select tr, tc, count(*) n from co group by 1, 2), c as (select tr, tc, floor(code / 2.25)::int bin, count(*) k from co group by 1, 2, 3)
+ select n.tr::int tile_r, n.tc::int tile_c, i::int bin, coalesce(k, 0) / (n * 2.25::double) density from n cross join (select unnest(range(0, 8)) i) left join c on c.tr = n.tr and c.tc = n.tc and c.bin = i""",
         "vip": f"with {LATENT}, o as (select w1.band::int band, sqrt(64 * (q1.q * q1.q * q1.tt * w1.w * w1.w + q2.q * q2.q * q2.tt * w2.w * w2.w) / (q1.q * q1.q * q1.tt + q2.q * q2.q * q2.tt)) vip from w1 join w2 using (band), q1, q2) select *, vip >= 1 selected from o",
         "pls_predictions": f"with {LATENT} select point_id, target, (select avg(target) from spec) + (select stddev_pop(target) from spec) * (q1.q * t1.t + q2.q * t2.t) predicted from spec join t1 using (point_id) join t2 using (point_id), q1, q2",
         "spa_bands": f"with {oracle.LONG}{gram}, c0 as (select band from raw group by 1 order by var_pop(v) desc, band limit 1){step(0, 'select band from c0')}{step(1, 'select band from c0 union all select band from c1')} select 1 as rank, band::int band from c0 union all select 2, band::int from c1 union all select 3, band::int from c2",

@@ -2,9 +2,9 @@
 
 import numpy as np
 from pyspark.sql import functions as F
-from spectrafield.functions import spectra
+from spectrafield.functions import distributions, spectra
 from spectrafield.operators import multivariate as mv
-from spectrafield.operators import validation
+from spectrafield.operators import raster, validation
 
 
 def frame(spark, x):
@@ -67,3 +67,25 @@ def test_spatial_folds(spark):
     got = validation.spatial_folds(spark.createDataFrame(rows, "id int, x double, y double"), "id").collect()
     assert len(got) == 61 and {r["fold"] for r in got} == set(range(5))
     assert [r["id"] for r in got if r["holdout"]] == [60]
+
+
+def test_bootstrap_of_few_and_of_a_constant(spark):
+    rows = [("few", i, float(i), i + 0.5) for i in range(4)] + [("flat", i, 1.0, 1.0 + i) for i in range(8)] + [("good", i, float(i), i + (-1.0) ** i) for i in range(30)] + [("one", 0, 1.0, 2.0)] + [("good", 90, None, 1.0), ("good", 91, 1.0, float("nan"))]
+    got = {r["g"]: r for r in validation.bootstrap_r2(spark.createDataFrame(rows, "g string, i int, y double, p double"), "i", "y", "p", ["g"], 300).collect()}
+    assert got["few"]["low"] is None and got["few"]["r2"] is not None and got["flat"]["r2"] is None
+    assert got["one"]["n"] == 1 and got["one"]["low"] is None
+    assert got["good"]["n"] == 30 and got["good"]["low"] < got["good"]["r2"] < got["good"]["high"]
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    ps = [1e-10, 1e-4, 0.3, 0.5, 0.975, 1 - 1e-9]
+    rows = spark.createDataFrame([(p,) for p in ps], "p double").select("p", distributions.normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(abs(r["z"] - NormalDist().inv_cdf(r["p"])) < 1e-6 for r in rows)
+
+
+def test_binary_patterns_of_a_flat_tile(spark):
+    px = spark.createDataFrame([(r, c, 7) for r in range(8) for c in range(8)], "row int, col int, v int")
+    got = raster.binary_patterns(px, "v", 8).orderBy("bin").collect()
+    assert abs(sum(r["density"] for r in got) * 18 / 8 - 1) < 1e-12 and got[7]["density"] >= 16 / 64 * 8 / 18
