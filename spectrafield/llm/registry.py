@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, fingerprints, language, lines, mixing, packing, scoring, sharding, shingles
+from . import chat, embeddings, fingerprints, language, lines, mixing, oracle, packing, scoring, sharding, shingles
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()

@@ -281,4 +281,4 @@ def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
 def op6_jaccard(spark, sf_dir):
     """Near-duplicate classes of all documents by word shingles."""
-    return jaccard_join(load(spark, sf_dir, "documents"))
+    return jaccard_join(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
