@@ -194,3 +194,41 @@ def chlorophyll_depth(values: Column, wavelengths: list[float]) -> Column:
     part = (680.0 - wavelengths[a]) / (wavelengths[c] - wavelengths[a])
     line = values[a] + (values[c] - values[a]) * part
     return F.struct((line - values[b]).alias("depth"), ((line - values[b]) / (line + 1e-8)).alias("relative"))
+
+
+def wavelet_kernel(scale: int, fine: int = 1024, reach: float = 8.0) -> np.ndarray:
+    """Weights of the bands at -8 ``scale`` .. 8 ``scale`` around a place, for the Mexican hat stretched by ``scale``.
+
+    The wavelet is integrated on ``fine`` points and read at ``scale`` of them a
+    unit; differences of the integral, over the root of the scale, are the weights.
+    """
+    x = np.linspace(-reach, reach, fine)
+    step = x[1] - x[0]
+    integral = np.cumsum(2 / np.sqrt(3) / np.pi**0.25 * (1 - x**2) * np.exp(-(x**2) / 2)) * step
+    at = np.floor(np.arange(scale * 2 * reach + 1) / (scale * step)).astype(int)
+    read = integral[np.minimum(at, fine - 1)]
+    return np.sqrt(scale) * np.diff(np.concatenate(([0.0], read, [0.0])))[::-1]
+
+
+def wavelet_features(values: Column, scales: tuple[int, ...] = tuple(range(2, 32, 2))) -> Column:
+    """Array of (scale, abs_mean, most, least) of a spectrum's wavelet coefficients, taken as 0 beyond its ends.
+
+    NULL spectra, and those that are empty or have missing or non-finite values, give NULL.
+    """
+
+    @F.pandas_udf("array<struct<scale: int, abs_mean: double, most: double, least: double>>")
+    def features(spectra: pd.Series) -> pd.Series:
+        kernels = [(s, wavelet_kernel(s)) for s in scales]
+
+        def one(v):
+            if v is None or not len(v) or not np.isfinite(v := np.asarray(v, float)).all():
+                return None
+            out = []
+            for s, k in kernels:
+                c = np.convolve(v, k)[8 * s : 8 * s + len(v)]
+                out.append({"scale": s, "abs_mean": float(np.abs(c).mean()), "most": float(c.max()), "least": float(c.min())})
+            return out
+
+        return spectra.map(one)
+
+    return features(values)

@@ -211,3 +211,35 @@ def binary_patterns(pixels: DataFrame, value: str, size: int = 32, radius: float
 
     dealt = tiles(pixels.select("row", "col", F.col(value).cast("double").alias("value")), size)
     return dealt.groupBy("tile_r", "tile_c").applyInArrow(step, "tile_r int, tile_c int, bin int, density double")
+
+
+def wave_kernel(frequency: float, angle: float, sigma: float = 2.0) -> np.ndarray:
+    """A plane wave under a round bell of deviation ``sigma``, cut at three deviations along the axes turned by ``angle``."""
+    reach = [math.ceil(max(abs(3 * sigma * math.cos(angle)), abs(3 * sigma * math.sin(angle)), 1))] * 2
+    y, x = np.mgrid[-reach[0] : reach[0] + 1, -reach[1] : reach[1] + 1]
+    along = x * math.cos(angle) + y * math.sin(angle)
+    return np.exp(-(x**2 + y**2) / (2 * sigma**2)) / (2 * math.pi * sigma**2) * np.exp(2j * math.pi * frequency * along)
+
+
+def wave_energy(pixels: DataFrame, value: str, size: int = 32, frequencies: tuple[float, ...] = (0.1, 0.25, 0.4), angles: int = 4) -> DataFrame:
+    """(tile_r, tile_c, frequency, angle, mean, std): energy of a bank of Gabor filters over each tile.
+
+    Angles are given as their number of ``angles`` steps to a half turn. Tiles are
+    mirrored at their edges; missing pixels are 0.
+    """
+
+    def step(key, table):
+        r0, c0 = (k.as_py() * size for k in key)
+        grid = np.zeros((size, size))
+        grid[table.column("row").to_numpy() - r0, table.column("col").to_numpy() - c0] = np.nan_to_num(table.column("value").to_numpy(zero_copy_only=False))
+        rows = []
+        for f in frequencies:
+            for a in range(angles):
+                kernel = wave_kernel(f, math.pi * a / angles)
+                views = np.lib.stride_tricks.sliding_window_view(np.pad(grid, len(kernel) // 2, "symmetric"), kernel.shape)
+                energy = np.abs(np.einsum("rcij,ij->rc", views, kernel))
+                rows.append({"tile_r": key[0].as_py(), "tile_c": key[1].as_py(), "frequency": f, "angle": a, "mean": energy.mean(), "std": energy.std()})
+        return pa.Table.from_pylist(rows, pa.schema([("tile_r", pa.int32()), ("tile_c", pa.int32()), ("frequency", pa.float64()), ("angle", pa.int32()), ("mean", pa.float64()), ("std", pa.float64())]))
+
+    dealt = tiles(pixels.select("row", "col", F.col(value).cast("double").alias("value")), size)
+    return dealt.groupBy("tile_r", "tile_c").applyInArrow(step, "tile_r int, tile_c int, frequency double, angle int, mean double, std double")
