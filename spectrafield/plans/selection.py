@@ -12,8 +12,8 @@ from . import formulas, oracle
 W = src.WAVELENGTHS
 
 
-def _parts(spark, d, values, frame=src.spectra, key="point_id"):
-    return selection.parted_moments(frame(spark, d), values, validation.fold_of(key))
+def _parts(spark, d, values):
+    return selection.parted_moments(src.spectra(spark, d), values, validation.fold_of("point_id"))
 
 
 def cars_bands(spark, d):
@@ -29,10 +29,12 @@ def cars_spa_bands(spark, d):
 
 
 def sparse_links(spark, d):
-    """Bands and targets that depend on each other given all others."""
-    names = ["b", "g", "r", "e", "size", "price"]
-    found = selection.sparse_partial_correlations(_parts(spark, d, F.array(*names), src.band_points))
-    return spark.createDataFrame([(names[i], names[j], p) for i, j, p in found], "node_a string, node_b string, partial double")
+    """Of bands, two indices and the target: what depends on each other given all others."""
+    e, r = F.col("e"), F.col("r")
+    named = {"b": F.col("b"), "g": F.col("g"), "r": r, "e": e, "normalised": F.try_divide(e - r, e + r), "ratio": F.try_divide(e, r), "size": F.col("size")}
+    parts = selection.parted_moments(src.band_points(spark, d), F.array(*named.values()), validation.fold_of("point_id"))
+    names = list(named)
+    return spark.createDataFrame([(names[i], names[j], p) for i, j, p in selection.sparse_partial_correlations(parts)], "node_a string, node_b string, partial double")
 
 
 def wavelet_rows(spark, d):
@@ -76,10 +78,10 @@ def oracle_sql() -> dict[str, str]:
     kinds = [*formulas.NARROW, "rep"]
     listed = " union all ".join(f"select point_id, '{k}_' || (390 + 10 * band)::int || 'nm' feature, v as value from {t} where band % 5 = 0" for k, t in (("raw", "ra"), ("snv", "sn"), ("deriv1", "de"), ("deriv1_snv", "ds")))
     return {
-        "wavelet_rows": f"""with {oracle.LONG}, hat as (select k, sum(2 / sqrt(3) / power(pi(), 0.25) * (1 - x * x) * exp(-x * x / 2)) over (order by k) * 16.0::double / 1023 integral from (select k, -8 + 16.0::double * k / 1023 x from (select unnest(range(0, 1024)) k))),
- sc as (select unnest(range(2, 32, 2)) scale), ts as (select scale, unnest(range(0, 16 * scale + 1)) t from sc), rd as (select scale, t, integral from ts join hat on hat.k = least(1023, floor(t / (scale * 16.0::double / 1023) + 1e-12)::int)),
- ke as (select s.scale, 16 * s.scale + 1 - s.t t, sqrt(s.scale) * (coalesce(b.integral, 0) - coalesce(a.integral, 0)) w from (select scale, unnest(range(0, 16 * scale + 2)) t from sc) s left join rd b on b.scale = s.scale and b.t = s.t left join rd a on a.scale = s.scale and a.t = s.t - 1),
- we as (select sc.scale, o, band, w from sc cross join (select unnest(range(0, 64)) o) cross join (select unnest(range(0, 64)) band) join ke on ke.scale = sc.scale and ke.t = o + 8 * sc.scale - band),
+        "wavelet_rows": f"""with {oracle.LONG}, hat as materialized (select k, sum(2 / sqrt(3) / power(pi(), 0.25) * (1 - x * x) * exp(-x * x / 2)) over (order by k) * 16.0::double / 1023 integral from (select k, -8 + 16.0::double * k / 1023 x from (select unnest(range(0, 1024)) k))),
+ sc as (select unnest(range(2, 32, 2)) scale), ts as (select scale, unnest(range(0, 16 * scale + 1)) t from sc), rd as materialized (select scale, t, integral from ts join hat on hat.k = least(1023, floor(t / (scale * 16.0::double / 1023) + 1e-12)::int)),
+ ke as materialized (select s.scale, 16 * s.scale + 1 - s.t t, sqrt(s.scale) * (coalesce(b.integral, 0) - coalesce(a.integral, 0)) w from (select scale, unnest(range(0, 16 * scale + 2)) t from sc) s left join rd b on b.scale = s.scale and b.t = s.t left join rd a on a.scale = s.scale and a.t = s.t - 1),
+ we as materialized (select sc.scale, o, band, w from sc cross join (select unnest(range(0, 64)) o) cross join (select unnest(range(0, 64)) band) join ke on ke.scale = sc.scale and ke.t = o + 8 * sc.scale - band),
  co as (select point_id, scale, o, sum(v * w) c from raw join we using (band) group by 1, 2, 3)
  select point_id, scale::int scale, avg(abs(c)) abs_mean, max(c) most, min(c) least from co group by 1, 2""",
         "wave_textures": f"""with {oracle.PIXELS}, lv as (select row // 32 tr, col // 32 tc, row % 32 r, col % 32 c, least(63, floor(b4 / 0.005 * 63))::double l from px where b4 > 0), ti as (select distinct row // 32 tr, col // 32 tc from px),
