@@ -84,6 +84,18 @@ MAPPINGS = (
 SCALARS = r": (?:STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|VARIANT|DECIMAL\(\d+,\d+\))(?=[,>])"
 
 
+#: Characters from which a record's shape is told without its texts: JSON readers bound the strings they read.
+LONG = 10_000_000
+#: What records are read with: strings of any length, and an error instead of nulls where one cannot be read.
+READER = {"maxStringLen": str(2**31 - 1), "mode": "FAILFAST"}
+
+
+def without_values(record: Column) -> Column:
+    """The record with all its strings empty but the names of fields; escapes inside names are lost."""
+    plain = F.regexp_replace(record, r"(?s)\\(?:u[0-9a-fA-F]{4}|.)", "")
+    return F.regexp_replace(plain, r'"(?:([^"]*+)(?="\s*+:))?+[^"]*+"', r'"$1"')
+
+
 def field_paths(record: Column) -> Column:
     """Nested field paths of a JSON object as one string, ``OBJECT<a, b: ARRAY<OBJECT<c>>>``; null for all else.
 
@@ -91,7 +103,10 @@ def field_paths(record: Column) -> Column:
     united; fields count also where their value is null. A string is a string,
     whatever its text looks like.
     """
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    long = F.length(record) > LONG
+    shape = F.schema_of_variant(F.try_parse_json(F.when(long, without_values(record)).otherwise(record)))
+    unread = F.raise_error(F.lit("a JSON object of over ten million characters has a shape that cannot be told"))
+    shape = F.when(long & shape.isNull() & F.substring(F.ltrim(record), 1, 1).eqNullSafe("{"), unread).otherwise(shape)
     return F.when(shape.startswith("OBJECT<"), F.regexp_replace(shape, SCALARS, ""))
 
 
@@ -124,7 +139,9 @@ def _fingerprints_of(m: Mapping) -> list[Column]:
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """Add ``layout`` and ``turns`` (array of role and text) read from the JSON column ``record``.
 
-    Records whose fingerprint no mapping has get layout and turns null. Roles
+    Records whose fingerprint no mapping has get layout and turns null; a record
+    of a known layout that cannot be read is an error. Texts may have any
+    length that Spark's strings have. Roles
     stay as they are, but where a layout has names of its own for them; null
     roles and texts are empty. Repeated records are mapped one by one; other
     columns stay, and columns named like the new ones are replaced.
@@ -133,7 +150,7 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     out = records.drop("layout", "turns").withColumn("_print", schema_fingerprint(F.col(record)))
     for m in MAPPINGS:
         same = print_.isin(*_fingerprints_of(m))
-        out = out.withColumn("r", F.when(same, F.from_json(record, m.schema)))
+        out = out.withColumn("r", F.when(same, F.from_json(record, m.schema, READER)))
         layout = F.when(same, F.lit(m.name)).otherwise(layout)
         out = out.withColumn(f"_t_{m.name}", F.expr(m.turns)).drop("r")
         turns = F.when(same, F.col(f"_t_{m.name}")).otherwise(turns)

@@ -1,6 +1,6 @@
 """Document fingerprints: canonical exact digests.
 
-A text is put into NFC, lower case and single spaces, and hashed to 128 bits
+A text is put into NFC, folded case and single spaces, and hashed to 128 bits
 by two seeded xxHash64. Texts with one hash form a bucket; inside a bucket the
 canonical bytes are compared with those of the bucket's first member, and a
 text that differs (a collision) gets a fingerprint with its exact digest added.
@@ -18,15 +18,21 @@ from .common import Staging, load, width
 SEED = 0x5EED
 
 
+def _icu(kind: str, method: str, text: Column) -> Column:
+    return F.java_method(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, F.lit(kind.startswith("lang")))
+
+
 def canonical(text: Column) -> Column:
-    """NFC, lower case, runs of Unicode white space as one space, none at the ends.
+    """NFC, full case folding, NFC again, runs of Unicode white space as one space, none at the ends.
 
-    Pure ASCII needs no normaliser. The normaliser is ICU's, which Spark ships,
-    called by the SQL function ``java_method``.
+    Pure ASCII needs neither normaliser nor folding beyond A-Z. Both are ICU's,
+    which Spark ships, called by the SQL function ``java_method``. Folding is
+    the default one, alike for every language: a dotted capital I becomes i and
+    a combining dot.
     """
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    normal = F.when(F.octet_length(text) == F.length(text), text).otherwise(composed)
-    return F.trim(F.regexp_replace(F.lower(normal), r"(?U)\s+", " "))
+    folded = _icu("text.Normalizer", "compose", _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "compose", text)))
+    normal = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(folded)
+    return F.trim(F.regexp_replace(normal, r"(?U)\s+", " "))
 
 
 def wide_hash(canon: Column) -> Column:
@@ -139,16 +145,17 @@ def op9_fingerprints(spark, sf_dir):
         F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
     )
     rows = rows.withColumn("ce", canonical(F.col("edited")))
+    digests = {"f": "c", "fe": "ce", "fn": "cn"}
     out = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint_of(F.col("c")).alias("f"),
-        F.sha2("c", 256).alias("x"), fingerprint_of(F.col("ce")).alias("fe"), F.sha2("ce", 256).alias("xe"),
-        (F.col("c") == F.col("ce")).cast("double").alias("near_edited"), (F.col("c") == F.col("cn")).cast("double").alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        *[fingerprint_of(F.col(c)).alias(f) for f, c in digests.items()], *[F.sha2(c, 256).alias(f"{f}_exact") for f, c in digests.items()],
     )
-    own = odd.select(F.col("f").alias("f1"), F.col("exact").alias("x1"), F.col("odd").alias("o1"))
-    other = odd.select(F.col("f").alias("f2"), F.col("exact").alias("x2"), F.col("odd").alias("o2"))
-    out = out.join(own, (out.f == own.f1) & (out.x == own.x1), "left").join(other, (out.fe == other.f2) & (out.xe == other.x2), "left")
-    mark = lambda o, f, x: F.when(F.col(o), F.concat(F.col(f), F.lit("-"), F.col(x))).otherwise(F.col(f))
+    for f in digests:  # a collision is told apart by its exact digest; there are next to none
+        own = odd.select(F.col("f").alias("_f"), F.col("exact").alias("_x"), "odd")
+        out = out.join(own, (F.col(f) == F.col("_f")) & (F.col(f"{f}_exact") == F.col("_x")), "left")
+        out = out.withColumn(f, F.when(F.col("odd"), F.concat(f, F.lit("-"), f"{f}_exact")).otherwise(F.col(f))).drop("_f", "_x", "odd")
+    near = lambda other: (F.col("f") == F.col(other)).cast("double")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", mark("o1", "f", "x").alias("fingerprint"),
-        mark("o2", "fe", "xe").alias("edited_fingerprint"), "near_edited", "near_next",
+        "doc_id", "n_chars", "edited_sha256", F.col("f").alias("fingerprint"), F.col("fe").alias("edited_fingerprint"),
+        near("fe").alias("near_edited"), near("fn").alias("near_next"),
     )

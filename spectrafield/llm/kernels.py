@@ -11,7 +11,8 @@ _U = np.uint64
 # An odd 64-bit multiplier and the finaliser constants of a public-domain 64-bit mixer.
 POWER = 0x9E3779B97F4A7C15
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-_INVERSE = pow(POWER, -1, 1 << 64)
+#: Blocks of eight bytes that are hashed at once.
+BLOCKS_AT_ONCE = 1 << 18
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -42,24 +43,6 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_powers: dict[int, np.ndarray] = {}
-#: Powers of a base that are kept for the next call: more are made when a longer text needs them, and dropped again.
-POWERS_KEPT = 1 << 20
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is not None and len(have) >= n:
-        return have[:n]
-    steps = np.full(max(POWERS_KEPT, n), base, dtype=_U)
-    steps[0] = 1
-    made = np.multiply.accumulate(steps)
-    if len(made) == POWERS_KEPT:
-        _powers[base] = made
-    return made[:n]
-
-
 def slices(batch: pa.RecordBatch, column: int, most: int):
     """Parts of a batch with about ``most`` bytes of text each, one row at least."""
     sizes = np.cumsum(np.diff(utf8(batch.column(column))[1]))
@@ -89,15 +72,36 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: a polynomial modulo 2**64, scrambled with the length."""
-    n = len(data)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: blocks of eight bytes, each mixed with its place, summed and mixed with the length.
+
+    Mixing is not linear in the bytes, so that no family of texts cancels out;
+    hashes of two seeds are 128 bits.
+    """
+    lengths = ends - starts
+    out = np.zeros(len(starts), _U)
     if not len(starts):
-        return np.zeros(0, _U)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * powers(POWER, n), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(_INVERSE, n + 1)[starts]
-    return mix(h + (ends - starts).astype(_U) * _U(MIX_B))
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    blocks = (lengths + 7) >> 3
+    cum = np.concatenate(([0], np.cumsum(blocks)))
+    key = mix(np.array([seed + 1], _U))[0]
+    for low in range(0, int(cum[-1]), BLOCKS_AT_ONCE):
+        high = min(low + BLOCKS_AT_ONCE, int(cum[-1]))
+        first, last = np.searchsorted(cum, low, side="right") - 1, np.searchsorted(cum, high, side="left") - 1
+        part = np.minimum(cum[first + 1 : last + 2], high) - np.maximum(cum[first : last + 1], low)
+        owner = np.repeat(np.arange(first, last + 1), part)
+        k = np.arange(low, high) - cum[owner]
+        x = eights[starts[owner] + 8 * k]
+        rest = lengths[owner] - 8 * k
+        short = np.flatnonzero(rest < 8)
+        x[short] &= (_U(1) << (rest[short].astype(_U) << _U(3))) - _U(1)
+        place = k.astype(_U) * _U(POWER)
+        x = mix(x ^ (place + key)) * ((place << _U(1)) | _U(1))
+        sums = np.concatenate(([0], np.cumsum(part)))[:-1][part > 0]
+        out[np.arange(first, last + 1)[part > 0]] += np.add.reduceat(x, sums)
+    return mix(out + lengths.astype(_U) * _U(MIX_B) + key)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -120,7 +124,6 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            _powers.clear()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
