@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import ship
 
@@ -117,6 +118,33 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def running(rows: DataFrame, key: str, order: list, totals: dict[str, tuple[str, str]], staging: Staging) -> DataFrame:
+    """``rows`` with running totals within each ``key`` along ``order``, the row itself included.
+
+    totals: name -> (column, ``sum`` or ``xor``). Rows are dealt by ranges of
+    key and order, so that one key may hold any share of them: a part sums its
+    own rows, and the few keys that cross from part to part, two a part at
+    most, carry on by a broadcast of what the parts before hold. Rows that are
+    equal in key and order are split only if ``order`` tells them apart.
+    """
+    kinds = {"sum": F.sum, "xor": F.bit_xor}
+    dealt = staging.table(rows.repartitionByRange(width(rows.sparkSession), key, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *[kinds[how](c).over(inside).alias(f"_in_{name}") for name, (c, how) in totals.items()])
+    edges = dealt.groupBy("_part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    crossing = edges.select(F.explode(F.array("low", "high")).alias(key)).distinct()
+    parts = dealt.join(F.broadcast(crossing), key, "left_semi").groupBy(key, "_part").agg(*[kinds[how](c).alias(name) for name, (c, how) in totals.items()])
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(key, "_part", *[F.coalesce(kinds[how](name).over(earlier), F.lit(0)).alias(f"_to_{name}") for name, (_, how) in totals.items()])
+    out = out.join(F.broadcast(before), [key, "_part"], "left")
+
+    def whole(name: str, how: str):
+        there = F.coalesce(F.col(f"_to_{name}"), F.lit(0))
+        return (F.col(f"_in_{name}") + there if how == "sum" else F.col(f"_in_{name}").bitwiseXOR(there)).alias(name)
+
+    return out.select(*rows.columns, *[whole(name, how) for name, (_, how) in totals.items()])
+
+
 def components(edges: DataFrame, staging: Staging, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, fingerprints, language, lines, mixing, oracle, packing, scoring, sharding, shingles
+from . import chat, embeddings, fingerprints, language, lines, mixing, oracle, packing, scoring, sharding, shingles, trie, variants, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_scoring": scoring.op8_scoring,
         "op9_fingerprints": fingerprints.op9_fingerprints,
         "op10_mixing": mixing.op10_mixing,
+        "op11_warc": warc.op11_warc,
+        "op12_variants": variants.op12_variants,
+        "op13_trie": trie.op13_trie,
     }
 
 
