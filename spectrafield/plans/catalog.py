@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import inference, multivariate, oracle, selection
+from . import forests, inference, multivariate, oracle, selection
 from . import queries as q
 
 
 def queries() -> dict:
-    return q.queries() | inference.queries() | multivariate.queries() | selection.queries()
+    return q.queries() | inference.queries() | multivariate.queries() | selection.queries() | forests.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql() | inference.oracle_sql() | multivariate.oracle_sql() | selection.oracle_sql()
+    return oracle.oracle_sql() | inference.oracle_sql() | multivariate.oracle_sql() | selection.oracle_sql() | forests.oracle_sql()
