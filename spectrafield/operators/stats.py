@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distributions import normal_two_sided
+from . import ordered
 
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
@@ -45,21 +46,9 @@ def spearman(paired: DataFrame, by: list[str], min_samples: int = 10) -> DataFra
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson_of("x", "y").alias("rho")).where(F.col("n") >= min_samples)
 
 
-def kendall(values: DataFrame, key: str = "id") -> DataFrame:
-    """One row (n_pairs, tau) for ``values`` (id, x, y), tau-b.
-
-    Pairs of one group are compared, so the group's size bounds the work; keys are distinct.
-    """
-    a, b = values.select(F.col(key).alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1")), values.select(F.col(key).alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    both = a.join(b, F.col("i") < F.col("j"))
-    dx, dy = F.signum(F.col("x2") - F.col("x1")), F.signum(F.col("y2") - F.col("y1"))
-    out = both.agg(F.count("*").alias("n_pairs"), F.sum(dx * dy).alias("s"), F.sum(dx * dx).alias("nx"), F.sum(dy * dy).alias("ny"))
-    return out.select("n_pairs", F.try_divide("s", F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
-
-
 def kendall_p(values: DataFrame) -> DataFrame:
     """(n_pairs, tau, z, p) for ``values`` (id, x, y): two-sided, by the normal limit with ties in either column."""
-    tau = kendall(values)
+    tau = ordered.kendall(values)
 
     def ties(c):
         k = F.col("k")
@@ -113,19 +102,6 @@ def partial_given(df: DataFrame, by: list[str], x: str, y: str, given: list[str]
     return r.select(*by, "n", F.col(pair(x, y)).alias("r"), left(x, y, given).alias("partial"))
 
 
-def distance_correlation(values: DataFrame, key: str = "id") -> DataFrame:
-    """One row (n, dcor): root of the distance covariance over the root of both distance variances."""
-    a, b = values.select(F.col(key).alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1")), values.select(F.col(key).alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dist = a.crossJoin(b).select("i", "j", F.abs(F.col("x1") - F.col("x2")).alias("dx"), F.abs(F.col("y1") - F.col("y2")).alias("dy"))
-    row = dist.groupBy("i").agg(F.avg("dx").alias("mx"), F.avg("dy").alias("my"))
-    grand = row.agg(F.avg("mx").alias("gx"), F.avg("my").alias("gy"))
-    # distances are symmetric: row means are column means
-    centred = dist.join(row, "i").join(row.select(F.col("i").alias("j"), F.col("mx").alias("cx"), F.col("my").alias("cy")), "j").join(F.broadcast(grand))
-    ax, ay = F.col("dx") - F.col("mx") - F.col("cx") + F.col("gx"), F.col("dy") - F.col("my") - F.col("cy") + F.col("gy")
-    out = centred.agg(F.countDistinct("i").alias("n"), F.avg(ax * ay).alias("c"), F.avg(ax * ax).alias("vx"), F.avg(ay * ay).alias("vy"))
-    return out.select("n", F.sqrt(F.greatest(F.lit(0.0), F.try_divide("c", F.sqrt(F.col("vx") * F.col("vy"))))).alias("dcor"))
-
-
 def significance_label(p: Column, alpha: float = 0.05) -> Column:
     return F.when(p < alpha / 50, "***").when(p < alpha / 5, "**").when(p < alpha, "*").otherwise("")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indices, spectra
-from ..operators import raster, spatial, stats, validation
+from ..operators import ordered, raster, spatial, stats, validation
 from ..sources import tables as src
 
 W = src.WAVELENGTHS
@@ -92,11 +92,11 @@ def _site_values(spark, d):
 
 
 def kendall_tau(spark, d):
-    return stats.kendall(_site_values(spark, d))
+    return ordered.kendall(_site_values(spark, d))
 
 
 def distance_correlation(spark, d):
-    return stats.distance_correlation(_site_values(spark, d))
+    return ordered.distance_correlation(_site_values(spark, d))
 
 
 def correlogram(spark, d):
