@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def band_stats(pixels: DataFrame, bands: list[str]) -> DataFrame:
     """(band, n, p2, p98) over valid pixels (> 0)."""
     long = pixels.unpivot([], bands, "band", "value").where("value > 0")
-    q = long.groupBy("band").agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.02), F.lit(0.98))).alias("q"))
-    return q.select("band", "n", F.col("q")[0].alias("p2"), F.col("q")[1].alias("p98"))
+    return exact_quantiles(long, ["band"], "value", [0.02, 0.98]).select("band", "n", F.col("q")[0].alias("p2"), F.col("q")[1].alias("p98"))
 
 
 def normalised(pixels: DataFrame, bands: list[str]) -> DataFrame:
@@ -152,18 +153,20 @@ def map_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n, min, mean, max, std, p5, p95) over finite values."""
     fine = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     out = fine.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.stddev_pop(value).alias("std"), F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("q")
+        F.count("*").alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.stddev_pop(value).alias("std")
     )
+    out = out.join(exact_quantiles(fine, by, value, [0.05, 0.95]).drop("n"), by)
     return out.select(*by, "n", "least", "mean", "most", "std", F.col("q")[0].alias("p5"), F.col("q")[1].alias("p95"))
 
 
-def overlapping_tiles(height: int, width: int, tile: int, overlap: int, spark) -> DataFrame:
-    """(row, col): upper left corners of tiles; the last of a line is moved inside the raster."""
-    def starts(size: int) -> Column:
-        last = max(size - tile, 0)
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(last + tile - overlap - 1), F.lit(tile - overlap)), lambda s: F.least(s, F.lit(last))))
+def overlapping_tiles(pixels: DataFrame, tile: int, overlap: int) -> DataFrame:
+    """(row, col): upper left corners of tiles over the extent of ``pixels``; the last of a line is moved inside the raster."""
+    def starts(size: Column) -> Column:
+        last = F.greatest(size - tile, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last + (tile - overlap - 1), F.lit(tile - overlap)), lambda s: F.least(s, last)))
 
-    return spark.range(1).select(F.explode(starts(height)).alias("row"), F.lit(1).alias("one")).select("row", F.explode(starts(width)).alias("col"))
+    extent = pixels.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")).where("h is not null")
+    return extent.select(F.explode(starts(F.col("h"))).alias("row"), "w").select("row", F.explode(starts(F.col("w"))).alias("col"))
 
 
 def pass_statistics(passes: DataFrame, by: list[str], value: str) -> DataFrame:

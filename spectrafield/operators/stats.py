@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.distributions import normal_two_sided
 from . import ordered
+from .quantiles import exact_quantiles
 
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
@@ -70,7 +71,8 @@ def hsic(values: DataFrame) -> DataFrame:
     """
     a, b = values.select(F.col("id").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1")), values.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     gaps = a.join(b, F.col("i") < F.col("j")).select(F.abs(F.col("x1") - F.col("x2")).alias("dx"), F.abs(F.col("y1") - F.col("y2")).alias("dy"))
-    width = gaps.agg(F.percentile("dx", F.lit(0.5)).alias("bx"), F.percentile("dy", F.lit(0.5)).alias("by"))
+    middle = lambda c, name: exact_quantiles(gaps, [], c, [0.5]).select(F.col("q")[0].alias(name))
+    width = middle("dx", "bx").join(middle("dy", "by"))
     kernel = lambda d, w: F.exp(-d * d / (2 * F.col(w) * F.col(w)))
     k = gaps.join(F.broadcast(width)).select(kernel(F.col("dx"), "bx").alias("kx"), kernel(F.col("dy"), "by").alias("ky"))
     both = a.join(b, F.col("i") != F.col("j")).join(F.broadcast(width)).select("i", kernel(F.col("x1") - F.col("x2"), "bx").alias("kx"), kernel(F.col("y1") - F.col("y2"), "by").alias("ky"))
@@ -111,9 +113,10 @@ def star_ladder(p: Column) -> Column:
 
 
 def category(r2: Column, p: Column) -> Column:
-    """Rank ladder; without a p-value the category is unknown."""
+    """Rank ladder: what is not significant has no strength; without a p-value nothing is significant."""
+    sure = F.coalesce(p < 0.05, F.lit(False)) & ~F.coalesce(F.isnan(p), F.lit(False))
     return (
-        F.when(p.isNull() | F.isnan(p), "unknown").when(p >= 0.05, "not significant").when(r2 > 0.5, "strong").when(r2 > 0.2, "moderate").when(r2 > 0, "weak").otherwise("none")
+        F.when(r2.isNull() | F.isnan(r2), "unknown").when(sure & (r2 > 0.5), "strong").when(sure & (r2 > 0.2), "moderate").when(sure & (r2 > 0), "weak").when(r2 > 0, "not significant").otherwise("no signal")
     )
 
 
@@ -125,7 +128,7 @@ def top_n(df: DataFrame, by: list[str], value: str, tie: str, n: int) -> DataFra
 
 def without_outliers(df: DataFrame, by: list[str], value: str, width: float = 3.0) -> DataFrame:
     """Rows within ``width`` interquartile ranges of the quartiles, where these differ."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    q = exact_quantiles(df, by, value, [0.25, 0.75]).withColumnRenamed("q", "_q").drop("n")
     joined = df.join(q, by)
     low, high = F.col("_q")[0], F.col("_q")[1]
     fine = (high - low <= 0) | F.col(value).between(low - width * (high - low), high + width * (high - low))
@@ -133,11 +136,13 @@ def without_outliers(df: DataFrame, by: list[str], value: str, width: float = 3.
 
 
 def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """(by, n, r2, rmse, mae, rpd, rpiq) in one pass; fewer than three rows give NULL."""
+    """(by, n, r2, rmse, mae, rpd, rpiq) ; fewer than three rows give NULL."""
     e = F.col(y) - F.col(p)
     sums = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(e * e).alias("sse"), F.var_pop(y).alias("v"), F.avg(F.abs(e)).alias("mae"), F.percentile(y, F.array(F.lit(0.25), F.lit(0.75))).alias("q")
+        F.count("*").alias("n"), F.sum(e * e).alias("sse"), F.var_pop(y).alias("v"), F.avg(F.abs(e)).alias("mae")
     )
+    quartiles = exact_quantiles(df, by, y, [0.25, 0.75]).drop("n")
+    sums = sums.join(quartiles, by, "left") if by else sums.join(F.broadcast(quartiles), how="left")
     rmse = F.sqrt(F.col("sse") / F.col("n"))
     enough = lambda c: F.when(F.col("n") >= 3, c)
     return sums.select(

@@ -105,7 +105,9 @@ def raster_window(spark, d):
 
 
 def wavelength_map(spark, d):
-    return readers.wavelength_map(spark, q.W).where("wavelength between 350 and 1100")
+    """Channels that spectra have, numbered from 1, and their wavelengths."""
+    places = src.spectra(spark, d).select(F.explode(F.sequence(F.lit(1), F.size("spectrum"))).alias("channel")).groupBy("channel").agg(F.count("*").alias("n_spectra"))
+    return readers.wavelength_map(spark, q.W).where("wavelength between 350 and 1100").join(places, "channel")
 
 
 def parsed_channels(spark, d):
@@ -204,8 +206,10 @@ def oracle_sql() -> dict[str, str]:
     corr = oracle._corr
     first = lambda a, b, z: f"(({a}{b} - {a}{z} * {b}{z}) / sqrt((1 - {a}{z} * {a}{z}) * (1 - {b}{z} * {b}{z})))"
     win = lambda h: oracle._window(h)
+    ladder = "case when r2 is null then 'unknown' when p < 0.05 and r2 > 0.5 then 'strong' when p < 0.05 and r2 > 0.2 then 'moderate' when p < 0.05 and r2 > 0 then 'weak' when r2 > 0 then 'not significant' else 'no signal' end category"
     return {
         "pearson_p": f"with {oracle.PEARSON}, {pear} select * from pq",
+        "category_ladder": f"with {oracle.PEARSON}, {pear}, q as (select date, feature, element, r*r r2, p from pq) select *, {ladder} from q",
         "spearman_p": f"with {sq} select * from sq",
         "correlation_profile": f"with {oracle.PEARSON}, {pear}, {sq} select pq.date, pq.feature, pq.element, pq.n, r, pq.p pearson_p, rho, sq.p spearman_p, case when pq.p < 0.001 then '***' when pq.p < 0.01 then '**' when pq.p < 0.05 then '*' else '' end as label from pq join sq using (date, feature, element)",
         "kendall_p": f"""with {oracle.SITES}, c as (select count(*) n_pairs, sum(sign(b.v-a.v)*sign(b.u-a.u)) s, sum(abs(sign(b.v-a.v))) nx, sum(abs(sign(b.u-a.u))) ny from sites a join sites b on a.site < b.site),
@@ -231,7 +235,7 @@ def oracle_sql() -> dict[str, str]:
  l as (unpivot e on contrast, dissimilarity, homogeneity, asm, energy, correlation into name property value x) select tr::int tile_r, tc::int tile_c, property, avg(x) mean, stddev_pop(x) std from l group by 1, 2, 3""",
         "clamped_windows": f"with {oracle.PIXELS}, {oracle.SITES}, s as (select site, least(greatest(floor(x / 2)::int - 3, 0), 93) r0, least(greatest((site % 128)::int - 3, 0), 121) c0 from sites) select site, count(b2) filter (b2 > 0) n, avg(b2) filter (b2 > 0) mean, stddev_pop(b2) filter (b2 > 0) std, min(b2) filter (b2 > 0) least, max(b2) filter (b2 > 0) most from s join px on row between r0 and r0 + 6 and col between c0 and c0 + 6 group by 1",
         "raster_window": f"with {oracle.PIXELS} select * from px where row between 5 and 20 and col between 30 and 60",
-        "wavelength_map": "select i::int channel, 380.0::double + 10 * i wavelength from (select unnest(range(1, 65)) i)",
+        "wavelength_map": "select i::int channel, 380.0::double + 10 * i wavelength, count(*) n_spectra from (select unnest(range(1, len(embedding) + 1)) i from embeddings) group by 1, 2",
         "parsed_channels": "with s as (select p_partkey, case when p_partkey % 3 = 0 then p_brand else lpad(p_partkey::varchar, 8, '9') end stem from part) select p_partkey, stem, case when regexp_full_match(stem, '[0-9]+') then substr(stem, 4)::int end channel from s",
         "last_set_wins": f"with {oracle.OBS}, l as (select point_id, channel, value, row_number() over (partition by point_id, channel order by set_id desc, value desc) k from obs where channel <= 5) select point_id, " + ", ".join(f"max(value) filter (channel = {i}) {n}" for i, n in enumerate(("blue", "green", "red", "edge", "nir"), 1)) + " from l where k = 1 group by 1",
         "valid_bands": f"with {oracle.OBS} select point_id, count(*) filter (value <> 0) valid, count(*) filter (value = 0) missing, count(distinct channel) filter (value <> 0) bands from obs group by 1",

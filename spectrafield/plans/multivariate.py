@@ -83,7 +83,7 @@ def noisy_spectra(spark, d):
 
 def permutation_targets(spark, d):
     s = src.sites(spark, d).unpivot(["site", "u"], ["v", "x", "y"], "target", "value")
-    return validation.permutation_targets(s, "site", "target", "u", "value", 99)
+    return validation.permutation_targets(s, "site", "target", "u", "value", 199)
 
 
 def spatial_folds(spark, d):
@@ -170,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
  select point_id, band::int band, case when corners = 2 or line = 0 then v else v / line end as value from i""",
         "chlorophyll": f"with {oracle.LONG}, b as (select point_id, max(v) filter (band = 16) a, max(v) filter (band = 29) m, max(v) filter (band = 36) c from raw group by 1), l as (select point_id, m, a + (c - a) * (130 / 200.0::double) line from b) select point_id, line - m depth, (line - m) / (line + 1e-8) as relative from l",
         "noisy_spectra": f"with {oracle.LONG} select point_id, band::int band, v as value, v + 0.02::double * stddev_pop(v) over (partition by band) * sqrt(-2 * ln({even('u')})) * cos(2 * pi() * {even('v')}) noisy from raw",
-        "permutation_targets": f"""with {oracle.SITES}, l as (select site, u, unnest(['v', 'x', 'y']) target, unnest([v, x, y]) y from sites), r as (select unnest(range(1, 100)) p),
+        "permutation_targets": f"""with {oracle.SITES}, l as (select site, u, unnest(['v', 'x', 'y']) target, unnest([v, x, y]) y from sites), r as (select unnest(range(1, 200)) p),
  e as (select target, p, site, u, y, row_number() over (partition by target, p order by site) i, row_number() over (partition by target, p order by {h("site::varchar || '.' || p::varchar || '.' || target")}, site) j from l, r),
  s as (select a.target, a.p, round(power(corr(a.u, b.y), 2), 9) r from e a join e b on a.target = b.target and a.p = b.p and a.i = b.j group by 1, 2), o as (select target, count(*) n, round(power(corr(u, y), 2), 9) r2 from l group by 1)
  select target, n, r2, count(*) n_permutations, (count(*) filter (s.r >= r2) + 1) / (count(*) + 1.0::double) p from s join o using (target) group by 1, 2, 3""",

@@ -132,7 +132,7 @@ def oracle_sql() -> dict[str, str]:
         "ms_indices_tier3": _tier(3),
         "ms_indices_eps_family": f"with {POINTS} select point_id, date, " + ", ".join(f"{_clip(f, 10)} {k}" for k, f in formulas.PADDED.items()) + " from pts",
         "ms_indices_channels": f"with {POINTS} select point_id, date, " + ", ".join(f"{_clip(f, 5)} {k}" for k, f in formulas.CHANNELS.items()) + " from pts",
-        "index_catalogue": "select * from (values " + ", ".join(f"('{k}', {tier})" for tier, fs in formulas.EXACT.items() for k in fs) + ") t(name, tier)",
+        "index_catalogue": f"with {POINTS}, c as (select * from pts) " + " union all ".join(f"select '{k}' name, {tier} tier, count(case when isfinite({f}) then 1 end) n_valid from c" for tier, fs in formulas.EXACT.items() for k, f in fs.items()),
         "hyper_indices_all": _narrow(),
         "snv_rows": f"with {SNV} select point_id, band::int band, ((v - m) / case when sd = 0 then 1 else sd end) as value from raw join st using (point_id)",
         "snv_eps_rows": f"with {SNV} select point_id, band::int band, ((v - m) / (sd + 1e-10)) as value from raw join st using (point_id)",
@@ -152,13 +152,12 @@ def oracle_sql() -> dict[str, str]:
         "best_index_per_element": f"with {PEARSON}, q as (select date, feature, element, round(r, 6) r from pe) select date, element, feature, r from q qualify row_number() over (partition by date, element order by abs(r) desc, feature desc) = 1",
         "corr_heatmap_pivot": f"with {PEARSON}, q as (select feature, date, (max(r) filter (element = 'price')) price, (max(r) filter (element = 'size')) as size from pe group by 1, 2) select *, greatest(abs(price), abs(size)) strongest from q",
         "significance_labels": "select l_discount p, count(*) n, case when l_discount < 0.05/50 then '***' when l_discount < 0.05/5 then '**' when l_discount < 0.05 then '*' else '' end as label, case when l_discount < 0.001 then '***' when l_discount < 0.01 then '**' when l_discount < 0.05 then '*' else 'ns' end stars from lineitem group by l_discount",
-        "category_ladder": f"with {PEARSON}, q as (select date, feature, element, r*r r2, case when date <> 'N' then abs(r) end p from pe) select *, case when p is null then 'unknown' when p >= 0.05 then 'not significant' when r2 > 0.5 then 'strong' when r2 > 0.2 then 'moderate' when r2 > 0 then 'weak' else 'none' end category from q",
         "iqr_outlier_filter": "with q as (select l_returnflag, quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.75) q3 from lineitem group by 1) select l_returnflag, count(*) n, min(l_extendedprice) least, max(l_extendedprice) most from lineitem join q using (l_returnflag) where q3 - q1 <= 0 or l_extendedprice between q1 - 0.5*(q3-q1) and q3 + 0.5*(q3-q1) group by 1",
         "zscore_features": f"with {POINTS} select point_id, date, (case when stddev_pop(r) over (partition by date) > 0 then (r - avg(r) over (partition by date)) / stddev_pop(r) over (partition by date) else 0 end) z from pts",
         "constant_feature_filter": f"with {POINTS}, l as (" + " union all ".join(f"select '{c}' feature, {c} as value from pts" for c in "bgren") + " union all select 'fixed', 1.0 from pts) select feature, count(*) n, stddev_pop(value) std from l group by 1 having stddev_pop(value) > 1e-8",
         "median_impute": f"with {POINTS}, q as (select point_id, date, case when n_obs > 3 then r end as value from pts) select point_id, date, coalesce(value, median(value) over (partition by date), 0) as value from q",
         "semivariogram": f"with {PAIRS}, f as (select median(d) far from pr where d > 0), b as (select ceil(round(d / (far / 12), 9))::int lag, d, (v1-v2)*(v1-v2) sq from pr, f where s1 < s2 and d > 0 and d <= far) select lag, avg(d) distance, avg(sq) / 2 gamma, count(*) n_pairs from b group by 1 having count(*) >= 2",
-        "variogram_models_eval": "with h as (select unnest(range(0, 61)) * 5.0::double h) select h, (case when h < 120 then 0.1 + 0.9 * (1.5*h/120 - 0.5*(h/120)*(h/120)*(h/120)) else 1.0 end) spherical, (0.1 + 0.9 * (1 - exp(-3*h/120))) exponential, (0.1 + 0.9 * (1 - exp(-3*(h/120)*(h/120)))) gaussian from h",
+        "variogram_models_eval": f"with h as (select lag, distance h from (with {PAIRS}, f as (select median(d) far from pr where d > 0), b as (select ceil(round(d / (far / 12), 9))::int lag, d, (v1-v2)*(v1-v2) sq from pr, f where s1 < s2 and d > 0 and d <= far) select lag, avg(d) distance, avg(sq) / 2 gamma, count(*) n_pairs from b group by 1 having count(*) >= 2)) select lag, h, (case when h < 120 then 0.1 + 0.9 * (1.5*h/120 - 0.5*(h/120)*(h/120)*(h/120)) else 1.0 end) spherical, (0.1 + 0.9 * (1 - exp(-3*h/120))) exponential, (0.1 + 0.9 * (1 - exp(-3*(h/120)*(h/120)))) gaussian from h",
         "morans_i": f"""with {PAIRS}, nn as (select s1 i, s2 j from pr qualify row_number() over (partition by s1 order by d, s2) <= 4), ed as (select i, j from nn union select j, i from nn), ce as (select site, v - avg(v) over () z from sites),
  t as (select sum(a.z*b.z) top, count(*)::double s0 from ed join ce a on a.site = i join ce b on b.site = j), w as (select sum(4.0 * k * k) s2 from (select i, count(*)::double k from ed group by 1)), n as (select count(*)::double n, sum(z*z) below from ce),
  r as (select n, s0, n * top / (s0 * below) moran, -1/(n-1) expected, (n*n*2*s0 - n*s2 + 3*s0*s0) / ((n*n-1)*s0*s0) - 1/((n-1)*(n-1)) va from t, w, n) select n::bigint n, s0, moran moran, expected expected, (case when va > 0 then (moran - expected) / sqrt(va) end) z from r""",
@@ -193,11 +192,11 @@ def oracle_sql() -> dict[str, str]:
         "target_scaler": f"with {POINTS}, s as (select date, count(e) filter (n_obs > 3) n, avg(e) filter (n_obs > 3) m, stddev_pop(e) filter (n_obs > 3) sd from pts group by 1) select date, n, coalesce(m, 0) mean, (case when sd > 0 then sd else 1 end) std from s",
         "mean_target_top20": f"with {LONG}, t as (select point_id, (max(target) + avg(v)) / 2 y from raw group by 1), g as (select band::int band, round({_corr('v', 'y')}, 6) r from raw join t using (point_id) group by 1) select band, r from g order by abs(r) desc, band limit 20",
         "inflation_summary": f"with {LINE}, e as (select radius, v y, predicted p from ln), q as (select radius, 1 - sum((y-p)*(y-p)) / nullif(var_pop(y) * count(*), 0) r2 from e group by 1), g as (select (b.r2 - q.r2) inflation from q, q b where q.radius > 0 and b.radius = 0) select median(inflation) middle, max(inflation) most, count(*) filter (inflation > 0.01) n_over from g",
-        "kfold_line": f"with {POINTS}, f as (select {FOLD} fold, b x, e y from pts where date = 'N'), l as (select k.fold, regr_slope(y, x) a, regr_intercept(y, x) b from (select distinct fold from f) k join f on f.fold <> k.fold group by 1), pd as (select f.fold, y, a * x + b p from f join l using (fold)) select fold, {METRICS} from pd group by 1",
+        "kfold_line": f"with {POINTS}, f as (select {FOLD} fold, b x, e y from pts), l as (select k.fold, regr_slope(y, x) a, regr_intercept(y, x) b from (select distinct fold from f) k join f on f.fold <> k.fold group by 1), pd as (select f.fold, y, a * x + b p from f join l using (fold)) select fold, {METRICS} from pd group by 1",
         "kfold_line_dates": f"with {POINTS}, f as (select date, {FOLD} fold, b x, e y from pts), l as (select k.date, k.fold, regr_slope(y, x) a, regr_intercept(y, x) b from (select distinct date, fold from f) k join f on f.date = k.date and f.fold <> k.fold group by 1, 2), pd as (select f.date, f.fold, y, a * x + b p from f join l using (date, fold)) select date, fold, {METRICS} from pd group by 1, 2",
         "group_folds": f"with {POINTS} select {FOLD} fold, count(*) n, count(distinct point_id) points from pts group by 1",
-        "permutation_test": f"with {SITES}, c as (select site, u x, v y, unnest(range(1, 100)) p from sites), o as (select p, x, y, row_number() over (partition by p order by site) i, row_number() over (partition by p order by " + _hash("site::varchar || '.' || p::varchar") + f", site) j from c), w as (select a.p, round(power({_corr('a.x', 'b.y')}, 2), 9) drawn from o a join o b on a.p = b.p and a.i = b.j group by 1), ob as (select count(*) n, round(power({_corr('u', 'v')}, 2), 9) r2 from sites) select n, r2, count(*) n_permutations, avg((drawn >= r2)::int) p from w, ob group by n, r2",
-        "overlapping_tiles": "with a as (select distinct least(s, 744)::int as row from (select unnest(range(0, 937, 192)) s)), b as (select distinct least(s, 444)::int as col from (select unnest(range(0, 637, 192)) s)) select row, col from a, b",
+        "permutation_test": f"with {SITES}, c as (select site, u x, v y, unnest(range(1, 200)) p from sites), o as (select p, x, y, row_number() over (partition by p order by site) i, row_number() over (partition by p order by " + _hash("site::varchar || '.' || p::varchar") + f", site) j from c), w as (select a.p, round(power({_corr('a.x', 'b.y')}, 2), 9) drawn from o a join o b on a.p = b.p and a.i = b.j group by 1), ob as (select count(*) n, round(power({_corr('u', 'v')}, 2), 9) r2 from sites) select n, r2, count(*) n_permutations, avg((drawn >= r2)::int) p from w, ob group by n, r2",
+        "overlapping_tiles": f"with {PIXELS}, x as (select greatest(max(row) + 1 - 64, 0) h, greatest(max(col) + 1 - 64, 0) w from px), a as (select distinct least(s, h)::int as row from x, (select unnest(range(0, 1000000, 48)) s) where s < h + 48), b as (select distinct least(s, w)::int as col from x, (select unnest(range(0, 10000, 48)) s) where s < w + 48) select row, col from a, b",
         "pass_statistics": f"with {PIXELS}, ps as (select row, col, b4 * (1 + 0.1::double * k) as value from px, (select unnest(range(0, 3)) k) where b4 <> 0) select row, col, count(*) n_passes, avg(value) mean, stddev_pop(value) std from ps group by 1, 2",
     }
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import indices, spectra
+from ..functions import distributions, indices, spectra
 from ..operators import ordered, raster, spatial, stats, validation
 from ..sources import tables as src
 
@@ -49,7 +49,11 @@ def ms_indices_channels(spark, d):
 
 
 def index_catalogue(spark, d):
-    return spark.createDataFrame([(i.name, i.tier) for i in indices.registry()], "name string, tier int")
+    """Every index with its tier and how many points have a value."""
+    df = indices.with_indices(src.band_points(spark, d), (1, 2, 3))
+    counts = df.agg(*[F.count(i.name).alias(i.name) for i in indices.registry()])
+    tiers = F.create_map(*[x for i in indices.registry() for x in (F.lit(i.name), F.lit(i.tier))])
+    return counts.unpivot([], [i.name for i in indices.registry()], "name", "n_valid").withColumn("tier", tiers[F.col("name")])
 
 
 def hyper_indices_all(spark, d):
@@ -132,7 +136,7 @@ def significance_labels(spark, d):
 
 def category_ladder(spark, d):
     r = stats.pearson(feature_pairs(spark, d), ["date", "feature", "element"])
-    df = r.select("date", "feature", "element", "r2", F.when(F.col("date") != "N", F.abs("r")).alias("p"))
+    df = r.select("date", "feature", "element", "r2", distributions.correlation_p(F.col("r"), F.col("n")).alias("p"))
     return df.withColumn("category", stats.category(F.col("r2"), F.col("p")))
 
 
@@ -164,8 +168,9 @@ def semivariogram(spark, d):
 
 
 def variogram_models_eval(spark, d):
-    h = spark.range(0, 61).select((F.col("id") * 5.0).alias("h"))
-    return h.select("h", *[spatial.variogram_value(m, F.col("h"), 0.1, 1.0, 120.0).alias(m) for m in MODELS])
+    """Three models at the lags of the sites' variogram."""
+    h = spatial.semivariogram(src.sites(spark, d)).select("lag", F.col("distance").alias("h"))
+    return h.select("lag", "h", *[spatial.variogram_value(m, F.col("h"), 0.1, 1.0, 120.0).alias(m) for m in MODELS])
 
 
 def morans_i(spark, d):
@@ -329,8 +334,8 @@ def inflation_summary(spark, d):
 
 
 def kfold_line(spark, d):
-    df = src.band_points(spark, d).where("date = 'N'")
-    p = validation.kfold_line(df, "point_id", "b", "e")
+    """One line over all dates; all dates of a point fall into one fold."""
+    p = validation.kfold_line(src.band_points(spark, d), "point_id", "b", "e")
     return stats.regression_metrics(p, ["fold"], "y", "predicted").select("fold", "n", "r2", "rmse", "mae")
 
 
@@ -347,11 +352,11 @@ def group_folds(spark, d):
 
 
 def permutation_test(spark, d):
-    return validation.permutation_test(src.sites(spark, d), "site", "u", "v")
+    return validation.permutation_test(src.sites(spark, d), "site", "u", "v", 199)
 
 
 def overlapping_tiles(spark, d):
-    return raster.overlapping_tiles(1000, 700, 256, 64, spark)
+    return raster.overlapping_tiles(src.raster(spark, d), 64, 16)
 
 
 def pass_statistics(spark, d):
