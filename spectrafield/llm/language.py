@@ -24,6 +24,8 @@ from .kernels import tidy
 FEATURES = 1 << 13
 #: Labelled documents of one language, and of all, that are learned from at most, chosen by a hash of their text.
 SAMPLE, SAMPLE_ALL = 250, 4000
+#: Languages that can be learned at once: of each, ten documents at least reach the driver.
+MOST_LANGUAGES = 400
 #: Characters of one slice of a long text; slices share their edges and are summed, so that nothing is left out.
 SLICE = 1 << 20
 AMBIGUOUS = 0.6
@@ -128,11 +130,17 @@ def decode(margins: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> dict:
-    """Fit on at most ``sample`` labelled rows a language; rows without language, text or letter teach nothing."""
+    """Fit on at most ``sample`` labelled rows a language, fewer if there are many: about ``SAMPLE_ALL`` in all reach the driver, and more than ``MOST_LANGUAGES`` languages are an error. Rows without language, text or letter teach nothing."""
     order = Window.partitionBy("y").orderBy("h")
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("y"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    taught = F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")
+    rows = labelled.where(taught).select(F.col(lang).alias("y"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    known = rows.select("y", "h").distinct()
+    languages = known.select("y").distinct().count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    most = min(sample, max(10, SAMPLE_ALL // max(1, languages)))
     # equal texts teach once; the choice is by hash and alike at every size
-    chosen = rows.select("y", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("y", "h")
+    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("y", "h")
     picked = rows.join(F.broadcast(chosen), ["y", "h"], "left_semi").groupBy("y", "h").agg(F.first("t").alias("t"))
 
     def run(batches):
@@ -149,11 +157,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
         f[np.array(r["at"], int)] = r["f"]
         found.append((f, r["y"], r["h"]))
     found.sort(key=lambda p: p[1:])
-    most = max(10, SAMPLE_ALL // max(1, len({y for _, y, _ in found})))
-    of: dict[str, list] = {}
-    for f, y, _ in found:
-        of.setdefault(y, []).append((f, y))
-    return fit([row for rows in of.values() for row in rows[:most]])
+    return fit([(f, y) for f, y, _ in found])
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
