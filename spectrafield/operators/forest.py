@@ -256,8 +256,8 @@ def predict(rows: DataFrame, forest: Forest, fold: str | None = None, valid: str
     rows = rows.drop("predicted", "spread")
     names = rows.columns
     asked = rows.select(
-        *names, (F.col(fold).cast("int") if fold else F.lit(0)).alias("_fold"), (F.coalesce(F.col(valid), F.lit(False)) if valid else F.lit(True)).alias("_valid"),
-        *[F.col(c).cast("double").alias(f"_f{j}") for j, c in enumerate(forest.features)],
+        *names, (F.col(fold).cast("int") if fold else F.lit(0)).alias("__asked_fold"), (F.coalesce(F.col(valid), F.lit(False)) if valid else F.lit(True)).alias("__asked_valid"),
+        *[F.col(c).cast("double").alias(f"__asked_{j}") for j, c in enumerate(forest.features)],
     )
     depth = size.bit_length() - 2
     at = len(names)

@@ -16,11 +16,69 @@ def moments(columns: list[str]) -> dict:
     return out | {f"p_{a}_{b}": F.sum(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]}
 
 
+def solved(gram: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of many small systems, and which of them have one: the others stay 0."""
+    size = np.abs(gram).max(axis=(1, 2))
+    sound = (size > 0) & np.isfinite(size)
+    sound[sound] = np.linalg.cond(gram[sound]) < 1e12
+    out = np.zeros_like(xy)
+    out[sound] = np.linalg.solve(gram[sound], xy[sound][..., None])[..., 0]
+    return out, sound
+
+
+def buffered_targets(points: DataFrame, features: list[str], targets: list[str], radius: float, penalty: float = 1.0, least: int = 10) -> DataFrame:
+    """(site, target, n, y, predicted): ridge of every target on the sites at least ``radius`` away that have this target.
+
+    Each target has moments of its own rows, so one that is missing somewhere
+    takes no row from the others; all come from one reading of the near pairs.
+    Fewer than ``least`` sites to learn from, or columns without a single
+    answer, give null. A site without features is not predicted and teaches nothing.
+    """
+    whole = points
+    for c in features:
+        whole = whole.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    whole = whole.select("site", "x", "y", *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)], *[F.when(~F.isnan(F.col(t).cast("double")), F.col(t).cast("double")).alias(f"t{k}") for k, t in enumerate(targets)])
+    p = len(features)
+
+    def kinds(k: int, mark: str = "") -> dict:
+        names = [*(f"f{i}" for i in range(p)), f"t{k}"]
+        has = F.col(f"t{k}{mark}").isNotNull()
+        value = lambda c: F.when(has, F.col(f"{c}{mark}"))
+        return {f"{k}_n": F.when(has, 1.0)} | {f"{k}_s{i}": value(c) for i, c in enumerate(names)} | {f"{k}_p{i}_{j}": value(names[i]) * value(names[j]) for i in range(p + 1) for j in range(i, p + 1)}
+
+    every = {name: c for k in range(len(targets)) for name, c in kinds(k).items()}
+    total = whole.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(name) for name, c in every.items()]).first().asDict()
+    near = near_pairs(whole, radius, ["site", "x", "y", *(f"f{i}" for i in range(p)), *(f"t{k}" for k in range(len(targets)))]).where(F.col("d") < radius)
+    around = {name: c for k in range(len(targets)) for name, c in kinds(k, "2").items()}
+    within = near.groupBy(F.col("site1").alias("site")).agg(*[F.sum(c).alias(f"w_{name}") for name, c in around.items()])
+    base = whole.join(within, "site", "left")
+    rest = [(F.lit(float(total[name])) - F.coalesce(c, F.lit(0.0)) - F.coalesce(F.col(f"w_{name}"), F.lit(0.0))).alias(name) for name, c in every.items()]
+    base = base.select("site", *(f"f{i}" for i in range(p)), *(f"t{k}" for k in range(len(targets))), *rest)
+
+    def run(batches):
+        for batch in batches:
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: E731, B023
+            x = np.stack([get(f"f{i}") for i in range(p)], 1) if p else np.zeros((batch.num_rows, 0))
+            for k, target in enumerate(targets):
+                n = np.rint(get(f"{k}_n"))
+                mean = np.stack([get(f"{k}_s{i}") for i in range(p + 1)], 1) / np.maximum(n, 1)[:, None]
+                gram = np.zeros((len(n), p + 1, p + 1))
+                for i in range(p + 1):
+                    for j in range(i, p + 1):
+                        gram[:, i, j] = gram[:, j, i] = get(f"{k}_p{i}_{j}") - n * mean[:, i] * mean[:, j]
+                beta, sound = solved(gram[:, :p, :p] + penalty * np.eye(p), gram[:, :p, p])
+                told = mean[:, p] + ((x - mean[:, :p]) * beta).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column("site"), pa.array([target] * len(n)), pa.array(n.astype(np.int64)), batch.column(f"t{k}"), pa.array(told, mask=(n < least) | ~sound)], ["site", "target", "n", "y", "predicted"])
+
+    return base.mapInArrow(run, f"site {points.schema['site'].dataType.simpleString()}, target string, n long, y double, predicted double")
+
+
 def buffered_ridge(points: DataFrame, features: list[str], target: str, radius: float, penalty: float) -> DataFrame:
     """(site, n, v, predicted): ridge with an intercept on all sites at least ``radius`` away.
 
     Sums over all sites less those over the near ones are a site's training
-    data, so no training set is made; a site is never its own.
+    data, so no training set is made; a site is never its own. Where columns
+    leave no single answer the prediction is null.
     """
     names = [*features, target]
     total = points.agg(*[f.alias(k) for k, f in moments(names).items()]).first().asDict()
@@ -43,10 +101,10 @@ def buffered_ridge(points: DataFrame, features: list[str], target: str, radius:
             for i, a in enumerate(names):
                 for j in range(i, p + 1):
                     gram[:, i, j] = gram[:, j, i] = get(f"p_{a}_{names[j]}") - n * mean[:, i] * mean[:, j]
-            beta = np.linalg.solve(gram[:, :p, :p] + penalty * np.eye(p), gram[:, :p, p:])[..., 0]
+            beta, sound = solved(gram[:, :p, :p] + penalty * np.eye(p), gram[:, :p, p])
             own_x = np.stack([get(c) for c in features], 1)
             value = mean[:, p] + ((own_x - mean[:, :p]) * beta).sum(1)
-            predicted = pa.array(value, mask=n < 1)
+            predicted = pa.array(value, mask=(n < 1) | ~sound)
             yield pa.RecordBatch.from_arrays([batch.column("site"), pa.array(n.astype(np.int64)), batch.column(target), predicted], ["site", "n", "v", "predicted"])
 
     return rest.mapInArrow(run, "site long, n long, v double, predicted double")

@@ -1,4 +1,4 @@
-"""Entry points: each runs the queries of one study and writes their tables.
+"""Entry points: each runs the queries of one study and writes their tables; ``studies`` has those over a user's own tables.
 
 ``python -m spectrafield.plans.reports STUDY INPUT OUTPUT [--dates N R]`` or
 ``run(spark, study, sf_dir, out)``. Tables are CSV with 6 digits, or Parquet.
@@ -20,11 +20,14 @@ STUDIES: dict[str, dict[str, str]] = {
     "audit": {"baseline": "baseline_mean_r2", "folds": "kfold_line_dates", "buffers": "random_vs_buffered_inflation", "permutations": "permutation_test", "groups": "repeated_group_folds"},
     "band_correlation": {"correlations": "correlation_profile", "top3": "top3_per_element", "heatmap": "corr_heatmap_pivot"},
     "dependence": {"distance": "distance_correlation", "kernel": "hsic", "information": "mutual_information", "partial": "partial_two", "sparse": "sparse_links", "canonical": "canonical", "ranks": "kendall_p"},
+    "forests": {"predictions": "forest_folds", "scores": "forest_scores", "importance": "forest_importance", "buffered": "forest_buffered", "map": "forest_pixels"},
+    "tuning": {"candidates": "tuned_models", "ridge": "ridge_curve", "stacked": "stacked_models"},
+    "patches": {"windows": "reflected_windows", "squares": "point_patches", "copies": "patch_copies"},
     "windows": {"correlation": "window_correlation", "points": "clamped_windows"},
     "textures": {"cooccurrence": "glcm_texture", "patterns": "binary_patterns", "waves": "wave_textures"},
-    "variograms": {"lags": "semivariogram", "fits": "variogram_fit", "neighbours": "morans_p", "buffers": "buffer_recommendation"},
-    "spectra_correlation": {"correlogram": "correlogram", "best": "mean_target_top20"},
-    "buffered_models": {"predictions": "ridge_two", "metrics": "metrics_join", "interval": "bootstrap_interval", "sweep": "buffer_sweep", "permutations": "permutation_targets"},
+    "variograms": {"lags": "variogram_lags", "fits": "variogram_ranges", "neighbours": "morans_p", "buffers": "fitted_buffers"},
+    "spectra_correlation": {"correlogram": "correlogram_profile", "best": "mean_target_top20"},
+    "buffered_models": {"predictions": "ridge_two", "metrics": "metrics_join", "interval": "bootstrap_interval", "sweep": "buffer_sweep", "targets": "target_loo", "permutations": "permutation_targets"},
     "uncertainty": {"interval": "bootstrap_interval", "ranking": "category_ladder", "inflation": "inflation_summary"},
     "pixel_maps": {"statistics": "map_stats", "blended": "tile_blend", "passes": "pass_statistics"},
 }
