@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import distributions, spectra
-from ..operators import stats, tuning, validation, variogram
+from ..operators import holdout, stats, tuning, validation, variogram
 from ..operators.selection import parted_moments
 from ..sources import tables as src
 from . import inference, oracle
@@ -66,8 +66,16 @@ def stacked_models(spark, d):
     return out.select("point_id", "date", "fold", F.col("size").alias("y"), "visible", "infrared", "predicted")
 
 
+def holdout_choice(spark, d):
+    """Two targets of the sites, judged on the block farthest from the centre by models that the other blocks choose."""
+    s = src.sites(spark, d)
+    s = s.select("site", "x", "y", (F.col("x") / 100).alias("e"), (F.col("y") / 100).alias("n"), "v", "u", F.pmod(F.floor(F.col("x") / 60) + F.floor(F.col("y") / 60), F.lit(4)).cast("int").alias("part"), validation.fold_of("site").alias("inner"))
+    rows = holdout.holdout_models(s, ["e", "n"], ["v", "u"], "part", "inner", {"ridge": None, "elastic_net": None, "pls": [(1,), (2,)]})
+    return spark.createDataFrame(rows, "target string, model string, parameters string, n_train long, n_test long, inner_rmse double, test_rmse double, test_r2 double, chosen boolean")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (variogram_lags, variogram_ranges, fitted_buffers, correlogram_profile, ridge_curve, tuned_models, stacked_models)}
+    return {f.__name__: f for f in (holdout_choice, variogram_lags, variogram_ranges, fitted_buffers, correlogram_profile, ridge_curve, tuned_models, stacked_models)}
 
 
 def _ridge(name: str, rows: str, a: str, b: str) -> str:

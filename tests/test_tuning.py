@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spectrafield.operators import tuning, variogram
+from spectrafield.operators import holdout, tuning, variogram
 from spectrafield.operators.selection import merged, parted_moments
 
 
@@ -99,3 +99,23 @@ def test_stacking_matches_rows(table):
     assert np.allclose(got["one"].to_numpy()[order], base[mine, 0]) and np.allclose(got["predicted"].to_numpy()[order], top[mine])
     with pytest.raises(ValueError, match="two folds"):
         tuning.stacked(df.where("fold = 0"), ["a"], "y", "fold", {"one": (["a"], "ridge")})
+
+
+def test_holdout_chooses_without_the_test_rows(spark):
+    rng = np.random.default_rng(9)
+    n = 90
+    x = rng.normal(size=(n, 2))
+    y = x @ [1.0, -2.0] + rng.normal(size=n) / 3
+    part = np.where(np.arange(n) < 20, 7, np.arange(n) % 2)
+    at = np.where(part == 7, 1000.0, rng.random(n))
+    df = spark.createDataFrame([(float(at[i]), 0.0, float(x[i, 0]), float(x[i, 1]), float(y[i]), None, int(part[i]), i % 5) for i in range(n)], "x double, y double, a double, b double, t double, none double, part int, inner int")
+    assert holdout.farthest(df) == 7 and holdout.farthest(df.limit(0)) is None
+    rows = holdout.holdout_models(df, ["a", "b"], ["t", "none"], "part", "inner", {"ridge": None, "lasso": None})
+    assert [r[1] for r in rows] == ["ridge", "lasso"] and sum(r[-1] for r in rows) == 1
+    train, test = part != 7, part == 7
+    penalty = float(rows[0][2].strip("[]"))
+    told = ridge_by_rows(x[train], y[train], penalty)(x[test])
+    assert rows[0][3:5] == (70, 20) and np.isclose(rows[0][6], np.sqrt(((y[test] - told) ** 2).mean()))
+    changed = df.withColumn("t", F.when(F.col("part") == 7, F.col("t") * 9).otherwise(F.col("t")))
+    again = holdout.holdout_models(changed, ["a", "b"], ["t"], "part", "inner", {"ridge": None, "lasso": None})
+    assert [(r[2], round(r[5], 9), r[-1]) for r in again] == [(r[2], round(r[5], 9), r[-1]) for r in rows]
