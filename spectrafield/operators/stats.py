@@ -25,6 +25,13 @@ def pairs(features: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame
     return features.join(targets, keys)
 
 
+def wide_pairs(df: DataFrame, keys: list[str], features: list[str], targets: list[str]) -> DataFrame:
+    """(keys, feature, x, element, y) of a table that has features and targets in one row: no join, one reading."""
+    long = long_form(df, [*keys, *targets], features, "feature", "x")
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("element"), F.col(t).cast("double").alias("y")) for t in targets])).alias("t")
+    return long.select(*keys, "feature", "x", each).select(*keys, "feature", "x", "t.element", "t.y").where(F.col("y").isNotNull() & ~F.isnan("y"))
+
+
 def pearson_of(x: str, y: str) -> Column:
     """Pearson's r of non-null pairs, NULL if a side is constant."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
@@ -37,8 +44,9 @@ def pearson(paired: DataFrame, by: list[str], min_samples: int = 10) -> DataFram
 
 def average_rank(by: list[str], value: str) -> Column:
     """Rank within the group, ties sharing the mean of theirs."""
-    lower = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    return lower + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+    order = Window.partitionBy(*by).orderBy(value)
+    peers = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))  # the same sort serves both
+    return F.rank().over(order) + (peers - 1) / 2.0
 
 
 def spearman(paired: DataFrame, by: list[str], min_samples: int = 10) -> DataFrame:

@@ -77,10 +77,7 @@ def spectral_shape(spark, d):
 def feature_pairs(spark, d) -> DataFrame:
     """Tier-1 indices next to the targets of the same point, by date."""
     df = indices.with_indices(src.band_points(spark, d), (1,))
-    names = [i.name for i in indices.registry() if i.tier == 1]
-    features = stats.long_form(df, ["point_id", "date"], names, "feature", "x")
-    targets = stats.long_form(df, ["point_id", "date"], ["size", "price"], "element", "y")
-    return stats.pairs(features, targets, ["point_id", "date"])
+    return stats.wide_pairs(df, ["point_id", "date"], [i.name for i in indices.registry() if i.tier == 1], ["size", "price"])
 
 
 def pearson_matrix(spark, d):
