@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,12 +119,10 @@ def test_lines(spark, docs):
     names, root = sorted(weight), {}
     find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
     near = Counter({x: n - 1 for x, n in weight.items()})
-    # linked lines have a third in common at least where neither edit falls
     seen = defaultdict(list)
     for x in names:
         if len(x) >= 10:
-            for key in {(i, x[j : j + 3]) for i, j in ((0, 0), (1, len(x) // 2 - 1), (2, len(x) - 3))}:
-                seen[len(x)].append(x) if key[0] == 0 else None
+            seen[len(x)].append(x)
     for n, here in seen.items():
         for a in here:
             for m in range(n, n + 3):
@@ -149,7 +148,7 @@ def test_scoring(spark, docs):
     rows = {r["doc_id"]: r for r in rows_of(spark, "op8_scoring")}
     assert set(rows) == set(docs)
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    words = {i: [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", (d["text"] or "").translate(lower)) if w] + [None] for i, d in docs.items()}
+    words = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", (d["text"] or "").translate(lower)) if w] + [None] for i, d in docs.items()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
     count = Counter(w for i, ws in words.items() if not held[i] for w in ws)
     total, distinct = sum(count.values()), len(count)

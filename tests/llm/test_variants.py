@@ -1,5 +1,6 @@
 """One-edit pairs of the errata trie against all pairs; words and CRCs against plain Python."""
 
+import itertools
 import random
 import re
 import zlib
@@ -55,7 +56,7 @@ def test_nothing_to_group(spark):
 
 
 def test_each_pair_is_met_once():
-    words = sorted({"".join(p) for p in __import__("itertools").product("abc", repeat=4)} | {"abca" + c for c in "abc"} | {"abc", "bbb", "aab"})
+    words = sorted({"".join(p) for p in itertools.product("abc", repeat=4)} | {"abca" + c for c in "abc"} | {"abc", "bbb", "aab"})
     known, found = set(words), Counter()
     keys = {}
     for row, kind, key in v.merges(words, -1, -1, {}):
