@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distributions import normal_below, normal_quantile
+from .ordered import bounds_of, running
 
 
 def hash_number(*parts: Column | str) -> Column:
@@ -75,6 +76,38 @@ def permutation_targets(points: DataFrame, key: str, target: str, x: str, y: str
     return drawn.join(observed, target).groupBy(target, "n", "r2").agg(F.count("*").alias("n_permutations"), ((reached + 1) / (F.count("*") + 1.0)).alias("p"))
 
 
+def uniform(*parts: Column | str) -> Column:
+    """A number in (0, 1) from a hash of the parts."""
+    return (hash_number(*parts) + 0.5) / float(1 << 32)
+
+
+def beta_draw(alpha: float, *parts: Column | str, tries: int = 16) -> Column:
+    """A draw of the symmetric beta distribution: the first of some hashed pairs of powers whose sum is at most 1, else the half."""
+    pair = lambda k: F.struct(F.pow(uniform(*parts, F.lit(f"u{k}")), F.lit(1 / alpha)).alias("a"), F.pow(uniform(*parts, F.lit(f"v{k}")), F.lit(1 / alpha)).alias("b"))
+    first = F.get(F.filter(F.array(*map(pair, range(tries))), lambda p: (p["a"] + p["b"] <= 1) & (p["a"] + p["b"] > 0)), F.lit(0))
+    return F.coalesce(first["a"] / (first["a"] + first["b"]), F.lit(0.5))
+
+
+def mixup(rows: DataFrame, key: str, columns: list[str], alpha: float = 0.3, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """(i, a, b, share, columns): as many mixtures as ``share`` of the rows, each of two rows drawn by hash.
+
+    A mixture is ``share`` times the row a and the rest times the row b, in
+    every column; a and b are keys, which are distinct and numeric. Rows with a
+    missing column are not drawn.
+    """
+    whole = rows.select(F.col(key).alias("_key"), *columns)
+    for c in columns:
+        whole = whole.where(F.col(c).isNotNull())
+    n = whole.count()
+    numbered = running(whole, [], ["_key"], {"i": F.lit(1).cast("long")}, bounds_of(whole, "_key", n))
+    word = F.col("i").cast("string")
+    pick = lambda side: hash_number(word, F.lit(str(seed)), F.lit(side)) % max(n, 1) + 1
+    drawn = numbered.where(F.col("i") <= int(n * share)).select("i", pick("a").alias("ia"), pick("b").alias("ib"), beta_draw(alpha, word, F.lit(str(seed))).alias("share"))
+    side = lambda m: numbered.select(F.col("i").alias(f"i{m}"), F.col("_key").alias(m), *[F.col(c).alias(f"{c}_{m}") for c in columns])
+    met = drawn.join(side("a"), "ia").join(side("b"), "ib")
+    return met.select("i", "a", "b", "share", *[(F.col("share") * F.col(f"{c}_a") + (1 - F.col("share")) * F.col(f"{c}_b")).alias(c) for c in columns])
+
+
 def with_noise(df: DataFrame, by: list[str], keys: list[str], value: str, share: float = 0.02) -> DataFrame:
     """``df`` and ``noisy``: the value plus normal noise of ``share`` of its deviation within ``by``.
 

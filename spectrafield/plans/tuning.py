@@ -66,6 +66,24 @@ def stacked_models(spark, d):
     return out.select("point_id", "date", "fold", F.col("size").alias("y"), "visible", "infrared", "predicted")
 
 
+def _sites(spark, d):
+    return src.sites(spark, d).select("site", "u", (F.col("v") / 1000).alias("v"))
+
+
+def mixed_sites(spark, d):
+    return validation.mixup(_sites(spark, d), "site", ["u", "v"])
+
+
+def mixup_leakage(spark, d):
+    """What mixing rows before they are dealt to folds promises over folds of the rows themselves; suspect above 0.05."""
+    plain = _sites(spark, d)
+    both = plain.select("site", "u", "v").unionByName(mixed_sites(spark, d).select((F.col("i") + 1_000_000_000).alias("site"), "u", "v"))
+    scored = lambda df, name: stats.regression_metrics(validation.kfold_line(df, "site", "u", "v"), [], "y", "predicted").select(F.col("r2").alias(name))
+    out = scored(both, "r2_mixup_before_split").join(scored(plain, "r2_no_augmentation"))
+    gap = F.col("r2_mixup_before_split") - F.col("r2_no_augmentation")
+    return out.select("*", gap.alias("inflation"), (gap > 0.05).alias("leakage_suspected"))
+
+
 def holdout_choice(spark, d):
     """Two targets of the sites, judged on the block farthest from the centre by models that the other blocks choose."""
     s = src.sites(spark, d)
@@ -75,7 +93,7 @@ def holdout_choice(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (holdout_choice, variogram_lags, variogram_ranges, fitted_buffers, correlogram_profile, ridge_curve, tuned_models, stacked_models)}
+    return {f.__name__: f for f in (holdout_choice, mixed_sites, mixup_leakage, variogram_lags, variogram_ranges, fitted_buffers, correlogram_profile, ridge_curve, tuned_models, stacked_models)}
 
 
 def _ridge(name: str, rows: str, a: str, b: str) -> str:
@@ -98,7 +116,15 @@ def oracle_sql() -> dict[str, str]:
     rank = lambda c: f"rank() over (partition by variant, band order by {c}) + (count(*) over (partition by variant, band, {c}) - 1) / 2.0::double"
     fold = f"({oracle._hash('point_id::varchar || ' + chr(39) + '.42' + chr(39))} % 5)::int"
     rows = f"rw as (select point_id::varchar || date id, {fold} fold, size y, b, g, r, e from pts)"
+    half = lambda text: f"(({oracle._hash(text)} + 0.5::double) / 4294967296)"
+    powers = ", ".join("{'a': power(" + half(f"i::varchar || '.42.u{k}'") + ", 1 / 0.3::double), 'b': power(" + half(f"i::varchar || '.42.v{k}'") + ", 1 / 0.3::double)}" for k in range(16))
+    mixed = f"""{oracle.SITES}, nu as (select row_number() over (order by site) i, site, u, v / 1000 v from sites), dw as (select i, {oracle._hash("i::varchar || '.42.a'")} % (select count(*) from nu) + 1 ia, {oracle._hash("i::varchar || '.42.b'")} % (select count(*) from nu) + 1 ib,
+ list_filter([{powers}], lambda p: p.a + p.b <= 1 and p.a + p.b > 0)[1] f from nu), sh as (select i, ia, ib, coalesce(f.a / (f.a + f.b), 0.5) as share from dw), mx as (select sh.i, x.site a, y.site b, sh.share, sh.share * x.u + (1 - sh.share) * y.u u, sh.share * x.v + (1 - sh.share) * y.v v from sh join nu x on x.i = ia join nu y on y.i = ib)"""
+    own_fold = f"({oracle._hash('site::varchar || ' + chr(39) + '.42' + chr(39))} % 5)::int"
+    line = lambda rel: f"(select 1 - sum((v-p)*(v-p)) / (var_pop(v) * count(*)) from (select f.v, a * f.u + b p from {rel} f join (select k.fold, coalesce(regr_slope(v, u), 0) a, avg(v) - coalesce(regr_slope(v, u), 0) * avg(u) b from (select distinct fold from {rel}) k join {rel} g on g.fold <> k.fold group by 1) l using (fold)))"
     return {
+        "mixed_sites": f"with {mixed} select * from mx",
+        "mixup_leakage": f"with {mixed}, pl as (select {own_fold} fold, u, v / 1000 v from sites), bo as (select * from pl union all select {own_fold.replace('site::varchar', '(i + 1000000000)::varchar')}, u, v from mx), r as (select {line('bo')} r2_mixup_before_split, {line('pl')} r2_no_augmentation) select *, r2_mixup_before_split - r2_no_augmentation inflation, r2_mixup_before_split - r2_no_augmentation > 0.05 leakage_suspected from r",
         "variogram_lags": f"""with {oracle.SITES}, {surveys}, q as (select element, date, quantile_cont(v, 0.25) a, quantile_cont(v, 0.75) b from sv group by 1, 2), f as (select sv.* from sv join q using (element, date) where b - a <= 0 or v between a - 3 * (b - a) and b + 3 * (b - a) qualify count(*) over (partition by element, date) >= 10),
  p as (select l.element, l.date, sqrt((l.x-r.x)*(l.x-r.x)+(l.y-r.y)*(l.y-r.y)) d, (l.v-r.v)*(l.v-r.v) s from f l join f r using (element, date) where l.site < r.site), m as (select element, date, median(d) far from p where d > 0 group by 1, 2),
  b as (select element, date, far, greatest(1, ceil(round(d / (far / 12), 9)))::int lag, s from p join m using (element, date) where d > 0 and d <= far) select element, date, lag, (lag - 0.5::double) * far / 12 distance, avg(s) / 2 gamma, count(*) n_pairs from b group by element, date, lag, far having count(*) >= 2""",
