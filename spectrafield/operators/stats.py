@@ -143,19 +143,23 @@ def without_outliers(df: DataFrame, by: list[str], value: str, width: float = 3.
     return joined.where(fine).drop("_q")
 
 
-def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """(by, n, r2, rmse, mae, rpd, rpiq) ; fewer than three rows give NULL."""
+def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", quartiles: bool = True) -> DataFrame:
+    """(by, n, r2, rmse, mae, rpd, rpiq); fewer than three rows give NULL.
+
+    Without ``quartiles`` there is no rpiq, and the rows are read once.
+    """
     e = F.col(y) - F.col(p)
     sums = df.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(e * e).alias("sse"), F.var_pop(y).alias("v"), F.avg(F.abs(e)).alias("mae")
     )
-    quartiles = exact_quantiles(df, by, y, [0.25, 0.75]).drop("n")
-    sums = sums.join(quartiles, by, "left") if by else sums.join(F.broadcast(quartiles), how="left")
+    if quartiles:
+        q = exact_quantiles(df, by, y, [0.25, 0.75]).drop("n")
+        sums = sums.join(q, by, "left") if by else sums.join(F.broadcast(q), how="left")
     rmse = F.sqrt(F.col("sse") / F.col("n"))
     enough = lambda c: F.when(F.col("n") >= 3, c)
     return sums.select(
         *by, "n", enough(1 - F.try_divide("sse", F.col("v") * F.col("n"))).alias("r2"), enough(rmse).alias("rmse"), enough(F.col("mae")).alias("mae"),
-        enough(F.try_divide(F.sqrt("v"), rmse)).alias("rpd"), enough(F.try_divide(F.col("q")[1] - F.col("q")[0], rmse)).alias("rpiq"),
+        enough(F.try_divide(F.sqrt("v"), rmse)).alias("rpd"), *([enough(F.try_divide(F.col("q")[1] - F.col("q")[0], rmse)).alias("rpiq")] if quartiles else []),
     )
 
 

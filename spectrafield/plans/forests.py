@@ -28,7 +28,7 @@ def forest_folds(spark, d):
 
 
 def forest_scores(spark, d):
-    return stats.regression_metrics(forest_folds(spark, d), ["fold"], "y", "predicted").select("fold", "n", "r2", "rmse", "mae")
+    return stats.regression_metrics(forest_folds(spark, d), ["fold"], "y", "predicted", quartiles=False).select("fold", "n", "r2", "rmse", "mae")
 
 
 def forest_importance(spark, d):

@@ -192,13 +192,13 @@ def buffered_loo_simple_regression(spark, d):
 
 def buffer_sweep(spark, d):
     p = spatial.buffered_mean(src.sites(spark, d), RADII)
-    m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted")
+    m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted", quartiles=False)
     return m.select("radius", "n", "r2", "rmse", "mae")
 
 
 def random_vs_buffered_inflation(spark, d):
     p = spatial.buffered_line(src.sites(spark, d), [0.0, 50.0])
-    m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted")
+    m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted", quartiles=False)
     wide = m.groupBy().agg(F.max(F.when(F.col("radius") == 0, F.col("r2"))).alias("r2_random"), F.max(F.when(F.col("radius") == 50, F.col("r2"))).alias("r2_buffered"))
     return wide.withColumn("inflation", F.col("r2_random") - F.col("r2_buffered"))
 
@@ -324,7 +324,7 @@ def mean_target_top20(spark, d):
 def inflation_summary(spark, d):
     """What folds at random promise over buffered folds: median, largest, and radii above 0.01."""
     p = spatial.buffered_line(src.sites(spark, d), RADII)
-    m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted").select("radius", "r2")
+    m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted", quartiles=False).select("radius", "r2")
     base = m.where("radius = 0").select(F.col("r2").alias("base"))
     gap = m.where("radius > 0").join(F.broadcast(base)).withColumn("inflation", (F.col("base") - F.col("r2")))
     return gap.agg(F.median("inflation").alias("middle"), F.max("inflation").alias("most"), F.sum((F.col("inflation") > 0.01).cast("long")).alias("n_over"))
@@ -333,13 +333,13 @@ def inflation_summary(spark, d):
 def kfold_line(spark, d):
     """One line over all dates; all dates of a point fall into one fold."""
     p = validation.kfold_line(src.band_points(spark, d), "point_id", "b", "e")
-    return stats.regression_metrics(p, ["fold"], "y", "predicted").select("fold", "n", "r2", "rmse", "mae")
+    return stats.regression_metrics(p, ["fold"], "y", "predicted", quartiles=False).select("fold", "n", "r2", "rmse", "mae")
 
 
 def kfold_line_dates(spark, d):
     """The lines of every date, each date with folds of its own."""
     p = validation.kfold_line(src.band_points(spark, d), "point_id", "b", "e", by=("date",))
-    return stats.regression_metrics(p, ["date", "fold"], "y", "predicted").select("date", "fold", "n", "r2", "rmse", "mae")
+    return stats.regression_metrics(p, ["date", "fold"], "y", "predicted", quartiles=False).select("date", "fold", "n", "r2", "rmse", "mae")
 
 
 def group_folds(spark, d):
