@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import distributions
-from ..operators import models, raster, spatial, stats, validation
+from ..operators import independence, models, raster, spatial, stats, validation
 from ..sources import readers
 from ..sources import tables as src
 from . import oracle
 from . import queries as q
 
 KEYS = ["date", "feature", "element"]
+_LEVELS = "[" + ", ".join(f"{k / (independence.LEVELS - 1)!r}" for k in range(independence.LEVELS)) + "]"
 
 
 def pearson_p(spark, d):
@@ -50,6 +51,10 @@ def hsic(spark, d):
     return stats.hsic(src.sites(spark, d).select(F.col("site").alias("id"), F.col("v").alias("x"), F.col("u").alias("y")))
 
 
+def hsic_p(spark, d):
+    return independence.hsic_test(src.sites(spark, d).select(F.col("site").alias("id"), F.col("v").alias("x"), F.col("u").alias("y")))
+
+
 def window_correlation(spark, d):
     """How much more the best window says of the next band than the single pixel."""
     px = src.raster(spark, d)
@@ -175,7 +180,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            pearson_p, spearman_p, correlation_profile, kendall_p, morans_p, partial_two, hsic, window_correlation, ridge_two, variogram_fit, repeated_group_folds, metrics_join, glcm_texture, clamped_windows,
+            pearson_p, spearman_p, correlation_profile, kendall_p, morans_p, partial_two, hsic, hsic_p, window_correlation, ridge_two, variogram_fit, repeated_group_folds, metrics_join, glcm_texture, clamped_windows,
             raster_window, wavelength_map, parsed_channels, last_set_wins, valid_bands, spectra_of_dates, buffer_map, gathered_textures, feature_names, report_rows,
         )
     } | {"window_stats_w1": q._window(1), "window_stats_w5": q._window(5)}
@@ -218,6 +223,11 @@ def oracle_sql() -> dict[str, str]:
         "morans_p": f"select n, s0, moran, expected, z, {_normal_p('z')} p from ({moran})",
         "partial_two": f"""with {oracle.POINTS}, lo as (select date, size z, n_obs w, price y, unnest(['b', 'g', 'r', 'e']) feature, unnest([b, g, r, e]) x from pts), c as (select date, feature, count(*) n, {corr('x', 'y')} xy, {corr('x', 'z')} xz, {corr('y', 'z')} yz, {corr('x', 'w')} xw, {corr('y', 'w')} yw, {corr('w', 'z')} wz from lo group by 1, 2),
  f as (select date, feature, n, xy r, {first('x', 'y', 'z')} a, {first('x', 'w', 'z')} b, {first('y', 'w', 'z')} c from c) select date, feature, n, r, (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) partial from f""",
+        "hsic_p": f"""with {oracle.SITES}, s as materialized (select v, u, row_number() over (order by {oracle._hash("site::varchar || '.42'")}, site) - 1 i from sites), q as (select unnest(quantile_cont(v, {_LEVELS})) a, unnest(quantile_cont(u, {_LEVELS})) b, unnest(range({independence.LEVELS})) k from sites),
+ w as materialized (select median(abs(l.a - r.a)) wx, median(abs(l.b - r.b)) wy from q l join q r on l.k < r.k), kn as materialized (select l.i, r.i j, exp(-(l.v-r.v)*(l.v-r.v) / (2*wx*wx)) x, exp(-(l.u-r.u)*(l.u-r.u) / (2*wy*wy)) y from s l, s r, w),
+ kc as materialized (select i, j, x - avg(x) over (partition by i) - avg(x) over (partition by j) + avg(x) over () x, y from kn), nn as (select count(*) n from sites),
+ pm as materialized (select p, coalesce(list_filter([{oracle._hash("p::varchar || '.42.a.' || k::varchar")} % n for k in range({independence.TRIES})], lambda v: gcd(v, n) = 1)[1], 1) a, {oracle._hash("p::varchar || '.42.c'")} % n c from (select unnest(range(1, 200)) p), nn union all select 0, 1, 0),
+ tw as materialized (select p, i, (a * i + c) % n t from pm, nn, s), st as materialized (select l.p, avg(k.x * m.y) h from tw l join tw r on l.p = r.p join kc k on k.i = l.i and k.j = r.i join kn m on m.i = l.t and m.j = r.t group by 1) select (select n from nn) n, o.h hsic, 199 n_permutations, (select (1 + count(*)) / 200::double from st where p > 0 and round(h, 9) >= round(o.h, 9)) p from st o where o.p = 0""",
         "hsic": f"""with {oracle.SITES}, m as (select (select median(abs(a.v-b.v)) from sites a join sites b on a.site < b.site) bx, (select median(abs(a.u-b.u)) from sites a join sites b on a.site < b.site) by_), k as (select a.site i, b.site j, exp(-(a.v-b.v)*(a.v-b.v) / (2*bx*bx)) x, exp(-(a.u-b.u)*(a.u-b.u) / (2*by_*by_)) y from sites a, sites b, m),
  c as (select x - avg(x) over (partition by i) - avg(x) over (partition by j) + avg(x) over () x, y from k) select (select count(*) from sites) n, avg(x * y) hsic from c""",
         "window_correlation": f"with {oracle.PIXELS.replace('sums as', 'sums as')}, w as (" + " union all ".join(f"select {2 * h + 1} as wn, a.row, a.col, avg(b.b2) x, max(a.b4) y from px a join (select unnest(range(-{h}, {h} + 1)) dr) r on true join (select unnest(range(-{h}, {h} + 1)) dc) c on true join px b on b.row = a.row + dr and b.col = a.col + dc where b.b2 > 0 group by 2, 3" for h in range(4))

@@ -19,8 +19,9 @@ STUDIES: dict[str, dict[str, str]] = {
     "aggregate_spectra": {"spectra": "hyper_aggregate_min_bands", "sets": "sets_per_point"},
     "audit": {"baseline": "baseline_mean_r2", "folds": "kfold_line_dates", "buffers": "random_vs_buffered_inflation", "permutations": "permutation_test", "groups": "repeated_group_folds"},
     "band_correlation": {"correlations": "correlation_profile", "top3": "top3_per_element", "heatmap": "corr_heatmap_pivot"},
-    "dependence": {"distance": "distance_correlation", "kernel": "hsic", "information": "mutual_information", "partial": "partial_two", "sparse": "sparse_links", "canonical": "canonical", "ranks": "kendall_p"},
+    "dependence": {"distance": "distance_correlation", "kernel": "hsic_p", "information": "mutual_information", "partial": "partial_two", "sparse": "sparse_links", "canonical": "canonical", "ranks": "kendall_p"},
     "forests": {"predictions": "forest_folds", "scores": "forest_scores", "importance": "forest_importance", "buffered": "forest_buffered", "map": "forest_pixels"},
+    "processes": {"predictions": "gaussian_process", "scores": "gaussian_scores"},
     "tuning": {"candidates": "tuned_models", "ridge": "ridge_curve", "stacked": "stacked_models"},
     "patches": {"windows": "reflected_windows", "squares": "point_patches", "copies": "patch_copies"},
     "windows": {"correlation": "window_correlation", "points": "clamped_windows"},

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions
-from ..operators import forest, models, ordered, spatial, stats, tuning, validation, variogram
+from ..operators import forest, independence, models, ordered, spatial, stats, tuning, validation, variogram
 from ..operators.selection import parted_moments
 from ..sources import readers
 
@@ -99,15 +99,16 @@ def correlation_study(features: DataFrame, chemistry: DataFrame, config: Config)
 
 
 def dependence_study(features: DataFrame, chemistry: DataFrame, config: Config, feature: str, element: str) -> dict[str, DataFrame]:
-    """``profile``: one pair in every measure, Pearson, Spearman, Kendall and the distance correlation, with p where it has one."""
+    """``profile``: one pair in every measure, Pearson, Spearman, Kendall, the distance correlation and kernel independence, with p where it has one."""
     one = Config(**{**config.__dict__, "features": (feature,), "elements": (element,)})
-    pairs = stats.pairs(_long(features, one, one.features, "feature", "x"), _long(chemistry, one, one.elements, "element", "y").drop("date"), ["point_id"]).select(F.monotonically_increasing_id().alias("id"), "x", "y")
+    pairs = stats.pairs(_long(features, one, one.features, "feature", "x"), _long(chemistry, one, one.elements, "element", "y").drop("date"), ["point_id"]).select(F.concat_ws("|", "point_id", "date").alias("id"), "x", "y")
     r = pairs.agg(F.count("*").alias("n"), stats.pearson_of("x", "y").alias("r"))
     ranked = ordered.average_ranks(ordered.average_ranks(pairs, [], "x", "rx"), [], "y", "ry").agg(stats.pearson_of("rx", "ry").alias("rho"))
     tau, far = stats.kendall_p(pairs).select("tau", F.col("p").alias("tau_p")), ordered.distance_correlation(pairs).select("dcor")
-    row = r.join(ranked).join(tau).join(far)
+    kernel = independence.hsic_test(pairs).select("hsic", F.col("p").alias("hsic_p"))
+    row = r.join(ranked).join(tau).join(far).join(kernel)
     p = lambda c: distributions.correlation_p(F.col(c), F.col("n"))
-    return {"profile": row.select(F.lit(feature).alias("feature"), F.lit(element).alias("element"), "n", "r", p("r").alias("r_p"), "rho", p("rho").alias("rho_p"), "tau", "tau_p", "dcor")}
+    return {"profile": row.select(F.lit(feature).alias("feature"), F.lit(element).alias("element"), "n", "r", p("r").alias("r_p"), "rho", p("rho").alias("rho_p"), "tau", "tau_p", "dcor", "hsic", "hsic_p")}
 
 
 def _placed(chemistry: DataFrame, places: DataFrame, config: Config) -> DataFrame:

@@ -50,7 +50,7 @@ def test_offsets_move_points(spark, own):
 def test_other_studies_run(own):
     rows, df, places = own
     profile = studies.dependence_study(df, df, CONFIG, "a", "Fe, mg/kg")["profile"].first()
-    assert profile["r"] > 0.9 and profile["tau"] > 0.6 and profile["dcor"] > 0.8 and profile["tau_p"] < 0.01
+    assert profile["r"] > 0.9 and profile["tau"] > 0.6 and profile["dcor"] > 0.8 and profile["tau_p"] < 0.01 and profile["hsic"] > 0 and profile["hsic_p"] == 1 / 200
     v = studies.variogram_study(df.select("pid", "Fe, mg/kg", "zn"), places, CONFIG)
     assert {r["element"] for r in v["buffers"].collect()} == {"Fe, mg/kg", "zn"}
     b = studies.buffered_study(df, places, CONFIG)
