@@ -151,7 +151,8 @@ def bootstrap_r2(df: DataFrame, key: str, y: str, predicted: str, by: list[str],
     lean = left_out.join(mean, by).groupBy(*by).agg((F.sum(d * d * d) / (6 * F.pow(F.sum(d * d), 1.5) + 1e-12)).alias("acceleration"))
     slots = placed.where("n >= 5").select(*by, "i", "n").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     taken = slots.select(*by, "draw", F.pmod(hash_number(F.col("draw").cast("string"), F.col("i").cast("string")), F.col("n")).cast("int").alias("i"))
-    drawn = taken.join(placed, [*by, "i"]).groupBy(*by, "draw").agg(fit(F.sum(e * e), F.var_pop("y") * F.count("*")).alias("b"))
+    # Spark does not count what the explosion adds and would broadcast the draws: the rows are the side to build
+    drawn = taken.join(placed.select(*by, "i", "y", "p").hint("shuffle_hash"), [*by, "i"]).groupBy(*by, "draw").agg(fit(F.sum(e * e), F.var_pop("y") * F.count("*")).alias("b"))
     point = spread.select(*by, "n", fit(F.col("sse"), F.col("sst")).alias("r2"))
     all_draws = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("b")).alias("b"))  # at most ``draws`` numbers a group
     known = point.join(lean, by).join(all_draws, by, "left").withColumn("below", F.try_divide(F.size(F.filter("b", lambda b: b < F.col("r2") - 1e-12)), F.size("b")))
