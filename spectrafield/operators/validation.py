@@ -40,6 +40,23 @@ def kfold_line(df: DataFrame, key: str, x: str, y: str, folds: int = 5, by: tupl
     return rows.join(F.broadcast(line), [*by, "fold"]).select(*by, key, "fold", "y", (F.col("a") * F.col("x") + F.col("b")).alias("predicted"))
 
 
+def _dealt(rows: DataFrame, by: list[str], permutations: int) -> DataFrame:
+    """(by, p, r2) of rows (by, k, x, y) for every permutation p: x in the order of k meets y in the order of a hash of k, p and by.
+
+    Only y is copied and ordered anew, a permutation in a group of its own; places of x are numbered once. Spark does
+    not count what an explosion adds and would broadcast the copies, so the join says which side to build: the numbered rows.
+    """
+    numbered = rows.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("k")).alias("i"), "x")
+    copies = rows.select(*by, "k", "y", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
+    at = hash_number(F.col("k").cast("string"), F.col("p").cast("string"), *[F.col(c) for c in by])
+    dealt = copies.select(*by, "p", "y", F.row_number().over(Window.partitionBy(*by, "p").orderBy(at, "k")).alias("i"))
+    return dealt.join(numbered.hint("shuffle_hash"), [*by, "i"]).groupBy(*by, "p").agg(_rounded_r2().alias("drawn"))
+
+
+def _rounded_r2() -> Column:
+    return F.round(F.pow(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), 2), 9)
+
+
 def permutation_test(points: DataFrame, key: str, x: str, y: str, permutations: int = 99) -> DataFrame:
     """One row (n, r2, n_permutations, p): share of permutations whose r2 reaches the observed.
 
@@ -47,13 +64,8 @@ def permutation_test(points: DataFrame, key: str, x: str, y: str, permutations:
     permutation is one group: the work is a survey's points times permutations.
     """
     rows = points.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    copies = rows.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    own, dealt = Window.partitionBy("p").orderBy("k"), Window.partitionBy("p").orderBy(hash_number(F.col("k").cast("string"), F.col("p").cast("string")), "k")
-    placed = copies.select("p", "x", "y", F.row_number().over(own).alias("i"), F.row_number().over(dealt).alias("j"))
-    shuffled = placed.select("p", "i", "x").join(placed.select("p", F.col("j").alias("i"), "y"), ["p", "i"])
-    r2 = lambda: F.round(F.pow(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), 2), 9)
-    observed = rows.agg(F.count("*").alias("n"), r2().alias("r2"))
-    drawn = shuffled.groupBy("p").agg(r2().alias("drawn"))
+    observed = rows.agg(F.count("*").alias("n"), _rounded_r2().alias("r2"))
+    drawn = _dealt(rows, [], permutations)
     return drawn.join(F.broadcast(observed)).groupBy("n", "r2").agg(F.count("*").alias("n_permutations"), F.avg((F.col("drawn") >= F.col("r2")).cast("double")).alias("p"))
 
 
@@ -64,14 +76,8 @@ def permutation_targets(points: DataFrame, key: str, target: str, x: str, y: str
     it is never 0. A target's permutation is one group.
     """
     rows = points.select(F.col(target).alias(target), F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    copies = rows.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    group = Window.partitionBy(target, "p")
-    drawn_at = hash_number(F.col("k").cast("string"), F.col("p").cast("string"), F.col(target))
-    placed = copies.select(target, "p", "x", "y", F.row_number().over(group.orderBy("k")).alias("i"), F.row_number().over(group.orderBy(drawn_at, "k")).alias("j"))
-    shuffled = placed.select(target, "p", "i", "x").join(placed.select(target, "p", F.col("j").alias("i"), "y"), [target, "p", "i"])
-    r2 = F.round(F.pow(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), 2), 9)
-    observed = rows.groupBy(target).agg(F.count("*").alias("n"), r2.alias("r2"))
-    drawn = shuffled.groupBy(target, "p").agg(r2.alias("drawn"))
+    observed = rows.groupBy(target).agg(F.count("*").alias("n"), _rounded_r2().alias("r2"))
+    drawn = _dealt(rows, [target], permutations)
     reached = F.sum((F.col("drawn") >= F.col("r2")).cast("int"))
     return drawn.join(observed, target).groupBy(target, "n", "r2").agg(F.count("*").alias("n_permutations"), ((reached + 1) / (F.count("*") + 1.0)).alias("p"))
 
