@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from . import pairs
 from .stats import without_outliers
 
 #: Lags up to the median distance; pairs that a lag needs, sites that a survey needs.
@@ -34,13 +34,10 @@ def empirical(points: DataFrame, by: list[str], lags: int = LAGS) -> DataFrame:
     fine = without_outliers(points.where(F.col("v").isNotNull() & ~F.isnan("v")), by, "v")
     enough = fine.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_SITES).select(*by)
     fine = fine.join(enough, by, "left_semi")
-    side = lambda m: fine.select(*by, *[F.col(c).alias(f"{c}{m}") for c in ("site", "x", "y", "v")])
-    dx, dy, dv = (F.col(f"{c}1") - F.col(f"{c}2") for c in ("x", "y", "v"))
-    pairs = side(1).join(side(2), by).where("site1 < site2").select(*by, F.sqrt(dx * dx + dy * dy).alias("d"), (dv * dv).alias("square")).where("d > 0")
-    far = exact_quantiles(pairs, by, "d", [0.5]).select(*by, F.col("q")[0].alias("far"))
-    binned = pairs.join(far, by).where("d <= far").withColumn("lag", F.greatest(F.lit(1), F.ceil(F.round(F.col("d") / (F.col("far") / lags), 9))).cast("int"))
-    out = binned.groupBy(*by, "lag", "far").agg((F.avg("square") / 2).alias("gamma"), F.count("*").alias("n_pairs")).where(F.col("n_pairs") >= LEAST_PAIRS)
-    return out.select(*by, "lag", ((F.col("lag") - 0.5) * F.col("far") / lags).alias("distance"), "gamma", "n_pairs")
+    cut = pairs.blocks(fine.select(*by, "site", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "v")]), by, "site", ["x", "y", "v"])
+    far = pairs.median_distance(cut, by, "site", ["x", "y"])
+    out = pairs.lag_sums(cut, by, "site", far, lags, mean=False).where(F.col("n_pairs") >= LEAST_PAIRS).join(far, by)
+    return out.select(*by, "lag", ((F.col("lag") - 0.5) * F.col("far") / lags).alias("distance"), (F.try_divide("square", "n_squares") / 2).alias("gamma"), "n_pairs")
 
 
 def shape(model: str, h: np.ndarray, reach: float) -> np.ndarray:

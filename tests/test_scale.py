@@ -1,6 +1,11 @@
 """Steps that grow with permutations, draws or pairs: what is copied is never broadcast, and results equal brute force."""
 
-from spectrafield.operators import validation
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from spectrafield.operators import pairs, spatial, validation
 
 
 def plan_of(df):
@@ -21,3 +26,31 @@ def test_permutations_are_not_broadcast(spark):
 def test_draws_are_not_broadcast(spark):
     df = validation.bootstrap_r2(points(spark).selectExpr("*", "x * 0.5 as p", "'m' as model"), "id", "y", "p", ["model"], draws=30)
     assert "ShuffledHashJoin" in plan_of(df) and df.first()["n"] == 40
+
+
+def brute_lags(rows, lags=12):
+    """(lag -> mean distance, gamma, pairs) over all pairs, and the median of the positive distances."""
+    near = [(math.hypot(a[1] - b[1], a[2] - b[2]), (a[3] - b[3]) ** 2) for i, a in enumerate(rows) for b in rows[i + 1 :]]
+    near = [p for p in near if p[0] > 0]
+    far = float(np.median([d for d, _ in near]))
+    found = {}
+    for d, q in near:
+        if d <= far:
+            found.setdefault(math.ceil(round(d / (far / lags), 9)), []).append((d, q))
+    return far, {k: (np.mean([d for d, _ in v]), np.mean([q for _, q in v]) / 2, len(v)) for k, v in found.items() if len(v) > 1}
+
+
+def test_pairs_are_never_rows(spark, monkeypatch):
+    rows = [(i, float(i * 37 % 29) * 20, float(i // 9) * 20, float(i * i % 101)) for i in range(300)]
+    df = spark.createDataFrame(rows, "site long, x double, y double, v double").repartition(3)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 70)
+    _, want = brute_lags(rows)
+    got = spatial.semivariogram(df)
+    assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+    got = {r["lag"]: (r["distance"], r["gamma"], r["n_pairs"]) for r in got.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+    two = df.withColumn("g", F.col("site") % 2)
+    cut = pairs.blocks(two, ["g"], "site", ["x", "y"])
+    found = {r["g"]: r["far"] for r in pairs.median_distance(cut, ["g"], "site", ["x", "y"]).collect()}
+    for g in (0, 1):
+        assert found[g] == brute_lags([r for r in rows if r[0] % 2 == g])[0]
