@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import nearest
+from .spatial import settled
+
 #: Columns beyond which cross-products do not belong on the driver.
 MOST_COLUMNS = 1000
 
@@ -163,17 +166,16 @@ def mutual_information(df: DataFrame, by: list[str], neighbours: int = 5) -> Dat
     ``df`` holds id, x and y; ids are unique within ``by``. Both are scaled to
     unit deviation, and distance is the larger of the two differences. No noise is added, so
     that ties count as they are. Groups of fewer than ``neighbours`` + 1 points have no
-    row. The points of one group, a survey's, are compared with each other.
+    row. Neighbours come from blocks of near points, counts along either column
+    from its sorted blocks: no pair of points is a row.
     """
-    clean = df.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    clean = df.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(*by, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     spread = clean.groupBy(*by).agg(F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.count("*").alias("n"))
     one = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
-    unit = clean.join(F.broadcast(spread.where(F.col("n") > neighbours)), by).select(*by, "id", "n", "x", "y", one("sx").alias("sx"), one("sy").alias("sy"))
-    other = clean.select(*by, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    apart = lambda c: F.abs(F.col(c) - F.col(f"{c}2")) / F.col(f"s{c}")  # noqa: E731  # scaled last, so that ties stay ties
-    met = unit.join(other, by).where("id <> id2").select(*by, "id", "n", apart("x").alias("dx"), apart("y").alias("dy"))
-    near = met.groupBy(*by, "id", "n").agg(F.array_sort(F.collect_list(F.struct(F.greatest("dx", "dy").alias("d"), "dx", "dy"))).alias("m"))
-    reach = near.withColumn("r", F.col("m")[neighbours - 1]["d"])
-    within = lambda side: F.size(F.filter("m", lambda p: p[side] < F.col("r"))) + 1
-    psi = reach.select(*by, "n", (digamma(within("dx")) + digamma(within("dy"))).alias("s"))
+    spread = spread.where(F.col("n") > neighbours).select(*by, "n", one("sx").alias("sx"), one("sy").alias("sy"))
+    unit = clean.join(spread, by)  # differences are scaled, not values, so that ties stay ties
+    near = nearest.nearest(unit.drop("n"), by, "id", neighbours, scaled=True, named=False)
+    reach = near.select(*by, "id", "x", "y", F.col("near")[neighbours - 1]["d"].alias("far")).join(spread, by)
+    within = nearest.counts_within(settled(reach), by, "id").join(spread.select(*by, "n"), by)
+    psi = within.select(*by, "n", (digamma(F.col("nx")) + digamma(F.col("ny"))).alias("s"))
     return psi.groupBy(*by, "n").agg(F.avg("s").alias("s")).select(*by, "n", F.greatest(F.lit(0.0), digamma(F.col("n")) + digamma(F.lit(neighbours)) - F.col("s")).alias("mi"))
