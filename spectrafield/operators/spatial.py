@@ -70,56 +70,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Points of one cell that the first round of ``knn`` compares, as a multiple of k, and halvings of the extent.
-CELL_POINTS, HALVINGS = 8, 24
-
-
 def knn(points: DataFrame, k: int = 8) -> DataFrame:
     """(i, j, d, place): the k nearest other sites of each, ties to the smaller id.
 
-    Sites are compared with those in the cells around theirs, in cells so small
-    that none is crowded; a site is done once k of them are nearer than what the
-    cells leave out. The others go on with cells of twice the side, until a
-    block of cells holds all sites. Of sites at one place only the k + 1
-    smallest ids can be among anyone's nearest, and only these are compared.
+    Sites are compared in blocks of near ones. Of sites at one place only the k + 1
+    smallest ids can be among anyone's nearest, and only these are compared; the
+    others have the k smallest for neighbours. Sites without a place have none.
     """
-    at = points.select(F.col("site").alias("j"), F.col("x").cast("double").alias("xj"), F.col("y").cast("double").alias("yj"))
-    first = Window.partitionBy("xj", "yj").orderBy("j")
-    known = at.withColumn("_p", F.row_number().over(first)).where(F.col("_p") <= k + 1).drop("_p")
-    x0, y0, x1, y1, n = known.agg(F.min("xj"), F.min("yj"), F.max("xj"), F.max("yj"), F.count("*")).first()
-    if n < 2:
-        return at.where("false").select(F.col("j").alias("i"), "j", F.lit(0.0).alias("d"), F.lit(1).alias("place"))
-    extent = max(x1 - x0, y1 - y0) or 1.0
-    cell = lambda c, low, side: F.floor((F.col(c) - low) / side)
-    # the most crowded cell at every side, in one reading: as many numbers as halvings
-    sides = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(extent / 2**h).alias("side")) for h in range(HALVINGS + 1)])).alias("s")
-    crowds = known.select("xj", "yj", sides).groupBy("s.h", cell("xj", x0, F.col("s.side")), cell("yj", y0, F.col("s.side"))).agg(F.count("*").alias("c")).groupBy("h").agg(F.max("c").alias("c"))
-    crowded = {r["h"]: r["c"] for r in crowds.collect()}
-    halving = next((h for h in range(HALVINGS + 1) if crowded[h] <= CELL_POINTS * k), HALVINGS)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    waiting, found = at.select(F.col("j").alias("i"), F.col("xj").alias("xi"), F.col("yj").alias("yi")), None
-    h = halving
-    while True:
-        side = extent / 2**h
-        asked = waiting.select("i", "xi", "yi", cell("xi", x0, side).alias("cx"), cell("yi", y0, side).alias("cy"))
-        there = known.withColumn("_ox", F.explode(around)).withColumn("_oy", F.explode(around))
-        there = there.select("j", "xj", "yj", (cell("xj", x0, side) + F.col("_ox")).alias("cx"), (cell("yj", y0, side) + F.col("_oy")).alias("cy"))
-        dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
-        met = asked.join(there, ["cx", "cy"]).where("i <> j").select("i", "xi", "yi", "cx", "cy", "j", F.sqrt(dx * dx + dy * dy).alias("d"))
-        best = met.withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("place") <= k)
-        # nothing outside the block is nearer than its edge; at the edge itself a smaller id might be
-        edge = lambda c, low, at_: F.least(F.col(c) - low - (F.col(at_) - 1) * side, low + (F.col(at_) + 2) * side - F.col(c))  # noqa: B023, E731
-        reach = F.least(edge("xi", x0, "cx"), edge("yi", y0, "cy")) * (1 - 1e-9)
-        per = best.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("place", "j", "d"))).alias("near"), F.max("d").alias("far"), F.first(reach).alias("reach"))  # k each
-        sure = F.lit(True) if h == 0 else (F.size("near") == k) & (F.col("far") < F.col("reach"))  # at last a block holds all sites
-        per = settled(waiting.join(per.select("i", "near", sure.alias("sure")), "i", "left"))
-        done = per.where("sure").select("i", F.explode("near").alias("n")).select("i", "n.j", "n.d", "n.place")
-        found = done if found is None else found.unionByName(done)
-        left = per.where("sure is null or not sure").count() if h else 0
-        if not left:
-            return found
-        waiting = per.where("sure is null or not sure").select("i", "xi", "yi")
-        h = max(0, h - (1 if left * 100 > n else 3))  # the last few may look further at once
+    from . import nearest  # which settles its blocks by this module
+
+    at = points.select("site", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    first = Window.partitionBy("x", "y").orderBy("site")
+    known = settled(at.withColumn("_p", F.row_number().over(first)).where(F.col("_p") <= k + 1).drop("_p"))
+    found = nearest.nearest(known, [], "site", k).select("site", F.posexplode("near").alias("place", "n")).select(F.col("site").alias("i"), "n.j", "n.d", (F.col("place") + 1).alias("place"))
+    crowded = known.groupBy("x", "y").agg(F.array_sort(F.collect_list("site")).alias("js")).where(F.size("js") > k)  # k + 1 each
+    rest = at.join(known.select("site"), "site", "left_anti").join(crowded, ["x", "y"])
+    return found.unionByName(rest.select(F.col("site").alias("i"), F.posexplode(F.slice("js", 1, k)).alias("place", "j")).select("i", "j", F.lit(0.0).alias("d"), (F.col("place") + 1).alias("place")))
 
 
 def neighbour_edges(points: DataFrame, k: int = 8) -> DataFrame:
