@@ -71,9 +71,13 @@ class Model:
         return told, sure
 
 
+def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of both."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
+
+
 def kernel(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
-    gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.exp(-np.maximum(gap, 0.0) / (2 * length * length))
+    return np.exp(-gaps(a, b) / (2 * length * length))
 
 
 def _best(worth, low: float, high: float, steps: int = 60) -> float:
@@ -156,10 +160,15 @@ def products(rows: DataFrame, features: list[str], targets: list[str], part: str
         for batch in batches:
             v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, d + len(targets))
             z, parts = (v[:, :d] - middle) / spread, batch.column(0).to_numpy()
+            order = np.argsort(parts, kind="stable")
+            z, v, parts = z[order], v[order], parts[order]
+            names, begins = np.unique(parts, return_index=True)
+            apart = gaps(z, points)  # once for all lengths
+            told = np.column_stack((apart, v[:, d:], np.ones(len(v))))
             for length in lengths:
-                told = np.column_stack((kernel(z, points, length), v[:, d:], np.ones(len(v))))
-                for p in np.unique(parts):
-                    mine = told[parts == p]
+                told[:, : len(points)] = np.exp(apart / (-2 * length * length))
+                for p, begin, end in zip(names.tolist(), begins, [*begins[1:], len(parts)], strict=True):
+                    mine = told[begin:end]
                     total[p, length] = total.get((p, length), 0.0) + mine.T @ mine
         for (p, length), t in total.items():
             columns = [np.full(len(upper[0]), p), np.full(len(upper[0]), length), upper[0], upper[1], t[upper]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gaussian, validation
+from ..operators import gaussian, spatial, validation
 from ..sources import tables as src
 from . import oracle
 
@@ -19,7 +19,7 @@ def _rows(spark, d):
 
 def gaussian_process(spark, d):
     """Both targets of every point and date, told with a deviation by the processes of the other folds."""
-    rows = _rows(spark, d)
+    rows = spatial.settled(_rows(spark, d))  # read four times
     _, outside = gaussian.fit(rows, FEATURES, TARGETS, ["point_id", "date"], "fold")
     told = gaussian.predict(rows, outside, "fold", ["point_id", "date", "fold", *TARGETS])
     y = F.when(F.col("target") == "size", F.col("size")).otherwise(F.col("price"))

@@ -94,3 +94,10 @@ def test_missing_constant_repeated_and_no_rows(spark, data):
     assert np.allclose(model.tell(np.array([[1.0, 0.0]])), [[[4.0]], [[0.0]]])
     with pytest.raises(ValueError, match="sums"):
         gaussian.fit(df, ["a", "b"], ["y"], ["id"], "fold", inducing=90, lengths=tuple(np.linspace(1, 2, 4000)))
+
+
+def test_rows_are_read_once(spark):
+    from spectrafield.plans import gaussian as plans
+
+    df = plans.gaussian_process(spark, "/root/testdata/sf0.001")
+    assert "parquet" not in df._jdf.queryExecution().executedPlan().toString() and df.count() > 0
