@@ -32,6 +32,8 @@ END_ID = 1
 RANK_ROWS = 50_000
 #: Bytes of text that a task turns into tokens at once.
 SLICE_BYTES = 1_000_000
+#: Characters of a longer text that are taken apart at once.
+PART = 1_000_000
 _cache: dict = {}
 
 
@@ -96,101 +98,193 @@ def _tables(bins: list) -> dict[int, tuple[np.ndarray, ...]]:
     return {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in rows.items()}
 
 
-#: Words and pieces of one generation of a worker's lookups; two generations are kept.
+#: Words encoded whole and pieces that one generation of a worker's lookup holds together; two generations are kept.
 KEPT = (400_000, 400_000)
 
-# The pieces that the tokenizer's own splitting rule makes of a word.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Kinds of characters in the tokenizer's own splitting rule, which takes apart
+# 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+GAP, LETTER, NUMBER, OTHER, ODD, UNSEEN = range(6)
+APOSTROPHE = ord("'")
+#: What follows an apostrophe in a contraction.
+ENDINGS = [np.frombuffer(x, np.uint8) for x in (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")]
+ASCII = bytes(
+    GAP if x == 32 or 9 <= x <= 13 else LETTER if chr(x).isalpha() and x < 128 else NUMBER if 48 <= x <= 57 else OTHER
+    for x in range(256)
+)
 
 
 class Lookup:
-    """A tokenizer behind lookups of words and of pieces.
-
-    Pieces never reach over white space, so ids of a word are looked up; those
-    of a new word are put together from its pieces, and only new pieces are
-    encoded, many at once, told apart by the tokens that end a piece. Words
-    whose lower case depends on more than each character, and tokenizers
-    without end tokens, are encoded as they are.
+    """A tokenizer behind a lookup of pieces.
+
+    Texts are taken apart into lower-case pieces by arrays of their characters,
+    equal pieces are told by Arrow's dictionaries, and only new pieces are
+    encoded, many at once, told apart by the tokens that end a piece. A word
+    with one of the tokenizer's added tokens, with a character that has no
+    single lower case, or with one that Python's Unicode does not know is a
+    piece of its own, encoded as it is.
     """
 
     def __init__(self, path: str, kept: tuple[int, int] = KEPT):
-        self.kept = kept
+        self.room = sum(kept)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import regex
         from tokenizers import Tokenizer
 
-        self.tool, self.split = Tokenizer.from_file(path), regex.compile(PIECE).findall
+        self.tool = Tokenizer.from_file(path)
         vocabulary = self.tool.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
-        self.whole = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.known, self.old = {}, {}
+        self.whole = sorted((t.content for t in self.tool.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, self.whole)) + ")")
+        self.gap = regex.compile(r"\s")
+        self.rule = [(GAP, self.gap.match), (LETTER, regex.compile(r"\p{L}").match), (NUMBER, regex.compile(r"\p{N}").match)]
+        self.kinds, self.lower = np.full(0x110000, UNSEEN, np.uint8), np.arange(0x110000, dtype=np.uint32)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Put ids of ``new`` words into the lookup."""
-        parts, wanted = {}, {}
-        for w in new:
-            if "\u0130" in w or "\u03a3" in w or any(x in w for x in self.whole):
-                self.words[w] = self.encode(w)
-                continue
-            plain = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower()
-            parts[w] = found = self.split(plain)
-            for p in found:
-                if p not in self.pieces:
-                    if p in self.old_pieces:
-                        self.pieces[p] = self.old_pieces[p]
-                    else:
-                        wanted[p] = None
-        wanted = list(wanted)
-        for at in range(0, len(wanted), 200):
-            some = wanted[at : at + 200]
-            ids = np.array(self.tool.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+    def see(self, code: np.ndarray) -> None:
+        """Kinds and lower case of characters seen for the first time."""
+        for c in code.tolist():
+            x = chr(c)
+            if unicodedata.category(x) == "Cn" or len(x.lower()) > 1:
+                self.kinds[c] = ODD
+            else:
+                self.kinds[c] = next((k for k, match in self.rule if match(x)), OTHER)
+                self.lower[c] = ord(x.lower())
+
+    def split(self, text: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Starts of the pieces of a text, the pieces in UTF-8, and which of them are words to encode as they are."""
+        if text.isascii():
+            raw = text.encode()
+            code, low = np.frombuffer(raw, np.uint8), np.frombuffer(raw.lower(), np.uint8)
+            kind = np.frombuffer(raw.translate(ASCII), np.uint8)
+        else:
+            code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            kind = self.kinds[code]
+            if (unseen := kind == UNSEEN).any():
+                self.see(np.unique(code[unseen]))
+                kind = self.kinds[code]
+            low = self.lower[code]
+        added = any(t in text for t in self.whole)
+        if added or (kind == ODD).any():
+            kind = kind.copy()
+            for m in self.added.finditer(text) if added else ():
+                kind[m.start() : m.end()] = ODD
+            word = np.cumsum(kind == GAP)  # characters between two gaps share it
+            hit = np.zeros(word[-1] + 1, bool)
+            hit[word[kind == ODD]] = True
+            kind[hit[word] & (kind != GAP)] = ODD
+            low = np.where(kind == ODD, code, low)
+        start = np.empty(len(kind), bool)
+        start[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start |= kind == NUMBER
+        marks = np.flatnonzero(low == APOSTROPHE)
+        marks = marks[start[marks] & (kind[marks] == OTHER)]
+        for tail in ENDINGS:
+            k = len(tail)
+            at = marks[marks + k < len(low)]
+            at = at[np.all([(low[at + 1 + j] == c) & (kind[at + 1 + j] == LETTER) for j, c in enumerate(tail)], axis=0)]
+            start[at + 1] = False
+            after = at[at + k + 1 < len(low)] + k + 1
+            start[after] = True
+        letters = kind != GAP
+        start &= letters
+        starts = np.flatnonzero(start)
+        low, first = low[letters], np.flatnonzero(start[letters])
+        if low.dtype == np.uint8:
+            data, edges = low, np.append(first, len(low))
+        else:
+            data = low.tobytes().decode("utf-32-le").encode()
+            sizes = 1 + (low >= 0x80).astype(np.int8) + (low >= 0x800) + (low >= 0x10000)
+            edges = np.append(0, np.cumsum(np.add.reduceat(sizes, first, dtype=np.int64))) if len(first) else np.zeros(1, np.int64)
+        buffers = [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]
+        return starts, pa.Array.from_buffers(pa.large_binary(), len(starts), buffers), kind[starts] == ODD
+
+    def learn(self, plain: list[bytes], odd: list[bytes]) -> None:
+        """Put ids of new pieces into the lookup."""
+        for at in range(0, len(plain), 200):
+            some = plain[at : at + 200]
+            ids = np.array(self.tool.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 raw, begin = ids.tobytes(), 0
                 for p, stop in zip(some, (stops * 4).tolist(), strict=True):
-                    self.pieces[p] = raw[begin:stop]
+                    self.known[p] = raw[begin:stop]
                     begin = stop
             else:
-                for p in some:
-                    self.pieces[p] = self.encode(p)
-        for w, found in parts.items():
-            self.words[w] = b"".join([self.pieces[p] for p in found])
-        if len(self.pieces) > self.kept[1]:
-            self.pieces, self.old_pieces = {}, self.pieces
+                odd = odd + some
+        for p in odd:
+            self.known[p] = self.encode(p.decode())
+
+    def look(self, found: list[bytes], odd: np.ndarray) -> list[bytes]:
+        """Ids of different pieces."""
+        ids = list(map(self.known.get, found))
+        missing = [i for i, raw in enumerate(ids) if raw is None]
+        new = []
+        for i in missing:
+            raw = self.old.get(found[i])
+            if raw is None:
+                new.append(i)
+            else:
+                self.known[found[i]] = raw
+        self.learn([found[i] for i in new if not odd[i]], [found[i] for i in new if odd[i]])
+        for i in missing:
+            ids[i] = self.known[found[i]]
+        if len(self.known) > self.room:
+            self.known, self.old = {}, self.known
+        return ids
+
+    def encode_joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are all in NFC."""
+        starts, parts, odd = self.split("\n".join(texts))
+        if not len(starts):
+            return [b""] * len(texts)
+        coded = parts.dictionary_encode()
+        which = coded.indices.to_numpy()
+        whole = np.zeros(len(coded.dictionary), bool)
+        whole[which[odd]] = True
+        ids = self.look(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), whole)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(sizes) - sizes
+        sizes = sizes[which]
+        ends = np.cumsum(sizes)
+        take = np.repeat(begin[which] - ends + sizes, sizes)
+        take += np.arange(len(take))
+        raw = np.frombuffer(b"".join(ids), "<u4")[take].tobytes()
+        # pieces before the end of each text, then tokens
+        cuts = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]) - 1)
+        cuts = np.append(0, ends)[cuts] * 4
+        return [raw[a:b] for a, b in pairwise([0, *cuts.tolist()])]
+
+    def compose(self, text: str) -> str:
+        """The text in NFC, but for added tokens, which the tokenizer cuts out before."""
+        if unicodedata.is_normalized("NFC", text):
+            return text
+        parts = self.added.split(text) if self.whole else [text]
+        return "".join([p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(parts)])
+
+    def cut(self, text: str):
+        """Parts of a long text, which begin at white space."""
+        at = 0
+        while at < len(text):
+            found = self.gap.search(text, at + PART)
+            end = found.start() if found else len(text)
+            yield text[at:end]
+            at = end
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        # separators that only Python counts as white space
-        split = [None if _ODD.search(x) else x.split() for x in texts]
-        found = [None if words is None else list(map(self.words.get, words)) for words in split]
-        new = {}
-        for words, ids in zip(split, found, strict=True):
-            if ids and None in ids:
-                new.update({w: None for w, raw in zip(words, ids, strict=True) if raw is None})
-        for w in [w for w in new if w in self.old_words]:
-            self.words[w] = self.old_words[w]
-            del new[w]
-        self.learn(list(new))
-        get, out = self.words.__getitem__, []
-        for x, words, ids in zip(texts, split, found, strict=True):
-            if words is None:
-                out.append(self.encode(x))
-            elif None in ids:
-                out.append(b"".join([get(w) if raw is None else raw for w, raw in zip(words, ids, strict=True)]))
-            else:
-                out.append(b"".join(ids))
-        if len(self.words) > self.kept[0]:
-            self.words, self.old_words = {}, self.words
+        out = [b"".join([self.encode_joined([self.compose(p)])[0] for p in self.cut(x)]) if len(x) > PART else b"" for x in texts]
+        for ascii in (True, False):  # characters of one byte, of four
+            rows = [i for i, x in enumerate(texts) if len(x) <= PART and x.isascii() == ascii]
+            for i, raw in zip(rows, self.encode_joined([self.compose(texts[i]) for i in rows]), strict=True):
+                out[i] = raw
         return out
 
 
-_ODD = re.compile("[\x1c-\x1f]")
-
-
 def lookup(path: str, kept: tuple[int, int] = KEPT) -> Lookup:
     if (path, kept) not in _cache:
         _cache.clear()
