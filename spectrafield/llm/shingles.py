@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staging, components, join_hot, load
+from .common import Staging, components, join_hot, likely, load
 from .embeddings import roots
 from .kernels import LOWER, POWER, mix, slices, span_hashes, tidy, utf8, words
 
@@ -184,6 +184,7 @@ def jaccard_join(
     keyed = banded.select("rep", F.explode("bands").alias("key"))
     lead = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("end")).where("lead <> end").select("key", "lead")
     near = staging.table(keyed.join(lead, "key").select("key", "rep", "lead"))
+    staging.settle()  # each step's shuffle goes before the next one's comes
     # a set's block: its least partner's, in as many parts as keep each within rows and bytes
     home = near.groupBy("rep").agg(F.min("lead").alias("lead")).join(reps.select("rep", "first", "weight", "bytes"), "rep")
     extent = home.groupBy("lead").agg(F.count("*").alias("k"), F.sum("bytes").alias("size"))
@@ -196,9 +197,9 @@ def jaccard_join(
     met = met.withColumn("p", F.explode("q")).withColumn("q", F.explode("q")).where("p <= q").select("p", "q").distinct()
     side = lambda at, right: met.select(F.col(at).alias("block"), F.struct("p", "q", F.lit(right).alias("right")).alias("meet"))
     partners = side("p", False).unionByName(side("q", True).where("meet.p <> meet.q")).groupBy("block").agg(F.collect_list("meet").alias("meets"))
-    # shuffled at every size: the blocks' members grow with the input
+    # shuffled at every size: the blocks' members grow with the input; the others' texts are not shuffled
     wanted = placed.join(partners, "block").select("first.doc", "first.digest", "rep", "weight", "meets")
-    texts = docs.join(wanted.hint("merge"), ["doc", "digest"])
+    texts = likely(docs, placed.select("first.doc", "first.digest"), ["doc", "digest"], placed.count()).join(wanted.hint("merge"), ["doc", "digest"])
     sided = texts.select("rep", "weight", "t", F.explode("meets").alias("m")).select("m.p", "m.q", "m.right", "rep", "weight", "t")
     sided = sided.repartition("p", "q").sortWithinPartitions("p", "q", "right", "rep")
 
@@ -252,6 +253,7 @@ def jaccard_join(
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["rep", "links", "root"])
 
     found = staging.table(sided.mapInArrow(tidy(run), "rep long, links long, root long"))
+    staging.settle()
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), staging).withColumnRenamed("id", "rep")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(classes, "rep", "left")
     joined = reps.join(linked, "rep", "left").withColumn("class", F.coalesce("component", "rep"))

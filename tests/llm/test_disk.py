@@ -6,7 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from spectrafield.llm import common, lines
+import corpus_pipeline
+from spectrafield.llm import common, lines, shingles
 
 
 def held(spark):
@@ -56,6 +57,13 @@ def test_line_dedup_keeps_one_steps_shuffle(spark, monkeypatch, tmp_path):
     assert all(before < chars / 4 for before, _ in found[most + 1 :]), found  # few documents are asked for their lines
 
 
+def test_near_duplicates_shuffle_no_other_texts(spark, monkeypatch, tmp_path):
+    docs, chars = texts(spark, tmp_path / "docs")
+    found = watched(spark, monkeypatch)
+    linked = shingles.jaccard_join(docs).where("n_links > 0").select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, linked)) == [(38, 38), (39, 38)]
+    assert len(found) > 2 and all(before < chars / 4 for before, _ in found[1:]), found  # of which the second holds the texts
+
 
 def test_likely_rows(spark):
     rows = spark.range(20000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("t"))
@@ -66,3 +74,14 @@ def test_likely_rows(spark):
     assert {None, *range(20, 20000, 20)} <= left and len(left) < 1000 + 19000 / 8
     assert common.likely(rows, table.where("k < 0"), ["k"], 0).count() == 0
     assert common.likely(rows, table, ["k"], 1).count() >= 1000  # too few bits only let more pass
+
+
+def test_pipeline_drops_what_it_has_read(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    seen, dropped = [], []
+    monkeypatch.setattr(corpus_pipeline, "load", lambda *a: docs)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), lambda s, d, f: seen.append(getattr(d, "_staged_path", None)) or d.select("*")) for k in range(4)])
+    old = common.Staging.drop
+    monkeypatch.setattr(common.Staging, "drop", lambda self, *t: dropped.extend(x._staged_path for x in t) or old(self, *t))
+    assert [tuple(r) for r in corpus_pipeline.run(spark, "none").collect()] == [(1, "a b")]
+    assert seen[0] is None and dropped == seen[1:3]
