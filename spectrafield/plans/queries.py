@@ -192,7 +192,7 @@ def buffered_loo_simple_regression(spark, d):
 
 def buffer_sweep(spark, d):
     p = spatial.buffered_mean(src.sites(spark, d), RADII)
-    m = stats.regression_metrics(p.where("predicted is not null"), ["radius"], "v", "predicted", quartiles=False)
+    m = stats.sweep_metrics(p.where("predicted is not null"), "site", "radius", RADII, "v", "predicted")
     return m.select("radius", "n", "r2", "rmse", "mae")
 
 
