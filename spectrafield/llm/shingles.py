@@ -184,7 +184,7 @@ def jaccard_join(
     keyed = banded.select("rep", F.explode("bands").alias("key"))
     lead = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("end")).where("lead <> end").select("key", "lead")
     near = staging.table(keyed.join(lead, "key").select("key", "rep", "lead"))
-    staging.settle()  # each step's shuffle goes before the next one's comes
+    staging.settle(2)  # each step's shuffle goes before the next one's comes
     # a set's block: its least partner's, in as many parts as keep each within rows and bytes
     home = near.groupBy("rep").agg(F.min("lead").alias("lead")).join(reps.select("rep", "first", "weight", "bytes"), "rep")
     extent = home.groupBy("lead").agg(F.count("*").alias("k"), F.sum("bytes").alias("size"))
@@ -253,7 +253,7 @@ def jaccard_join(
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["rep", "links", "root"])
 
     found = staging.table(sided.mapInArrow(tidy(run), "rep long, links long, root long"))
-    staging.settle()
+    staging.settle(2)
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), staging).withColumnRenamed("id", "rep")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(classes, "rep", "left")
     joined = reps.join(linked, "rep", "left").withColumn("class", F.coalesce("component", "rep"))

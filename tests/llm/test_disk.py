@@ -20,15 +20,15 @@ def watched(spark, monkeypatch):
     """Bytes before and after each time that a step settles."""
     found, old = [], common.Staging.settle
 
-    def settle(self):
+    def settle(self, *times):
         before = held(spark)
-        old(self)
+        old(self, *times)
         until = time.time() + 5  # Spark deletes in a thread of its own
         while held(spark) > before / 4 and time.time() < until:
             time.sleep(0.1)
         found.append((before, held(spark)))
 
-    old(common.Staging(spark, "none"))
+    old(common.Staging(spark, "none"), 2)
     time.sleep(1)
     monkeypatch.setattr(common.Staging, "settle", settle)
     return found
